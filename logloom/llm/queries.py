@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import count_tokens, encode_decode
 from .common import table
 from .mixing import mix_sources
 from .url_filter import Rule, filter_urls
@@ -72,3 +73,19 @@ FROM documents JOIN times USING (doc_id, source), range(1, 1000) AS cs(copy) WHE
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(table(spark, sf_dir, "documents"), alpha=0.5, epochs=1.0, seed=17)
     return mixed.withColumn("rate", F.round("rate", 9))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op1_token_counts")
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), limit=1024)
+
+
+@query("op5_bpe_round_trip")
+def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(table(spark, sf_dir, "documents"), tokenizer_path(), keep=())
