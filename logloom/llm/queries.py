@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from .bpe import count_tokens, encode_decode
 from .common import table
+from .media import media_columns
 from .mixing import mix_sources
+from .toxicity import score_texts, train_on
 from .url_filter import Rule, filter_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +91,16 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_bpe_round_trip")
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer_path(), keep=())
+
+
+@query("op3_media_columns")
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media_columns(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "shard", "offset", "length")
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train_on(docs, table(spark, sf_dir, "labels"))
+    return score_texts(docs, model, threshold=0.3)
