@@ -11,6 +11,7 @@ from .bpe import count_tokens, encode_decode
 from .common import table
 from .media import media_columns
 from .mixing import mix_sources
+from .near_duplicates import dedup_lines, ngram_components
 from .toxicity import score_texts, train_on
 from .url_filter import Rule, filter_urls
 
@@ -104,3 +105,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train_on(docs, table(spark, sf_dir, "labels"))
     return score_texts(docs, model, threshold=0.3)
+
+
+@query("op8_line_dedup")
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents"), k=5, percent=80)
+
+
+@query("op10_ngram_jaccard_join")
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents"), k=3, percent=90)
