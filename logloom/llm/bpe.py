@@ -30,6 +30,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import free_name
 
 
 #: The pre-token pattern of the byte-level vocabulary.
@@ -291,40 +294,37 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
-    """id_col, n_tokens long, ids_sha256 string, decoded_sha256 string of every row, and as named
-    in keep: ids array<int> and decoded string.
+def encode_decode(docs: DataFrame, path: str, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), keep: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+    """The columns of docs named in carry and, of every row, n_tokens long, ids_sha256 string,
+    decoded_sha256 string and, as named in keep, ids array<int> and decoded string. These replace
+    carried columns of the same names.
 
     ids_sha256 is of the ids as little-endian unsigned 32-bit integers, decoded_sha256 of the
-    decoded text in UTF-8. A null text counts as empty (no ids, empty text); null ids stay null;
-    repeated rows are each encoded; texts of any length are encoded whole; an empty table gives
-    an empty result; other columns are ignored, whatever their names. No shuffle.
+    decoded text in UTF-8. A null text counts as empty (no ids, empty text); nulls in other
+    columns stay; repeated rows are each encoded; texts of any length are encoded whole; an empty
+    table gives an empty result. No shuffle.
     """
-    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text" if id_col != "text" else "body"))
+    made = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} | {c: t for c, t in (("ids", "array<int>"), ("decoded", "string")) if c in keep}
+    carried = docs.select(*[c for c in carry if c not in made])
+    source = free_name(carried, "source")
+    rows = docs.select(*carried.columns, F.coalesce(F.col(text_col), F.lit("")).alias(source))
+    types = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string(), "ids": pa.list_(pa.int32()), "decoded": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         for batch in batches:
-            n, first, second, ids_out, text_out = [], [], [], [], []
-            for ids in coder.encode(batch.column(1).to_pylist()):
+            found = {c: [] for c in made}
+            for ids in coder.encode(batch.column(batch.num_columns - 1).to_pylist()):
                 text = coder.decode(ids)
-                n.append(len(ids) // 4)
-                first.append(hashlib.sha256(ids).hexdigest())
-                second.append(hashlib.sha256(text.encode()).hexdigest())
+                found["n_tokens"].append(len(ids) // 4)
+                found["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
+                found["decoded_sha256"].append(hashlib.sha256(text.encode()).hexdigest())
                 if "ids" in keep:
-                    ids_out.append(np.frombuffer(ids, dtype="<u4").astype(np.int32))
+                    found["ids"].append(np.frombuffer(ids, dtype="<u4").astype(np.int32))
                 if "decoded" in keep:
-                    text_out.append(text)
-            arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())]
-            names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
-            if "ids" in keep:
-                arrays.append(pa.array(ids_out, pa.list_(pa.int32())))
-                names.append("ids")
-            if "decoded" in keep:
-                arrays.append(pa.array(text_out, pa.string()))
-                names.append("decoded")
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+                    found["decoded"].append(text)
+            arrays = [*batch.columns[:-1], *(pa.array(v, types[c]) for c, v in found.items())]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:-1], *found])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    more = ", ids array<int>" * ("ids" in keep) + ", decoded string" * ("decoded" in keep)
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
+    schema = T.StructType([*carried.schema.fields, *T.StructType.fromDDL(", ".join(f"{c} {t}" for c, t in made.items())).fields])
+    return rows.mapInArrow(run, schema)

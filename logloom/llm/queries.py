@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .ann import nearest
 from .bpe import count_tokens, encode_decode
 from .common import table
+from . import lm
 from .media import media_columns
 from .mixing import mix_sources
 from .near_duplicates import dedup_lines, ngram_components
@@ -92,7 +93,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_bpe_round_trip")
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_decode(table(spark, sf_dir, "documents"), tokenizer_path(), keep=())
+    return encode_decode(table(spark, sf_dir, "documents"), tokenizer_path(), carry=("doc_id",), keep=())
 
 
 @query("op3_media_columns")
@@ -121,3 +122,8 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_nearest_neighbours")
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
+@query("op2_lm_scores")
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(table(spark, sf_dir, "documents"), modulus=10)
