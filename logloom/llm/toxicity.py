@@ -23,9 +23,9 @@ GRAMS = (3, 4, 5)
 BITS = 20
 #: Labelled texts that the classifier is fitted on at most: those first in the order of a hash of
 #: their id. Scores cover all texts.
-MAX_TRAIN = 20_000
-#: Least ratio of r to its standard error.
-LEAST_Z = 3.5
+MAX_TRAIN = 8_000
+#: Least ratio of r to its standard error, and least r, of a gram that is kept.
+LEAST_Z, LEAST_RATIO = 3.5, 1.0
 #: Bytes that are hashed at once.
 WINDOW = 1 << 20
 
@@ -82,7 +82,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -35, 35)))
 
 
-def _fit(text: np.ndarray, gram: np.ndarray, label: np.ndarray, ratio: np.ndarray, l2: float = 1.0, steps: int = 500) -> Model:
+def _fit(text: np.ndarray, gram: np.ndarray, label: np.ndarray, ratio: np.ndarray, l2: float = 1.0, steps: int = 200) -> Model:
     """Logistic regression on r * presence, by full-batch Adam: its step is scaled by coordinate,
     so that rare grams converge as frequent ones do."""
     kept, column = np.unique(gram, return_inverse=True)
@@ -101,49 +101,65 @@ def _fit(text: np.ndarray, gram: np.ndarray, label: np.ndarray, ratio: np.ndarra
     return Model(float(w[-1]), weights)
 
 
-def train(labelled: DataFrame, text_col: str = "text", label_col: str = "label", order_col: str = "id", limit: int = MAX_TRAIN) -> Model:
-    """Fits on at most `limit` rows of labelled (label 0 or 1; rows with another label or none
-    are left out). Without rows of both classes the score is the share of label 1, 0 without any
-    row. Gram counts are made on the executors; only they, and the few kept grams of the bounded
-    sample, come to the driver."""
-    rows = labelled.where(F.col(label_col).isin(0, 1)).select(text_bytes(text_col).alias("bytes"), F.col(label_col).cast("int").alias("label"), F.xxhash64(F.col(order_col)).alias("place"))
-    rows = rows.orderBy("place", "label", F.md5("bytes")).limit(limit).select("bytes", "label").repartition(8).persist()
+def train(labelled: DataFrame) -> Model:
+    """Fits on rows of id, text, label (0 or 1), of which there must be a bounded number. Without
+    rows of both classes the score is the share of label 1, 0 without any row. Grams are counted
+    by task, and chosen and weighed in one task; only the chosen grams' ratios and all weights
+    come to the driver."""
+    rows = labelled.select(text_bytes("text").alias("bytes"), F.col("label").cast("int").alias("label"), F.xxhash64("id").alias("place")).repartition(8).persist()
+    spark = labelled.sparkSession
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, total = np.zeros((2, 1 << BITS), np.int32), [0, 0]
+        for batch in batches:
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                data, _ = flat([text])
+                found = np.unique(np.concatenate([h[at] for at, h in (gram_hashes(data, n) for n in GRAMS)]))
+                seen[label, found] += 1
+                total[label] += 1
+        if sum(total):
+            yield pa.RecordBatch.from_arrays([pa.array([t], pa.int64()) for t in total] + [pa.array([s.tobytes()], pa.binary()) for s in seen], names=["n0", "n1", "seen0", "seen1"])
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, seen = np.zeros(2), np.zeros((2, 1 << BITS))
+        for batch in batches:
+            for k in range(2):
+                n[k] += sum(batch.column(k).to_pylist())
+                for part in batch.column(2 + k):
+                    seen[k] += np.frombuffer(part.as_py(), np.int32)
+        q, p = seen + 1.0
+        ratio = np.log(p / (n[1] + 2)) - np.log(q / (n[0] + 2))
+        kept = np.nonzero((seen.sum(axis=0) >= 3) & (np.abs(ratio) >= np.maximum(LEAST_RATIO, LEAST_Z * np.sqrt(1 / p + 1 / q))))[0]
+        yield pa.RecordBatch.from_arrays([pa.array([n[0]]), pa.array([n[1]]), pa.array([kept.astype("<i4").tobytes()], pa.binary()), pa.array([ratio[kept].tobytes()], pa.binary())], names=["n0", "n1", "kept", "ratio"])
+
     try:
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen, total = np.zeros((2, 1 << BITS), np.int32), [0, 0]
-            for batch in batches:
-                for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    data, _ = flat([text])
-                    found = np.unique(np.concatenate([h[at] for at, h in (gram_hashes(data, n) for n in GRAMS)]))
-                    seen[label, found] += 1
-                    total[label] += 1
-            if sum(total):
-                yield pa.RecordBatch.from_arrays([pa.array(total, pa.int64()), pa.array([s.tobytes() for s in seen], pa.binary())], names=["n", "seen"])
-
-        sums, n = np.zeros((2, 1 << BITS)), np.zeros(2)
-        for k, row in enumerate(rows.mapInArrow(count, "n long, seen binary").toLocalIterator()):
-            sums[k % 2] += np.frombuffer(row["seen"], np.int32)
-            n[k % 2] += row["n"]
-        if not n.all():
-            share = n[1] / n.sum() if n.sum() else 0.0
+        chosen = rows.select("bytes", "label").mapInArrow(count, "n0 long, n1 long, seen0 binary, seen1 binary").coalesce(1).mapInArrow(choose, "n0 double, n1 double, kept binary, ratio binary").first()
+        if not (chosen and chosen["n0"] and chosen["n1"]):
+            share = chosen["n1"] / (chosen["n0"] + chosen["n1"]) if chosen and chosen["n0"] + chosen["n1"] else 0.0
             return Model(float(np.log((share + 1e-9) / (1 - share + 1e-9))), np.zeros(1 << BITS))
-        q, p = sums + 1.0
-        ratio = np.log(p / (n[1] + 2)) - np.log(q / (n[0] + 2))
-        wanted = (sums.sum(axis=0) >= 3) & (np.abs(ratio) >= LEAST_Z * np.sqrt(1 / p + 1 / q))
+        ratio = np.zeros(1 << BITS)
+        ratio[np.frombuffer(chosen["kept"], "<i4")] = np.frombuffer(chosen["ratio"])
+        shared = spark.sparkContext.broadcast(ratio)
 
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                text, gram = hits(batch.column(0).to_pylist(), wanted)
+                text, gram = hits(batch.column(0).to_pylist(), shared.value != 0)
                 cuts = np.searchsorted(text, np.arange(batch.num_rows + 1))
-                found = [gram[a:b].astype(np.int32) for a, b in zip(cuts, cuts[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["label", "grams"])
-
-        text, gram, label = [], [], []
-        for row in rows.mapInArrow(keep, "label int, grams array<int>").toLocalIterator():
-            gram.append(np.array(row["grams"], np.int64))
-            text.append(np.full(len(gram[-1]), len(label)))
-            label.append(row["label"])
-        return _fit(np.concatenate(text), np.concatenate(gram), np.array(label, float), ratio)
+                found = [gram[a:b].astype("<i4").tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(found, pa.binary())], names=["label", "place", "grams"])
+
+        def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            label, grams = [], []
+            for batch in batches:
+                label += batch.column(0).to_pylist()
+                grams += [np.frombuffer(g.as_py(), "<i4") for g in batch.column(2)]
+            text = np.repeat(np.arange(len(grams), dtype=np.int32), [len(g) for g in grams])
+            model = _fit(text, np.concatenate(grams), np.array(label, float), shared.value)
+            yield pa.RecordBatch.from_arrays([pa.array([model.bias]), pa.array([model.weights.tobytes()], pa.binary())], names=["bias", "weights"])
+
+        marked = rows.mapInArrow(keep, "label int, place long, grams binary").coalesce(1).sortWithinPartitions("place", "label", "grams")
+        found = marked.mapInArrow(fit, "bias double, weights binary").first()
+        return Model(found["bias"], np.frombuffer(found["weights"]))
     finally:
         rows.unpersist()
 
@@ -154,12 +170,14 @@ def held_out(id_col: str, modulus: int = 4, remainder: int = 2):
 
 
 def train_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", limit: int = MAX_TRAIN) -> Model:
-    """Fits on the texts of docs that labels covers and that are not held out. A document with
-    several labels counts as toxic if one says so."""
-    marks = labels.where(~held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label")).where("label is not null")
+    """Fits on the texts of docs that labels covers and that are not held out: of those with label
+    0 or 1, at most `limit` documents, the first in the order of a hash of the id. A document with
+    several labels counts as toxic if one says so; of an id's several texts the least is read."""
+    marks = labels.where(~held_out(id_col) & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
     bound = marks.orderBy(F.xxhash64("id"), "id").limit(limit)  # ids and labels only
-    texts = docs.where(~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return train(texts.join(bound, "id"), limit=limit)
+    texts = docs.where(~held_out(id_col)).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # `limit` rows of two numbers are broadcast, so that no text but the sample's moves
+    return train(texts.join(F.broadcast(bound), "id").groupBy("id", "label").agg(F.min("text").alias("text")))
 
 
 def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
