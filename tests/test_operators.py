@@ -1,0 +1,124 @@
+"""Operators on hand-made rows."""
+
+import random
+
+from pyspark.sql import functions as F
+
+from logloom.functions import keys, redaction
+from logloom.operators import dedup, errors, joins, snapshot, turns, versions
+
+
+def test_native_ids_keep_the_first_and_tell_of_conflicts(spark):
+    rows = spark.createDataFrame([("s", "m1", "a", 1), ("s", "m1", "a", 2), ("s", "m2", "a", 3), ("s", "m1", "b", 4)], "session string, id string, fp string, at int")
+    out = dedup.dedup_records(rows, "session", "id", "fp", ["at"], [F.col("at")]).orderBy("at").collect()
+    assert [r.duplicate for r in out] == [False, True, False, True]
+    assert [r.conflict for r in out] == [False, False, False, True]
+
+
+def test_rows_without_id_keep_intended_repeats_and_drop_replays(spark):
+    first = [("s", None, "a", 100, 1), ("s", None, "a", 200, 2)]
+    replay = [(*r[:4], r[4] + 10) for r in first]
+    rows = spark.createDataFrame(first + replay, "session string, id string, fp string, offset int, at int")
+    out = dedup.dedup_records(rows, "session", "id", "fp", ["offset"], [F.col("at")]).orderBy("at").collect()
+    assert [r.duplicate for r in out] == [False, False, True, True]
+
+
+def test_multiset_except_takes_nulls_as_equal(spark):
+    left = spark.createDataFrame([("u", None, 1), ("u", None, 2), ("u", "x", 3)], "role string, phase string, at int")
+    right = spark.createDataFrame([("u", None)], "role string, phase string")
+    assert sorted(r.at for r in dedup.multiset_except(left, right, ["role", "phase"], [F.col("at")]).collect()) == [2, 3]
+
+
+def test_repeats_refer_to_the_first(spark):
+    rows = spark.createDataFrame([("d", "a", 1), ("d", "b", 2)], "text string, id string, at int")
+    out = dedup.reference_repeats(rows, ["text"], [F.col("at")], "id").orderBy("at").collect()
+    assert [(r.duplicate_of, r.occurrence_count) for r in out] == [(None, 2), ("a", None)]
+
+
+def test_attach_takes_the_latest_earlier_row(spark):
+    calls = spark.createDataFrame([("c", 1, "first"), ("c", 5, "second")], "call string, at int, tool string")
+    outs = spark.createDataFrame([("c", 3), ("c", 5), ("c", 9), ("x", 2)], "call string, seen int")
+    got = {(r.call, r.seen): r.tool for r in joins.attach_latest(outs, calls, ["call"], "seen", "at", ["tool"]).collect()}
+    assert got == {("c", 3): "first", ("c", 5): "first", ("c", 9): "second", ("x", 2): None}
+    assert [r.call for r in joins.attach_latest(outs, calls, ["call"], "seen", "at", ["tool"], "anti").collect()] == ["x"]
+
+
+def test_reconcile_names_every_state(spark):
+    a = spark.createDataFrame([("p", 1), ("q", 1), ("r", 1)], "path string, size int")
+    b = spark.createDataFrame([("p", 1), ("q", 2), ("s", 1)], "path string, size int")
+    assert {r.path: r.state for r in joins.reconcile(a, b, ["path"], ["size"]).collect()} == {"p": "match", "q": "mismatch", "r": "missing", "s": "unexpected"}
+
+
+def test_a_new_turn_supersedes_an_unfinished_one(spark):
+    rows = spark.createDataFrame([("s", 100, "start"), ("s", 200, "start")], "session string, at int, kind string")
+    out = turns.turn_lifecycle(rows, "session", ["at"], "kind").orderBy("at").collect()
+    assert [(r.status, r.reason) for r in out] == [("incomplete", "superseded_by_new_turn"), ("in_progress", None)]
+
+
+def test_rollback_equals_a_stack(spark):
+    rnd, rows, want = random.Random(5), [], []
+    for session in range(20):
+        stack, marks = [], {}
+        for at in range(40):
+            kind = rnd.choice(["push", "push", "pop", "other"])
+            n = rnd.randint(1, 3) if kind == "pop" else 0
+            rows.append((session, at, int(kind == "push"), n))
+            if kind == "push":
+                stack.append(at)
+                marks[at] = False
+            for _ in range(min(n, len(stack))):
+                marks[stack.pop()] = True
+        want += [(session, at, gone) for at, gone in marks.items()]
+    df = spark.createDataFrame(rows, "session int, at int, push int, pop int")
+    out = turns.roll_back(df, "session", ["at"], "push", "pop").where("push = 1")
+    assert sorted((r.session, r.at, r.rolled_back) for r in out.collect()) == sorted(want)
+
+
+def test_errors_resolve_by_a_later_success_of_a_known_operation(spark):
+    rows = spark.createDataFrame([("op", 1, "f"), ("op", 2, "f"), ("op", 3, "s"), ("op", 4, "f"), (None, 1, "f"), (None, 2, "s")], "op string, at int, kind string")
+    out = errors.resolve_errors(rows, ["op"], ["at"], F.col("kind") == "f", F.col("kind") == "s")
+    assert sorted((str(r.op), r.at, r.resolved_by and r.resolved_by.at) for r in out.collect()) == [("None", 1, None), ("op", 1, 3), ("op", 2, 3), ("op", 4, None)]
+
+
+def test_failure_candidates_by_precedence(spark):
+    texts = ["FAIL: a\nx\nERROR: b\nExit code: 1", "Traceback (most recent call last):\n boom\nExit code: 0", "fatal: no repo\nExit code: 128", "oops\nExit code: 2", "fine\nExit code: 0"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(errors.failure_candidates(F.col("t")).alias("c"), errors.exit_code(F.col("t")).alias("code"))
+    out = df.collect()
+    assert [[(x.kind, x.severity) for x in r.c] for r in out] == [[("unit_test", "error")] * 2, [("python_exception", "warning")], [("vcs_fatal", "error")], [("exit_code", "error")], []]
+    assert [r.code for r in out] == [1, 0, 128, 2, 0]
+
+
+def test_versions_change_and_revert(spark):
+    rows = spark.createDataFrame([("t", "60", 1), ("t", "60", 2), ("t", "120", 3), ("t", "60", 4)], "topic string, choice string, at int")
+    out = versions.supersede_chain(rows, "topic", ["choice"], ["at"], "at").orderBy("version").collect()
+    assert [(r.choice, r.n_sources) for r in out] == [("60", 2), ("120", 1), ("60", 1)]
+    assert [r.supersedes for r in out] == [None, out[0].decision_id, out[1].decision_id]
+    assert joins.broken_links(versions.supersede_chain(rows, "topic", ["choice"], ["at"], "at"), "decision_id", "superseded_by", "supersedes").count() == 0
+
+
+def test_retention_never_takes_protected_rows(spark):
+    H = 3600
+    rows = spark.createDataFrame([("current", 20000, True, False), ("previous-1", 2 * H, False, False), ("previous-2", 3 * H, False, False), ("old", 10 * H, False, False), ("pending", 12 * H, False, True)], "id string, age int, cur boolean, pend boolean").withColumn("ws", F.lit("w"))
+    out = versions.retention(rows, "ws", [F.col("age")], F.col("cur"), F.col("pend"), F.col("age"))
+    assert {r.id: r.reason for r in out.collect()} == {"current": "current", "previous-1": "previous_generation", "previous-2": "previous_generation", "old": None, "pending": "pending"}
+
+
+def test_pages_of_one_hundred_and_one(spark):
+    rows = spark.range(101).withColumn("s", F.lit(1))
+    pages = snapshot.page_by_count(rows, ["s"], [F.col("id")]).groupBy("page").count().orderBy("page").collect()
+    assert [r["count"] for r in pages] == [100, 1]
+
+
+def test_redaction_masks_once_and_leaves_mail_and_addresses(spark):
+    text = 'token = "abcdefgh12" and a@b.example at 10.0.0.1, password: "hunter22"'
+    row = spark.createDataFrame([(text,)], "t string").select(redaction.redact(F.col("t")).alias("m"), redaction.redact(redaction.redact(F.col("t"))).alias("mm"), redaction.redactions(F.col("t")).alias("r")).first()
+    assert row.m == 'token = "[REDACTED:token]" and a@b.example at 10.0.0.1, password: "[REDACTED:password]"' == row.mm
+    assert [(x.type, x.n) for x in row.r] == [("token", 1), ("password", 1)]
+
+
+def test_iso_times_and_safe_paths(spark):
+    df = spark.createDataFrame([("2026-01-02T03:04:05Z",), ("2026-01-02T03:04:05",), ("2026-01",), (None,)], "t string")
+    got = [r[0] and r[0].isoformat() for r in df.select(keys.iso_instant(F.col("t"))).collect()]
+    assert got == ["2026-01-02T03:04:05", "2026-01-02T03:04:05", None, None]
+    paths = spark.createDataFrame([("a/b.txt",), ("../x",), ("/abs",), ("a//b",), ("c:\\x",), (None,)], "p string")
+    assert [r[0] for r in paths.select(keys.safe_path(F.col("p"))).collect()] == [True, False, False, False, False, False]
