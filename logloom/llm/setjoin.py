@@ -4,8 +4,9 @@ A unit is a document or a line; its tokens are the distinct k-word shingles of i
 shorter unit is one token). The join takes five steps, none of which holds a group of unbounded
 size in one task or emits the pairs within a group:
 
-1. rarity: counts of hashed words over all units, in a table of fixed size, which gives every
-   token a place in one global order, those with the rarest words first;
+1. rarity: over all units, counts of hashed words and a bitmap of the hashed tokens that occur
+   twice or more, both of bounded size, give every token a place in one global order: those that
+   occur once, then those with the rarest words first;
 2. units: of every unit the number of tokens, a 128-bit signature of its set (units of equal sets
    are one class from here on), and its prefix: the n - ceil(t*n) + 1 rarest tokens, of which two
    units of similarity t or more share one at least;
@@ -22,10 +23,11 @@ them costs a comparison and never changes a result.
 
 from __future__ import annotations
 
+import math
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -38,10 +40,12 @@ from .common import materialise
 
 #: Hash buckets of the word counts, and the pages in which they are summed.
 WORD_BITS, PAGES = 22, 64
+#: Bits of the bitmap: about one for each word of the input, within these powers of two.
+LEAST_BITS, MOST_BITS = 20, 30
 #: Words that a worker remembers before it starts anew; it bounds memory only.
 MEMO = 300_000
 #: Words that are turned into tokens at once.
-CHUNK = 400_000
+CHUNK = 100_000
 #: A group with more units or tokens than this is dealt out as pairs of blocks.
 BLOCK_UNITS, BLOCK_TOKENS = 4096, 3_000_000
 #: Bins of the suffix filter.
@@ -60,6 +64,10 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x
 
 
+#: Odd multipliers of a shingle's words, by place.
+_POWERS = mix(np.arange(1, 65, dtype=np.uint64), 77) | _U(1)
+
+
 def words(unit: bytes) -> list[bytes]:
     """A-Z lower-cased runs of bytes other than 9-13 and 32."""
     return unit.lower().split()
@@ -97,81 +105,136 @@ class _Words(dict):
     def __init__(self):
         super().__init__()
         self.new: list[int] = []
-        self.hashes = np.empty(0, np.uint64)
+        self.hashes, self.filled = np.empty(1 << 16, np.uint64), 0
 
     def __missing__(self, word: bytes) -> int:
         self.new.append(xxhash.xxh3_64_intdigest(word))
         self[word] = at = len(self)
         return at
 
-    def of(self, found: list[bytes]) -> np.ndarray:
+    def of(self, units: list[list[bytes]], count: int) -> np.ndarray:
+        """Hashes of all words of the units, one after the other."""
         if len(self) > MEMO:
             self.clear()
-            self.hashes = np.empty(0, np.uint64)
-        at = np.fromiter(map(self.__getitem__, found), np.int64, len(found))
+            self.filled = 0
+        at = np.fromiter(map(self.__getitem__, chain.from_iterable(units)), np.int64, count)
         if self.new:
-            self.hashes = np.concatenate([self.hashes, np.array(self.new, np.uint64)])
-            self.new = []
+            end = self.filled + len(self.new)
+            if end > len(self.hashes):
+                self.hashes = np.concatenate([self.hashes, np.empty(end, np.uint64)])
+            self.hashes[self.filled : end] = self.new
+            self.filled, self.new = end, []
         return self.hashes[at]
 
 
-def word_rarity(docs: DataFrame, name: str = "bytes") -> np.ndarray:
-    """Of each of 2**WORD_BITS hash buckets: 0 if its words occur once or never, else 1 and more,
-    growing with the logarithm of the count, up to 255. Counts cover all rows; pages of the table
-    are summed on the executors; the driver gets one byte a bucket."""
+@dataclass(frozen=True)
+class Rarity:
+    """words: of each of 2**WORD_BITS hash buckets 0 if its words occur once or never, else 1 and
+    more, growing with the logarithm of the count, up to 255. twice: a bitmap of 2**bits hash
+    buckets, set where tokens occur more than once. Whatever shares a bucket makes a token seem
+    less rare than it is, never rarer."""
+
+    words: np.ndarray
+    twice: np.ndarray
+    bits: int
+
+
+def _hashed(batch: pa.RecordBatch, join: Join, memo: _Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Word hashes and tokens, with repeats, of the units of a batch of texts."""
+    for _, _, units in chunks(join, ((None, b.as_py()) for b in batch.column(0))):
+        size = np.array([len(u) for u in units], np.int64)
+        hashed = memo.of(units, int(size.sum()))
+        full, short = _tokens(join, hashed, size)
+        yield hashed, np.concatenate([full[1], short[1]])
+
+
+def measure_rarity(texts: DataFrame, join: Join) -> Rarity:
+    """Counts over all rows of texts (column bytes). Tasks count into tables of their own, pages of
+    which are summed on the executors; the driver gets one byte a word bucket and one bit a token
+    bucket."""
+    volume = texts.agg(F.sum(F.length("bytes"))).first()[0] or 0
+    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(volume, 1) / 4))))
+    width = (1 << bits) // 8
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, some = np.zeros(1 << WORD_BITS, np.int64), False
+        table, memo, some = np.zeros(1 << WORD_BITS, np.uint32), _Words(), False
+        once, twice = np.zeros(width, np.uint8), np.zeros(width, np.uint8)
         for batch in batches:
-            seen: Counter[bytes] = Counter()
-            for text in batch.column(0):
-                seen.update(words(text.as_py()))
-            if seen:
+            for hashed, token in _hashed(batch, join, memo):
                 some = True
-                at = np.fromiter((xxhash.xxh3_64_intdigest(w) >> (64 - WORD_BITS) for w in seen), np.int64, len(seen))
-                table += np.bincount(at, np.fromiter(seen.values(), np.int64, len(seen)), minlength=len(table)).astype(np.int64)
+                np.add.at(table, (hashed >> _U(64 - WORD_BITS)).astype(np.int64), np.uint32(1))
+                at = np.sort(_bucket(token, bits))
+                first = np.ones(len(at), bool)
+                first[1:] = at[1:] != at[:-1]
+                again, at = np.unique(at[~first]), at[first]
+                cell, bit = at >> 3, np.uint8(1) << (at & 7).astype(np.uint8)
+                known = once[cell] & bit
+                np.bitwise_or.at(twice, cell, known)
+                np.bitwise_or.at(twice, again >> 3, np.uint8(1) << (again & 7).astype(np.uint8))
+                np.bitwise_or.at(once, cell, bit)
         if some:
-            pages = [zlib.compress(p.astype("<i8").tobytes(), 1) for p in table.reshape(PAGES, -1)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(PAGES), pa.int32()), pa.array(pages, pa.binary())], names=["page", "counts"])
+            pack = [[zlib.compress(p.tobytes(), 1) for p in t.reshape(PAGES, -1)] for t in (table, once, twice)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(PAGES), pa.int32()), *(pa.array(x, pa.binary()) for x in pack)], names=["page", "words", "once", "twice"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        sums: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            for page, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(zlib.decompress(counts), "<i8")
-                sums[page] = sums[page] + part if page in sums else part
-        if sums:
-            scale = [np.minimum(255, np.where(s > 1, np.log2(np.maximum(s, 1)) * 8 - 7, 0)).astype(np.uint8).tobytes() for s in sums.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(scale, pa.binary())], names=["page", "scale"])
-
-    pages = docs.select(name).mapInArrow(count, "page int, counts binary").repartition(PAGES, "page").mapInArrow(add, "page int, scale binary").collect()
-    out = np.zeros((PAGES, (1 << WORD_BITS) // PAGES), np.uint8)
+            for page, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words_, once, twice = (np.frombuffer(zlib.decompress(x), t) for x, t in zip(packed, (np.uint32, np.uint8, np.uint8), strict=True))
+                if page in sums:
+                    had = sums[page]
+                    sums[page] = [had[0] + words_, had[1] | once, had[2] | twice | had[1] & once]
+                else:
+                    sums[page] = [words_.astype(np.int64), once, twice]
+        for page, (words_, _, twice) in sums.items():
+            scale = np.minimum(255, np.where(words_ > 1, np.log2(np.maximum(words_, 1)) * 8 - 7, 0)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([page], pa.int32()), pa.array([scale.tobytes()], pa.binary()), pa.array([twice.tobytes()], pa.binary())], names=["page", "words", "twice"])
+
+    pages = texts.select("bytes").mapInArrow(count, "page int, words binary, once binary, twice binary").repartition(PAGES, "page").mapInArrow(add, "page int, words binary, twice binary").collect()
+    table, twice = np.zeros((PAGES, (1 << WORD_BITS) // PAGES), np.uint8), np.zeros((PAGES, width // PAGES), np.uint8)
     for page in pages:
-        out[page["page"]] = np.frombuffer(page["scale"], np.uint8)
-    return out.reshape(-1)
+        table[page["page"]], twice[page["page"]] = np.frombuffer(page["words"], np.uint8), np.frombuffer(page["twice"], np.uint8)
+    return Rarity(table.reshape(-1), twice.reshape(-1), bits)
 
 
-def token_sets(join: Join, memo: _Words, units: list[list[bytes]], rarity: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of units given as words: (starts, keys), where unit u's distinct keys, ascending, are
-    keys[starts[u]:starts[u+1]]. The first byte of a key is its rarity (1 without a table)."""
+def _bucket(token: np.ndarray, bits: int) -> np.ndarray:
+    return (token >> _U(64 - bits)).astype(np.int64)
+
+
+def _tokens(join: Join, hashed: np.ndarray, size: np.ndarray) -> tuple[tuple, tuple]:
+    """Owner, token and first word of the shingles, then of the units shorter than a shingle."""
     k = join.k
-    size = np.array([len(u) for u in units], np.int64)
-    hashed = memo.of([w for u in units for w in u])
-    rare = rarity[(hashed >> _U(64 - WORD_BITS)).astype(np.int64)] if rarity is not None else np.ones(len(hashed), np.uint8)
-    unit = np.repeat(np.arange(len(units)), size)
-    begin = np.cumsum(size) - size
+    unit = np.repeat(np.arange(len(size)), size)
     count = max(0, len(hashed) - k + 1)
-    token, least = np.zeros(count, np.uint64), np.full(count, 255, np.uint8)
-    for j in range(k):
-        token = mix(token ^ hashed[j : j + count], j + 1)
-        least = np.minimum(least, rare[j : j + count])
-    inside = unit[:count] == unit[k - 1 : k - 1 + count]
-    owner, token, least = unit[:count][inside], token[inside], least[inside]
+    token = hashed[:count] * _POWERS[0]
+    for j in range(1, k):
+        token += hashed[j : j + count] * _POWERS[j % len(_POWERS)] + _U(j)
+    inside = np.nonzero(unit[:count] == unit[k - 1 : k - 1 + count])[0]
     short = np.nonzero((size > 0) & (size < k))[0]
-    if len(short):
-        spans = [slice(begin[u], begin[u] + size[u]) for u in short]
-        owner = np.concatenate([owner, short])
-        token = np.concatenate([token, mix(np.array([xxhash.xxh3_64_intdigest(hashed[s].tobytes()) for s in spans], np.uint64), 99)])
-        least = np.concatenate([least, np.array([rare[s].min() for s in spans], np.uint8)])
+    begin = (np.cumsum(size) - size)[short]
+    digest = [xxhash.xxh3_64_intdigest(hashed[b : b + n].tobytes()) for b, n in zip(begin, size[short], strict=True)]
+    return (unit[inside], mix(token[inside]), inside), (short, mix(np.array(digest, np.uint64), 99), begin)
+
+
+def token_sets(join: Join, memo: _Words, units: list[list[bytes]], rarity: Rarity | None) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of units given as words: (starts, keys), where unit u's distinct keys, ascending, are
+    keys[starts[u]:starts[u+1]]. The first byte of a key is its rarity, 0 for a token that occurs
+    once (1 for all without tables)."""
+    size = np.array([len(u) for u in units], np.int64)
+    hashed = memo.of(units, int(size.sum()))
+    full, short = _tokens(join, hashed, size)
+    owner, token, at = (np.concatenate(x) for x in zip(full, short, strict=True))
+    if rarity is None:
+        least = np.ones(len(token), np.uint8)
+    else:
+        rare = rarity.words[(hashed >> _U(64 - WORD_BITS)).astype(np.int64)]
+        span = rare[: max(0, len(rare) - join.k + 1)].copy()
+        for j in range(1, join.k):
+            np.minimum(span, rare[j : j + len(span)], out=span)
+        few = [rare[b : b + size[u]].min() for u, b in zip(short[0], short[2], strict=True)]
+        least = np.concatenate([span[full[2]], np.array(few, np.uint8)])
+        cell = _bucket(token, rarity.bits)
+        least[rarity.twice[cell >> 3] >> (cell & 7).astype(np.uint8) & 1 == 0] = 0
     key = least.astype(np.uint64) << _U(56) | token >> _U(8)
     order = np.argsort(owner.astype(np.uint64) << _U(40) | key >> _U(24))
     owner, key = owner[order], key[order]
@@ -232,7 +295,7 @@ def _first_pass(docs: DataFrame, join: Join, rarity, buckets: int) -> DataFrame:
                 yield _rows(rows, kind=pa.array(np.zeros(rows, np.int32)), doc=pa.array(ids, pa.int64()), line=pa.array(at, pa.int32()), n=pa.array(n.astype(np.int32)), sig1=pa.array(sig1), sig2=pa.array(sig2))
                 place = np.arange(len(keys)) - np.repeat(starts[:-1], n)
                 chosen = place < np.repeat(join.prefix(n), n)
-                chosen &= keys >> _U(56) > 0  # the others hold a word that occurs once, so no other unit has them
+                chosen &= keys >> _U(56) > 0  # no other unit has the others
                 held.append((keys[chosen], np.repeat(sig1, n)[chosen]))
             if not held:
                 continue
@@ -386,8 +449,17 @@ class Group:
             self.mark[ranks[starts[x] : starts[x + 1]]] = False
 
 
+def _pair_links(join: Join, a: np.ndarray, b: np.ndarray) -> bool:
+    short, long = sorted((len(a), len(b)))
+    if 100 * short < join.percent * long:  # length filter
+        return False
+    return bool(join.links(np.array(len(np.intersect1d(a, b, assume_unique=True))), np.array(len(a)), len(b)))
+
+
 def link_components(join: Join, sets: list[np.ndarray], block: np.ndarray | None = None) -> np.ndarray:
     """Least index of each unit's linked component."""
+    if len(sets) == 2:  # most groups are one pair
+        return np.array([0, 0 if _pair_links(join, *sets) else 1])
     group = Group(join, sets, block)
     label = np.arange(len(sets))
 
@@ -407,6 +479,8 @@ def link_components(join: Join, sets: list[np.ndarray], block: np.ndarray | None
 
 def link_earlier(join: Join, sets: list[np.ndarray], block: np.ndarray | None = None) -> np.ndarray:
     """Whether a unit links with one before it in the order given."""
+    if len(sets) == 2:
+        return np.array([False, _pair_links(join, *sets)])
     group = Group(join, sets, block)
     place, gone = group.order, np.zeros(len(sets), bool)
 
@@ -438,7 +512,7 @@ def similar_sets(docs: DataFrame, join: Join, mode: str, id_col: str = "doc_id",
     """mode: components or earlier. Rows of docs with a null id take no part."""
     spark = docs.sparkSession
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("bytes"))
-    rarity = spark.sparkContext.broadcast(word_rarity(texts))  # 4 MB, whatever the data
+    rarity = spark.sparkContext.broadcast(measure_rarity(texts, join))  # at most 4 MB + 2**MOST_BITS bits
     buckets = 8 * max(8, texts.rdd.getNumPartitions())
     passed = materialise(_first_pass(texts, join, rarity, buckets), "units")
     units = passed.where("kind = 0").select("doc", "line", "n", "sig1", "sig2")
@@ -451,8 +525,7 @@ def similar_sets(docs: DataFrame, join: Join, mode: str, id_col: str = "doc_id",
     own = F.pmod(F.xxhash64("sig1", "sig2", F.lit(5)), F.col("blocks")).cast("int")
     dealt = sized.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "first", "sig1", "sig2")
-    texts_of = _unit_texts(texts, join, dealt)
-    linked = _link(texts_of, join, mode)
+    linked = _link(_unit_texts(texts, join, candidates, dealt), join, mode)
     if mode == "components":
         spread = linked.where("root != first")
         if sized.where("blocks > 1").isEmpty():
@@ -464,14 +537,59 @@ def similar_sets(docs: DataFrame, join: Join, mode: str, id_col: str = "doc_id",
     return Classes(units, classes, linked)
 
 
-def _unit_texts(texts: DataFrame, join: Join, dealt: DataFrame) -> DataFrame:
-    """The units that dealt names, cut out of their documents' texts."""
-    wanted = dealt.withColumn("doc", F.col("first.doc"))
-    rows = texts.join(wanted, "doc").select("bytes", "component", "i", "j", "block", "first", "sig1", "sig2")
-    if join.cut is whole:
-        return rows
-    unit = F.element_at(F.split(F.col("bytes").cast("string"), "\n"), F.col("first.line") + 1)
-    return rows.withColumn("bytes", unit.cast("binary"))
+def _place(doc: np.ndarray, line: np.ndarray, bits: int) -> np.ndarray:
+    return _bucket(mix(doc.astype(np.int64).view(np.uint64) ^ mix(line.astype(np.uint64), 5), 9), bits)
+
+
+def _marks(units: DataFrame) -> tuple[np.ndarray, int]:
+    """A bitmap of hashed (doc, line), sixteen bits a unit up to 2**MOST_BITS, or-ed by page on the
+    executors."""
+    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(16 * max(1, units.count())))))
+    width = (1 << bits) // 8
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(width, np.uint8)
+        for batch in batches:
+            at = _place(batch.column(0).to_numpy(), batch.column(1).to_numpy(), bits)
+            np.bitwise_or.at(table, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+        pages = [(k, zlib.compress(p.tobytes(), 1)) for k, p in enumerate(table.reshape(PAGES, -1)) if p.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in pages], pa.int32()), pa.array([p for _, p in pages], pa.binary())], names=["page", "bits"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for page, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                part = np.frombuffer(zlib.decompress(packed), np.uint8)
+                sums[page] = sums[page] | part if page in sums else part
+        for page, found in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([page], pa.int32()), pa.array([found.tobytes()], pa.binary())], names=["page", "bits"])
+
+    table = np.zeros((PAGES, width // PAGES), np.uint8)
+    for row in units.mapInArrow(mark, "page int, bits binary").repartition(PAGES, "page").mapInArrow(add, "page int, bits binary").collect():
+        table[row["page"]] = np.frombuffer(row["bits"], np.uint8)
+    return table.reshape(-1), bits
+
+
+def _unit_texts(texts: DataFrame, join: Join, candidates: DataFrame, dealt: DataFrame) -> DataFrame:
+    """The units that dealt names, cut out of their documents' texts. A bitmap of the candidates
+    keeps most other texts out of the shuffle; the join that follows decides."""
+    marks, bits = _marks(candidates.select("first.doc", "first.line"))
+    shared = texts.sparkSession.sparkContext.broadcast(marks)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, lines_, found = [], [], []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                units = join.cut(text.as_py())
+                at = _place(np.array([doc]), np.arange(len(units)), bits)
+                for k in np.nonzero(shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1)[0].tolist():
+                    docs.append(doc)
+                    lines_.append(k)
+                    found.append(units[k])
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(lines_, pa.int32()), pa.array(found, pa.binary())], names=["doc", "line", "bytes"])
+
+    wanted = dealt.withColumn("doc", F.col("first.doc")).withColumn("line", F.col("first.line"))
+    return texts.mapInArrow(cut, "doc long, line int, bytes binary").join(wanted, ["doc", "line"]).select("bytes", "component", "i", "j", "block", "first", "sig1", "sig2")
 
 
 def _link(rows: DataFrame, join: Join, mode: str) -> DataFrame:
@@ -479,49 +597,54 @@ def _link(rows: DataFrame, join: Join, mode: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Words()
+        made = pa.schema([("first", pa.struct([("doc", pa.int64()), ("line", pa.int32())])), (out.split(" ")[0], pa.struct([("doc", pa.int64()), ("line", pa.int32())]) if mode == "components" else pa.bool_())])
+        held: list[dict] = []
         for table in _groups(batches, ["component", "i", "j"]):
-            first = table["first"].to_pylist()
-            found = [words(b) for b in table["bytes"].to_pylist()]
-            starts, keys = token_sets(join, memo, found, None)
+            first, block = table["first"].to_pylist(), table["block"].to_numpy()
+            starts, keys = token_sets(join, memo, [words(b) for b in table["bytes"].to_pylist()], None)
             sig1, sig2 = signatures(starts, keys)
             # a document id that occurs with several texts brings texts of another class along
             right = (sig1 == table["sig1"].to_numpy()) & (sig2 == table["sig2"].to_numpy())
-            seen, kept = set(), []
-            for u in np.nonzero(right)[0]:
-                if (sig1[u], sig2[u]) not in seen:
-                    seen.add((sig1[u], sig2[u]))
-                    kept.append(u)
-            kept.sort(key=lambda u: (first[u]["doc"], first[u]["line"]))
-            if len(kept) < 2:
-                continue
-            sets = [keys[starts[u] : starts[u + 1]] for u in kept]
-            block = table["block"].to_numpy()[kept]
-            names = pa.array([first[u] for u in kept], pa.struct([("doc", pa.int64()), ("line", pa.int32())]))
-            if mode == "components":
-                got = names.take(pa.array(link_components(join, sets, block)))
-            else:
-                got = pa.array(link_earlier(join, sets, block))
-            yield pa.RecordBatch.from_arrays([names, got], names=["first", out.split(" ")[0]])
+            number = table["group"].to_numpy()
+            cuts = np.concatenate([[0], np.nonzero(np.diff(number))[0] + 1, [len(number)]])
+            for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+                kept = {(sig1[u], sig2[u]): u for u in range(begin, end) if right[u]}.values()
+                if len(kept) < 2:
+                    continue
+                kept = sorted(kept, key=lambda u: (first[u]["doc"], first[u]["line"]))
+                sets = [keys[starts[u] : starts[u + 1]] for u in kept]
+                got = link_components(join, sets, block[kept]) if mode == "components" else link_earlier(join, sets, block[kept])
+                for u, g in zip(kept, got.tolist(), strict=True):
+                    held.append({made.names[0]: first[u], made.names[1]: first[kept[g]] if mode == "components" else g})
+            if len(held) > 10_000:
+                yield pa.RecordBatch.from_pylist(held, schema=made)
+                held = []
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema=made)
 
     parts = rows.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
     return materialise(parts.mapInArrow(run, f"first struct<doc:long,line:int>, {out}"), "linked")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
-    """Runs of rows that agree in `by`, of batches that are sorted by it."""
+    """Whole runs of rows that agree in `by`, of batches that are sorted by it: as many runs a
+    table as end within a batch, numbered in column group."""
     held: list[pa.RecordBatch] = []
-    last = None
+    last, number = None, 0
     for batch in batches:
         keys = list(zip(*(batch[c].to_pylist() for c in by), strict=True))
-        begin = 0
-        for k in range(1, len(keys) + 1):
-            if k == len(keys) or keys[k] != keys[begin]:
-                if keys[begin] != last and held:
-                    yield pa.Table.from_batches(held).combine_chunks()
-                    held = []
-                last = keys[begin]
-                held.append(batch.slice(begin, k - begin))
-                begin = k
+        numbers = []
+        for key in keys:
+            number += key != last
+            last = key
+            numbers.append(number)
+        batch = batch.append_column("group", pa.array(numbers, pa.int64()))
+        cut = numbers.index(number)  # what lies before is complete
+        if cut or (held and held[-1]["group"][-1].as_py() != number):
+            done = [*held, batch.slice(0, cut)] if cut else held
+            yield pa.Table.from_batches(done).combine_chunks()
+            held = []
+        held.append(batch.slice(cut))
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 
