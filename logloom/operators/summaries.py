@@ -13,7 +13,7 @@ GENERIC = r"(?i)^(?:done|ok(?:ay)?|all done|finished|completed|fixed)[.!]?$"
 CHECKED = r"(?i)\b(?:test|tests|verified|checked|passed|lint)\b"
 NEXT = [r"(?im)^\s*(?:next (?:task|step)|todo)\s*[:\-]\s*(.+)$", r"(?i)\bthe next (?:task|step) is (?:to )?([^.\n]+)", r"(?i)\bnext,? (?:i|we) (?:will|should) ([^.\n]+)"]
 REASON = r"(?i)^(?:because|since) ([^,]+), (?=.)"
-REJECTED = r"(?i)\b(?:we|i) (?:will not|won't|decided against|reject(?:ed)?) (?:using |to use )?([^.,;]+)"
+REJECTED = r"(?i)\b(?:we|i) (?:will not|won't|decided against|reject(?:ed)?) (?:using |to use |use )?([^.,;]+)"
 ADOPTED = r"(?i)\b(?:we|i) (?:will use|decided (?:to use|on)|chose|adopt(?:ed)?) ([^.,;]+?)(?: for ([^.,;]+))?(?=[.,;]|$)"
 MAYBE = r"(?i)\b(?:maybe|perhaps|might|could|consider)\b|\?$"
 
