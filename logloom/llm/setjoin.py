@@ -24,15 +24,14 @@ them costs a comparison and never changes a result.
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,10 +41,10 @@ from .common import materialise
 WORD_BITS, PAGES = 22, 64
 #: Bits of the bitmap: about one for each word of the input, within these powers of two.
 LEAST_BITS, MOST_BITS = 20, 30
-#: Words that a worker remembers before it starts anew; it bounds memory only.
-MEMO = 300_000
-#: Words that are turned into tokens at once.
-CHUNK = 100_000
+#: Bytes of text that are turned into tokens at once; longer texts are taken one by one.
+CHUNK = 1 << 20
+#: Bytes of a word that are hashed in steps of eight, all words together; the rest goes at once.
+HEAD = 64
 #: A group with more units or tokens than this is dealt out as pairs of blocks.
 BLOCK_UNITS, BLOCK_TOKENS = 4096, 3_000_000
 #: Bins of the suffix filter.
@@ -99,32 +98,34 @@ class Join:
         return 100 * both >= self.percent * (n + m - both)
 
 
-class _Words(dict):
-    """Word -> index into hashes; grows as words appear."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[int] = []
-        self.hashes, self.filled = np.empty(1 << 16, np.uint64), 0
-
-    def __missing__(self, word: bytes) -> int:
-        self.new.append(xxhash.xxh3_64_intdigest(word))
-        self[word] = at = len(self)
-        return at
-
-    def of(self, units: list[list[bytes]], count: int) -> np.ndarray:
-        """Hashes of all words of the units, one after the other."""
-        if len(self) > MEMO:
-            self.clear()
-            self.filled = 0
-        at = np.fromiter(map(self.__getitem__, chain.from_iterable(units)), np.int64, count)
-        if self.new:
-            end = self.filled + len(self.new)
-            if end > len(self.hashes):
-                self.hashes = np.concatenate([self.hashes, np.empty(end, np.uint64)])
-            self.hashes[self.filled : end] = self.new
-            self.filled, self.new = end, []
-        return self.hashes[at]
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def hash_words(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the units, one after the other, and each unit's number of
+    words. Words are hashed eight bytes a step, all of them together."""
+    joined = b"\n" + b"\n".join(units).lower() + b"\n"
+    letters = np.frombuffer(joined, np.uint8)
+    inside = (letters != 32) & ((letters - np.uint8(9)) > 4)
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    start, size = edges[0::2], edges[1::2] - edges[0::2]
+    ends = np.cumsum(np.fromiter(map(len, units), np.int64, len(units)) + 1) + 1
+    counts = np.diff(np.searchsorted(start, ends), prepend=0)
+    hashed = size.astype(np.uint64)
+    eights = np.ndarray((len(letters),), "<u8", joined + bytes(8), strides=(1,))
+    for begin in range(0, len(start), CHUNK):
+        chosen = slice(begin, begin + CHUNK)
+        first, length, out = start[chosen], size[chosen], hashed[chosen]
+        near = np.ascontiguousarray(eights[first[0] : first[-1] + HEAD])
+        at, rest = first - first[0], np.arange(len(first))
+        for step in range(0, HEAD, 8):
+            out[rest] = mix(out[rest] ^ near[at[rest] + step] & _MASK[np.minimum(length[rest] - step, 8)], step)
+            rest = rest[length[rest] > step + 8]
+            if not len(rest):
+                break
+        for k in rest.tolist():
+            out[k] = xxhash.xxh3_64_intdigest(joined[first[k] : first[k] + length[k]])
+    return hashed, counts
 
 
 @dataclass(frozen=True)
@@ -139,15 +140,29 @@ class Rarity:
     bits: int
 
 
-def _hashed(batch: pa.RecordBatch, join: Join, memo: _Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _hashed(batch: pa.RecordBatch, join: Join) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Word hashes and tokens, with repeats, of the units of a batch of texts."""
     for _, _, units in chunks(join, ((None, b.as_py()) for b in batch.column(0))):
-        size = np.array([len(u) for u in units], np.int64)
-        hashed = memo.of(units, int(size.sum()))
+        hashed, size = hash_words(units)
         full, short = _tokens(join, hashed, size)
         yield hashed, np.concatenate([full[1], short[1]])
 
 
+def _packed(page: np.ndarray) -> bytes:
+    return zstandard.compress(page.tobytes(), 1)
+
+
+def _unpacked(page: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(page), kind)
+
+
+def _cells(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a bitmap and their bits, of ascending bit numbers."""
+    cell, bit = at >> 3, np.uint8(1) << (at & 7).astype(np.uint8)
+    first = np.flatnonzero(np.diff(cell, prepend=-1))
+    return cell[first], np.bitwise_or.reduceat(bit, first) if len(at) else bit
+
+
 def measure_rarity(texts: DataFrame, join: Join) -> Rarity:
     """Counts over all rows of texts (column bytes). Tasks count into tables of their own, pages of
     which are summed on the executors; the driver gets one byte a word bucket and one bit a token
@@ -157,30 +172,29 @@ def measure_rarity(texts: DataFrame, join: Join) -> Rarity:
     width = (1 << bits) // 8
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, memo, some = np.zeros(1 << WORD_BITS, np.uint32), _Words(), False
+        table, some = np.zeros(1 << WORD_BITS, np.uint32), False
         once, twice = np.zeros(width, np.uint8), np.zeros(width, np.uint8)
         for batch in batches:
-            for hashed, token in _hashed(batch, join, memo):
+            for hashed, token in _hashed(batch, join):
                 some = True
                 np.add.at(table, (hashed >> _U(64 - WORD_BITS)).astype(np.int64), np.uint32(1))
                 at = np.sort(_bucket(token, bits))
-                first = np.ones(len(at), bool)
-                first[1:] = at[1:] != at[:-1]
-                again, at = np.unique(at[~first]), at[first]
-                cell, bit = at >> 3, np.uint8(1) << (at & 7).astype(np.uint8)
-                known = once[cell] & bit
-                np.bitwise_or.at(twice, cell, known)
-                np.bitwise_or.at(twice, again >> 3, np.uint8(1) << (again & 7).astype(np.uint8))
-                np.bitwise_or.at(once, cell, bit)
+                new = np.diff(at, prepend=-1) != 0
+                again, more = _cells(at[~new])
+                twice[again] |= more
+                cell, bit = _cells(at[new])
+                known = once[cell]
+                twice[cell] |= known & bit
+                once[cell] = known | bit
         if some:
-            pack = [[zlib.compress(p.tobytes(), 1) for p in t.reshape(PAGES, -1)] for t in (table, once, twice)]
+            pack = [[_packed(p) for p in t.reshape(PAGES, -1)] for t in (table, once, twice)]
             yield pa.RecordBatch.from_arrays([pa.array(range(PAGES), pa.int32()), *(pa.array(x, pa.binary()) for x in pack)], names=["page", "words", "once", "twice"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             for page, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words_, once, twice = (np.frombuffer(zlib.decompress(x), t) for x, t in zip(packed, (np.uint32, np.uint8, np.uint8), strict=True))
+                words_, once, twice = (_unpacked(x, t) for x, t in zip(packed, (np.uint32, np.uint8, np.uint8), strict=True))
                 if page in sums:
                     had = sums[page]
                     sums[page] = [had[0] + words_, had[1] | once, had[2] | twice | had[1] & once]
@@ -216,12 +230,11 @@ def _tokens(join: Join, hashed: np.ndarray, size: np.ndarray) -> tuple[tuple, tu
     return (unit[inside], mix(token[inside]), inside), (short, mix(np.array(digest, np.uint64), 99), begin)
 
 
-def token_sets(join: Join, memo: _Words, units: list[list[bytes]], rarity: Rarity | None) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of units given as words: (starts, keys), where unit u's distinct keys, ascending, are
+def token_sets(join: Join, units: list[bytes], rarity: Rarity | None) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of units: (starts, keys), where unit u's distinct keys, ascending, are
     keys[starts[u]:starts[u+1]]. The first byte of a key is its rarity, 0 for a token that occurs
     once (1 for all without tables)."""
-    size = np.array([len(u) for u in units], np.int64)
-    hashed = memo.of(units, int(size.sum()))
+    hashed, size = hash_words(units)
     full, short = _tokens(join, hashed, size)
     owner, token, at = (np.concatenate(x) for x in zip(full, short, strict=True))
     if rarity is None:
@@ -259,16 +272,15 @@ def signatures(starts: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nda
     return tuple(mix(_sums(mix(keys, salt), starts), salt).view(np.int64) for salt in (7, 1001))
 
 
-def chunks(join: Join, texts: Iterator[tuple[object, bytes]]) -> Iterator[tuple[list, list[int], list[list[bytes]]]]:
-    """Units of (id, text) pairs with id and place in the text, in pieces of about CHUNK words."""
+def chunks(join: Join, texts: Iterator[tuple[object, bytes]]) -> Iterator[tuple[list, list[int], list[bytes]]]:
+    """Units of (id, text) pairs with id and place in the text, in pieces of about CHUNK bytes."""
     ids, at, units, size = [], [], [], 0
     for ident, text in texts:
-        for number, unit in enumerate(join.cut(text)):
-            found = words(unit)
-            ids.append(ident)
-            at.append(number)
-            units.append(found)
-            size += len(found)
+        found = join.cut(text)
+        ids.extend([ident] * len(found))
+        at.extend(range(len(found)))
+        units.extend(found)
+        size += len(text)
         if size > CHUNK:
             yield ids, at, units
             ids, at, units, size = [], [], [], 0
@@ -283,12 +295,11 @@ _PASS = "kind int, doc long, line int, n int, sig1 long, sig2 long, bucket int,
 
 def _first_pass(docs: DataFrame, join: Join, rarity, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Words()
         for batch in batches:
             pairs = zip(batch.column(0).to_pylist(), (b.as_py() for b in batch.column(1)), strict=True)
             held = []
             for ids, at, units in chunks(join, pairs):
-                starts, keys = token_sets(join, memo, units, rarity.value)
+                starts, keys = token_sets(join, units, rarity.value)
                 n = np.diff(starts)
                 sig1, sig2 = signatures(starts, keys)
                 rows = len(n)
@@ -552,14 +563,14 @@ def _marks(units: DataFrame) -> tuple[np.ndarray, int]:
         for batch in batches:
             at = _place(batch.column(0).to_numpy(), batch.column(1).to_numpy(), bits)
             np.bitwise_or.at(table, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
-        pages = [(k, zlib.compress(p.tobytes(), 1)) for k, p in enumerate(table.reshape(PAGES, -1)) if p.any()]
+        pages = [(k, _packed(p)) for k, p in enumerate(table.reshape(PAGES, -1)) if p.any()]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in pages], pa.int32()), pa.array([p for _, p in pages], pa.binary())], names=["page", "bits"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for page, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(zlib.decompress(packed), np.uint8)
+                part = _unpacked(packed, np.uint8)
                 sums[page] = sums[page] | part if page in sums else part
         for page, found in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([page], pa.int32()), pa.array([found.tobytes()], pa.binary())], names=["page", "bits"])
@@ -596,12 +607,11 @@ def _link(rows: DataFrame, join: Join, mode: str) -> DataFrame:
     out = "root struct<doc:long,line:int>" if mode == "components" else "gone boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Words()
         made = pa.schema([("first", pa.struct([("doc", pa.int64()), ("line", pa.int32())])), (out.split(" ")[0], pa.struct([("doc", pa.int64()), ("line", pa.int32())]) if mode == "components" else pa.bool_())])
         held: list[dict] = []
         for table in _groups(batches, ["component", "i", "j"]):
             first, block = table["first"].to_pylist(), table["block"].to_numpy()
-            starts, keys = token_sets(join, memo, [words(b) for b in table["bytes"].to_pylist()], None)
+            starts, keys = token_sets(join, table["bytes"].to_pylist(), None)
             sig1, sig2 = signatures(starts, keys)
             # a document id that occurs with several texts brings texts of another class along
             right = (sig1 == table["sig1"].to_numpy()) & (sig2 == table["sig2"].to_numpy())

@@ -4,6 +4,8 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 
 from logloom.llm import near_duplicates, setjoin
 
@@ -109,3 +111,12 @@ def test_odd_rows(odd_docs, no_docs):
     text = {(r.doc_id, r.text, r.n_chars) for r in lines.where("doc_id in (1, 2, 3, 4, 6) or doc_id is null").collect()}
     assert text == {(1, "One two three four five six seven", 33), (2, None, 0), (3, "", 0), (4, " \n\t ", 4), (6, "", 0), (None, "no id at all here", 17)}
     assert near_duplicates.ngram_components(no_docs).count() == near_duplicates.dedup_lines(no_docs).count() == near_duplicates.drop_near_duplicates(no_docs).count() == 0
+
+
+@given(st.lists(st.one_of(st.text(alphabet="aAbZ \t\n\r\x0b\x0cé", max_size=40), st.text(alphabet="ab ", min_size=60, max_size=400)), max_size=6))
+def test_word_hashes(texts):
+    units = [t.encode() for t in texts]
+    hashed, size = setjoin.hash_words(units)
+    words = [w for u in units for w in setjoin.words(u)]
+    assert size.tolist() == [len(setjoin.words(u)) for u in units]
+    assert len(hashed) == len(words) and len(set(zip(words, hashed.tolist(), strict=True))) == len(set(words)) == len(set(hashed.tolist()))
