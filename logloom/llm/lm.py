@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,8 +43,8 @@ SEGMENT, LANES = 1024, 2048
 RATE, START, MAP_RATE, MAP_SHARE = 0.02, 0.3, 0.03, 0.4
 #: Logits are kept as signed bytes of this many steps a unit.
 STEPS = 16.0
-#: Bytes of text that are coded at once.
-CHUNK = 1 << 19
+#: Bytes of text that are mixed together, and those whose contexts are hashed together.
+CHUNK, BLOCK = 1 << 20, 1 << 16
 
 _U = np.uint64
 _ODD, _MIX = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
@@ -54,7 +54,19 @@ _MAP_BINS = 24
 
 
 def stream(text: bytes) -> bytes:
-    return b"".join([w + b" " for w in words(text)]) + END
+    return _stream(words(text))
+
+
+def _stream(found: list[bytes]) -> bytes:
+    return b" ".join([*found, END]) if found else END
+
+
+class _Numbers(dict):
+    """Numbers keys from 0 as they appear."""
+
+    def __missing__(self, key: bytes) -> int:
+        self[key] = number = len(self)
+        return number
 
 
 def nibbles(texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
@@ -66,9 +78,9 @@ def nibbles(texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.ndarra
     start = np.cumsum(size + 8) - size
     inside = np.ones(len(padded) - 8, bool)
     inside[(start[:, None] - np.arange(1, 9)).reshape(-1)] = False
-    at = np.nonzero(inside)[0]
-    window = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))[at - 8]  # the eight bytes before
-    flat = padded[at]
+    inside = inside[8:]
+    window = np.ascontiguousarray(np.ndarray((len(inside),), "<u8", padded, strides=(1,)))[inside]  # the eight bytes before
+    flat = padded[8:-8][inside]
     code = _CODE[flat]
     rare = code == 15
     length = np.where(rare, 3, 1)
@@ -77,22 +89,35 @@ def nibbles(texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.ndarra
     high, low = flat[rare] >> 4, flat[rare] & 15
     out = np.empty(length.sum(), np.uint8)
     out[head], out[second], out[second + 1] = code, high, low
+    window, salt, nibble = np.repeat(window, length), np.zeros(len(out), np.uint64), out.astype(np.uint64)
+    salt[second], salt[second + 1] = _U(1 << 32), _U(2) + high << _U(32)
     cells = []
     for order in ORDERS:
-        context = (window >> _U(64 - 8 * order)) * _ODD + _U(order)
-        cell = np.empty(len(out), np.int64)
-        cell[head] = _row_of(context) | code
-        cell[second] = _row_of(context[rare] + _U(1 << 32)) | high
-        cell[second + 1] = _row_of(context[rare] + (_U(2) + high << _U(32))) | low
-        cells.append(cell)
+        context = window >> _U(64 - 8 * order)
+        context *= _ODD
+        context += salt
+        context += _U(order)
+        context ^= context >> _U(31)
+        context *= _MIX
+        context >>= _U(64 - ROW_BITS)
+        context <<= _U(4)
+        context |= nibble
+        cells.append(context.view(np.int64))
     begin = np.cumsum(size) - size
     return out, cells, np.append(head[begin], len(out))
 
 
-def _row_of(context: np.ndarray) -> np.ndarray:
-    """A context's row, times 16."""
-    mixed = (context ^ context >> _U(31)) * _MIX
-    return (mixed >> _U(64 - ROW_BITS) << _U(4)).astype(np.int64)
+def _pieces(texts: Iterable[bytes], most: int) -> Iterator[list[bytes]]:
+    """Texts in turn, in lists of about so many bytes."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size > most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def logits(counts: np.ndarray) -> np.ndarray:
@@ -122,27 +147,30 @@ class Model:
     def ready(self) -> list[np.ndarray]:
         if not hasattr(self, "_paths"):
             self._paths = [paths(np.frombuffer(t, np.int8).reshape(-1, 16)) for t in self.tables]
+            self.tables = []  # an executor's copy is not sent on
         return self._paths
 
     def __getstate__(self):
         return {"tables": self.tables}
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text."""
-        out, group, size = [], [], 0
-        for text in texts:
-            group.append(stream(text))
-            size += len(group[-1])
-            if size > CHUNK:
-                out.append(self._score(group))
-                group, size = [], 0
-        if group:
-            out.append(self._score(group))
-        return np.concatenate(out) if out else np.zeros(0)
+    def score(self, texts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of each text, and the bytes of its stream."""
+        score, size = [np.zeros(0)], [np.zeros(0, np.int64)]
+        for group in _pieces(map(stream, texts), CHUNK):
+            score.append(self._score(group))
+            size.append(np.array([len(t) for t in group]))
+        return np.concatenate(score), np.concatenate(size)
 
     def _score(self, texts: list[bytes]) -> np.ndarray:
-        nibble, cells, starts = nibbles(texts)
-        words_ = [t[c] for t, c in zip(self.ready(), cells, strict=True)]
+        nibble, words_, starts, size = [], [], [], 0
+        for piece in _pieces(texts, BLOCK):
+            found, cells, begin = nibbles(piece)
+            nibble.append(found)
+            words_.append([t.take(c, mode="clip") for t, c in zip(self.ready(), cells, strict=True)])
+            starts.append(begin[:-1] + size)
+            size += len(found)
+        nibble, words_ = np.concatenate(nibble), [np.concatenate(x) for x in zip(*words_, strict=True)]
+        starts = np.append(np.concatenate(starts), size)
         lanes = [np.arange(a, b, SEGMENT) for a, b in zip(starts[:-1], starts[1:], strict=False)]
         text_of = np.repeat(np.arange(len(texts)), [len(x) for x in lanes])
         begin = np.concatenate(lanes)
@@ -155,43 +183,53 @@ class Model:
         return total / math.log(10)
 
 
-_BITS = (np.arange(16)[:, None] >> np.array([3, 2, 1, 0]) & 1).astype(np.float32)
+#: A nibble's bits, one a byte.
+_BITS = (np.arange(16)[:, None] >> np.array([3, 2, 1, 0]) & 1).astype(np.int8).view(np.int32).reshape(-1)
 
 
 def _mix_lanes(nibble: np.ndarray, outputs: list[np.ndarray], begin: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Natural logarithm of the probability of each lane: length nibbles from begin. Lanes come
     longest first, and go through the nibbles together."""
     lanes, inputs = len(begin), len(outputs)
-    weight = np.full((inputs, lanes, 4), START, np.float32)
+    weight = np.full((inputs, 4 * lanes), START, np.float32)
     edges = 1 / (1 + np.exp(-np.linspace(-8, 8, _MAP_BINS)))
-    refined = np.tile(edges.astype(np.float32), (lanes, 4, 1))
-    table = refined.reshape(-1)
+    table = np.tile(edges.astype(np.float32), 4 * lanes)
     total = np.zeros(lanes)
-    base = (np.arange(lanes)[:, None] * 4 + np.arange(4)) * _MAP_BINS
+    base = np.arange(4 * lanes) * _MAP_BINS + _MAP_BINS // 2
     active = np.searchsorted(-length, -np.arange(int(length[0])), side="left")
-    s = np.empty((inputs, lanes, 4), np.float32)
+    inputs_, spare, mixed = (np.empty((k, 4 * lanes), np.float32) for k in (inputs, 1, 1))
     for step in range(int(length[0])):
-        n = active[step]
+        n = int(active[step])
         at = begin[:n] + step
         for k in range(inputs):
-            s[k, :n] = outputs[k][at].view(np.int8).reshape(n, 4)
-        w, x = weight[:, :n], s[:, :n]
-        dot = np.einsum("kij,kij->ij", w, x)
-        np.clip(dot, -8 * STEPS, 8 * STEPS, out=dot)
-        bit = _BITS[nibble[at]]
-        cell = base[:n] + (dot * ((_MAP_BINS - 1) / 16 / STEPS) + _MAP_BINS / 2).astype(np.int64)
+            inputs_[k, : 4 * n] = outputs[k].take(at, mode="clip").view(np.int8)
+        w, x, dot, part = weight[:, : 4 * n], inputs_[:, : 4 * n], mixed[0, : 4 * n], spare[0, : 4 * n]
+        np.multiply(w[0], x[0], out=dot)
+        for k in range(1, inputs):
+            np.multiply(w[k], x[k], out=part)
+            dot += part
+        np.minimum(dot, 8 * STEPS, out=dot)
+        np.maximum(dot, -8 * STEPS, out=dot)
+        bit = _BITS.take(nibble.take(at, mode="clip"), mode="clip").view(np.int8).astype(np.float32)
+        cell = np.floor(np.multiply(dot, (_MAP_BINS - 1) / 16 / STEPS, out=part), out=part).astype(np.int64)
+        cell += base[: 4 * n]
         dot *= -1 / STEPS
         np.exp(dot, out=dot)
         dot += 1
         p = np.reciprocal(dot, out=dot)
-        q = table[cell]
-        table[cell] = q + MAP_RATE * (bit - q)
+        q = table.take(cell, mode="clip")
+        np.subtract(bit, q, out=part)
+        part *= MAP_RATE
+        part += q
+        table[cell] = part
         q -= p
         q *= MAP_SHARE
         q += p
-        q -= 1 - bit  # the probability of what came true, or its negative
-        total[:n] += np.log(np.abs(q[:, 0] * q[:, 1] * q[:, 2] * q[:, 3]))
         p -= bit
+        bit -= 1
+        q += bit  # the probability of what came true, or its negative
+        q = q.reshape(n, 4)
+        total[:n] += np.log(np.abs(q[:, 0] * q[:, 1] * q[:, 2] * q[:, 3]))
         p *= RATE / STEPS
         x *= p
         w -= x
@@ -222,17 +260,14 @@ def _count_pass(texts: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             part += 1
             held = batch.column("held").to_numpy(zero_copy_only=False)
-            number: dict[bytes, int] = {b"": 0}
+            number = _Numbers({b"": 0})
             ids, sizes, learning, size = [], [], [], 0
             for text, out in zip(batch.column("bytes"), held, strict=True):
                 found = words(text.as_py())
-                for w in found:
-                    if w not in number:
-                        number[w] = len(number)
                 ids.append(np.fromiter(map(number.__getitem__, found), np.uint32, len(found)))
                 sizes.append(len(found))
                 if not out:
-                    learning.append(b"".join([w + b" " for w in found]) + END)
+                    learning.append(_stream(found))
                     size += len(learning[-1])
                 if size > CHUNK:
                     _learn(tables, learning)
@@ -264,9 +299,10 @@ def _count_pass(texts: DataFrame, buckets: int) -> DataFrame:
 
 
 def _learn(tables: list[np.ndarray], texts: list[bytes]) -> None:
-    _, cells, _ = nibbles(texts)
-    for table, cell in zip(tables, cells, strict=True):
-        np.add.at(table, cell, np.uint32(1))
+    for piece in _pieces(texts, BLOCK):
+        _, cells, _ = nibbles(piece)
+        for table, cell in zip(tables, cells, strict=True):
+            np.add.at(table, cell, np.uint32(1))
 
 
 def _tables(passed: DataFrame) -> Model:
@@ -356,10 +392,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("bytes").to_pylist()
-            score = model.value.score(texts)
-            size = pa.array([len(stream(t)) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held"), batch.column("row"), size, pa.array(score)], names=["id", "held_out", "row", "size", "score"])
+            score, size = model.value.score(t.as_py() for t in batch.column("bytes"))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held"), batch.column("row"), pa.array(size), pa.array(score)], names=["id", "held_out", "row", "size", "score"])
 
     scored = rows.mapInArrow(run, f"id {kind}, held_out boolean, row binary, size long, score double")
     unigram = F.col("summed") - F.col("n_tokens") * math.log10(n + 0.1 * (v + 1))
