@@ -84,8 +84,9 @@ def receive(receipts: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def publish(documents: DataFrame, root: str, workspace: str, snapshot: str) -> None:
-    """Writes documents (path, body) as an immutable version, then the pointer row that makes it
-    current. A version that is there already isn't written again; documents with issues stop it."""
+    """Writes documents (path, body) as a version, then the pointer row that makes it current. The
+    same version written again replaces what is there, so that a broken attempt can be repeated;
+    documents with issues stop it."""
     spark = documents.sparkSession
     names = spark.createDataFrame([(workspace, snapshot)], "w string, s string").select(safe_identifier(F.col("w")) & safe_identifier(F.col("s"))).first()
     if not names[0]:
