@@ -11,9 +11,12 @@ probability) to what came true refines the result. Weights and map start anew ev
 nibbles, so that a score depends on its text and the model alone and long texts take bounded
 memory.
 
-The model is counted over all training texts by Spark: tasks count into tables of fixed size,
-and pages of these are summed by key. Token counts for the base score are summed by token in
-hash buckets, and go back to the batch of texts that they were asked for.
+The model is counted over all training texts by Spark. Contexts of up to three bytes, of which a
+language has few, are counted into tables of fixed size, pages of which are summed by key and
+broadcast. Longer contexts become more with the text: beyond BROADCAST_BYTES of training text
+their cells have WIDE rows for every byte of it, are summed by cell in buckets that grow in
+number, and go back to the chunk of texts that they were asked for; below, they are broadcast as
+well. Token counts for the base score are summed by token in hash buckets, and go back likewise.
 """
 
 from __future__ import annotations
@@ -39,6 +42,11 @@ END = b"\n"
 #: Contexts: so many bytes before, up to 7.
 ORDERS = (2, 3, 4, 6)
 ROW_BITS, PAGES = 19, 16
+#: Bytes of training text up to which all contexts are broadcast in 2^ROW_BITS rows each.
+BROADCAST_BYTES = 32 << ROW_BITS
+#: Beyond that: contexts of so few bytes are still broadcast, the others have so many rows a
+#: training byte, in one bucket for so many bytes of text, and go to chunks of so many bytes.
+SHORT, WIDE, BUCKET_BYTES, WIDE_CHUNK = 3, 4, 1 << 25, 1 << 22
 SEGMENT, LANES = 1024, 2048
 RATE, START, MAP_RATE, MAP_SHARE = 0.02, 0.3, 0.03, 0.4
 #: Logits are kept as signed bytes of this many steps a unit.
@@ -69,9 +77,10 @@ class _Numbers(dict):
         return number
 
 
-def nibbles(texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+def nibbles(texts: list[bytes], bits: int = ROW_BITS) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """The nibbles of all streams, each context's cell (row * 16 + nibble), and the streams'
-    starts among the nibbles. Zeros before each stream keep contexts from reaching over it."""
+    starts among the nibbles. Zeros before each stream keep contexts from reaching over it.
+    Contexts of more than SHORT bytes are hashed to 2^bits rows."""
     gap = b"\0" * 8
     padded = np.frombuffer(b"".join([gap + t for t in texts]) + gap, np.uint8)
     size = np.array([len(t) for t in texts])
@@ -99,7 +108,7 @@ def nibbles(texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.ndarra
         context += _U(order)
         context ^= context >> _U(31)
         context *= _MIX
-        context >>= _U(64 - ROW_BITS)
+        context >>= _U(64 - (bits if order > SHORT else ROW_BITS))
         context <<= _U(4)
         context |= nibble
         cells.append(context.view(np.int64))
@@ -107,6 +116,32 @@ def nibbles(texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.ndarra
     return out, cells, np.append(head[begin], len(out))
 
 
+def distinct(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct cells, ascending, and each cell's place among them."""
+    shift = len(cells).bit_length()
+    if int(cells.max(initial=0)).bit_length() + shift > 63:
+        return np.unique(cells, return_inverse=True)
+    packed = cells << shift
+    packed |= np.arange(len(cells))
+    packed.sort()
+    at = packed & (1 << shift) - 1
+    packed >>= shift
+    new = np.diff(packed, prepend=-1) != 0
+    place = np.empty(len(cells), np.int64)
+    place[at] = np.cumsum(new) - 1
+    return packed[new], place
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Whole numbers byte plane by byte plane, for those that are zero to take no room."""
+    return zlib.compress(np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<i8").reshape(-1)
+
+
 def _pieces(texts: Iterable[bytes], most: int) -> Iterator[list[bytes]]:
     """Texts in turn, in lists of about so many bytes."""
     held, size = [], 0
@@ -161,15 +196,20 @@ class Model:
             size.append(np.array([len(t) for t in group]))
         return np.concatenate(score), np.concatenate(size)
 
-    def _score(self, texts: list[bytes]) -> np.ndarray:
-        nibble, words_, starts, size = [], [], [], 0
+    def _score(self, texts: list[bytes], bits: int = ROW_BITS, answers: list[np.ndarray] | None = None) -> np.ndarray:
+        """answers: of each context that has no table, the paths of the texts' distinct cells."""
+        nibble, words_, asked, starts, size = [], [], [], [], 0
+        tables = self.ready()
         for piece in _pieces(texts, BLOCK):
-            found, cells, begin = nibbles(piece)
+            found, cells, begin = nibbles(piece, bits)
             nibble.append(found)
-            words_.append([t.take(c, mode="clip") for t, c in zip(self.ready(), cells, strict=True)])
+            words_.append([t.take(c, mode="clip") for t, c in zip(tables, cells, strict=False)])
+            asked.append(cells[len(tables) :])
             starts.append(begin[:-1] + size)
             size += len(found)
         nibble, words_ = np.concatenate(nibble), [np.concatenate(x) for x in zip(*words_, strict=True)]
+        for cells, answer in zip(zip(*asked, strict=True), answers or [], strict=True):
+            words_.append(answer.take(distinct(np.concatenate(cells))[1]))
         starts = np.append(np.concatenate(starts), size)
         lanes = [np.arange(a, b, SEGMENT) for a, b in zip(starts[:-1], starts[1:], strict=False)]
         text_of = np.repeat(np.arange(len(texts)), [len(x) for x in lanes])
@@ -252,10 +292,10 @@ def _row(kind: int, part: int | None, bucket: int | None, a: bytes, b: bytes | N
     return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((kind, part, bucket, a, b, c), types, strict=True)], names=_NAMES)
 
 
-def _count_pass(texts: DataFrame, buckets: int) -> DataFrame:
+def _count_pass(texts: DataFrame, buckets: int, contexts: int = len(ORDERS)) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId() << 24
-        tables = [np.zeros(16 << ROW_BITS, np.uint32) for _ in ORDERS]
+        tables = [np.zeros(16 << ROW_BITS, np.uint32) for _ in range(contexts)]
         learnt = False
         for batch in batches:
             part += 1
@@ -301,11 +341,11 @@ def _count_pass(texts: DataFrame, buckets: int) -> DataFrame:
 def _learn(tables: list[np.ndarray], texts: list[bytes]) -> None:
     for piece in _pieces(texts, BLOCK):
         _, cells, _ = nibbles(piece)
-        for table, cell in zip(tables, cells, strict=True):
+        for table, cell in zip(tables, cells, strict=False):
             np.add.at(table, cell, np.uint32(1))
 
 
-def _tables(passed: DataFrame) -> Model:
+def _tables(passed: DataFrame, contexts: int = len(ORDERS)) -> Model:
     """Sums the pages on the executors; 16 bytes a row and context come to the driver."""
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -316,10 +356,112 @@ def _tables(passed: DataFrame) -> Model:
         for page, cells in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([page], pa.int32()), pa.array([logits(cells.reshape(-1, 16)).tobytes()], pa.binary())], names=["page", "logits"])
 
-    pages = passed.where("kind = 0").select("bucket", "a").repartition(len(ORDERS) * PAGES, "bucket").mapInArrow(add, "page int, logits binary").collect()
+    pages = passed.where("kind = 0").select("bucket", "a").repartition(contexts * PAGES, "bucket").mapInArrow(add, "page int, logits binary").collect()
     found = {p["page"]: p["logits"] for p in pages}
     empty = bytes((16 << ROW_BITS) // PAGES)
-    return Model([b"".join(found.get(k * PAGES + page, empty) for page in range(PAGES)) for k in range(len(ORDERS))])
+    return Model([b"".join(found.get(k * PAGES + page, empty) for page in range(PAGES)) for k in range(contexts)])
+
+
+def _context_pass(texts: DataFrame, bits: int, buckets: int) -> DataFrame:
+    """kind 1: a chunk's distinct cells of a context and a range of rows, as steps from the range's
+    start, with their training counts. kind 2: the chunk's streams, their sizes and row digests."""
+    edges = np.array([(b << bits) // buckets << 4 for b in range(buckets + 1)])
+    short = sum(order <= SHORT for order in ORDERS)
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list[bool], list[bytes]]]:
+        streams, held, rows, size = [], [], [], 0
+        for batch in batches:
+            for text, out, row in zip(batch.column("bytes"), batch.column("held").to_pylist(), batch.column("row").to_pylist(), strict=True):
+                streams.append(stream(text.as_py()))
+                held.append(out)
+                rows.append(row)
+                size += len(streams[-1])
+                if size > WIDE_CHUNK:
+                    yield streams, held, rows
+                    streams, held, rows, size = [], [], [], 0
+        if streams:
+            yield streams, held, rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId() << 24
+        for streams, held, rows in chunks(batches):
+            part += 1
+            yield _row(2, part, None, zlib.compress(b"".join(streams), 1), np.array([len(x) for x in streams], "<u4").tobytes(), b"".join(rows))
+            asked, length = [], []
+            for piece in _pieces(streams, BLOCK):
+                _, cells, begin = nibbles(piece, bits)
+                asked.append(cells[short:])
+                length.append(np.diff(begin))
+            learnt = np.repeat(~np.array(held), np.concatenate(length))
+            for k, cells in enumerate(zip(*asked, strict=True)):
+                found, place = distinct(np.concatenate(cells))
+                count = np.bincount(place[learnt], minlength=len(found))
+                cuts = np.searchsorted(found, edges)
+                for b in np.nonzero(np.diff(cuts))[0]:
+                    mine = slice(cuts[b], cuts[b + 1])
+                    yield _row(1, part, k * buckets + int(b), _pack(np.diff(found[mine], prepend=edges[b])), _pack(count[mine]), None)
+
+    return texts.mapInArrow(run, _PASS)
+
+
+def _answers(passed: DataFrame, bits: int, buckets: int) -> DataFrame:
+    """part, bucket, paths: for every row of kind 1 the paths of its cells, by all chunks' counts."""
+    edges = [(b << bits) // buckets << 4 for b in range(buckets)]
+
+    def answer(bucket: int, rows: list[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+        asked = [np.cumsum(_unpack(a)) + edges[bucket % buckets] for _, a, _ in rows]
+        found, place = distinct(np.concatenate(asked))
+        count = np.bincount(place, np.concatenate([_unpack(b) for *_, b in rows]), minlength=len(found))
+        context = np.cumsum(np.diff(found >> 4, prepend=-1) != 0) - 1
+        known = np.empty(len(found), np.uint32)
+        for first in range(0, int(context[-1]) + 1, BLOCK):
+            mine = slice(*np.searchsorted(context, (first, first + BLOCK)))
+            cell = (context[mine] - first) << 4 | found[mine] & 15
+            table = np.zeros(16 * (int(cell[-1] >> 4) + 1))
+            table[cell] = count[mine]
+            known[mine] = paths(logits(table.reshape(-1, 16))).take(cell)
+        ends = np.cumsum([len(x) for x in asked])
+        for (part, *_), cells, end in zip(rows, asked, ends, strict=True):
+            own = zlib.compress(known.take(place[end - len(cells) : end]).astype("<u4").tobytes(), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([bucket], pa.int32()), pa.array([own], pa.binary())], names=["part", "bucket", "paths"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+        for batch in batches:
+            for part, bucket, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if rows and bucket != now:
+                    yield from answer(now, rows)
+                    rows = []
+                now = bucket
+                rows.append((part, a, b))
+        if rows:
+            yield from answer(now, rows)
+
+    contexts = sum(order > SHORT for order in ORDERS)
+    asked = passed.where("kind = 1").select("part", "bucket", "a", "b").repartition(contexts * buckets, "bucket").sortWithinPartitions("bucket")
+    return materialise(asked.mapInArrow(run, "part long, bucket int, paths binary"), "lm-answers")
+
+
+def _wide_scores(texts: DataFrame, model, bits: int, buckets: int) -> DataFrame:
+    """row, size and score of every distinct row digest."""
+    passed = materialise(_context_pass(texts, bits, buckets), "lm-contexts")
+    answers = _answers(passed, bits, buckets)
+
+    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        right = right.sort_values("bucket")
+        for a, b, rows in zip(left["a"], left["b"], left["c"], strict=True):
+            size, flat = np.frombuffer(b, "<u4").astype(np.int64), zlib.decompress(a)
+            ends = np.cumsum(size).tolist()
+            streams = [flat[x:y] for x, y in zip([0, *ends], ends, strict=False)]
+            found = [[np.frombuffer(zlib.decompress(p), "<u4") for p in right["paths"][right["bucket"] // buckets == k]] for k in range(sum(order > SHORT for order in ORDERS))]
+            names = [rows[k : k + 16] for k in range(0, len(rows), 16)]
+            out.append(pd.DataFrame({"row": names, "size": size, "score": model.value._score(streams, bits, [np.concatenate(x) for x in found])}))
+        return pd.concat(out) if out else pd.DataFrame({"row": [], "size": [], "score": []})
+
+    streams = passed.where("kind = 2").select("part", "a", "b", "c")
+    scored = streams.groupBy("part").cogroup(answers.groupBy("part")).applyInPandas(score, "row binary, size long, score double")
+    return scored.groupBy("row").agg(F.first("size").alias("size"), F.first("score").alias("score"))
 
 
 def _token_counts(passed: DataFrame, buckets: int) -> DataFrame:
@@ -382,8 +524,11 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # equal texts score alike, so the digest of a text stands for its row in between
     rows = rows.withColumn("row", F.unhex(F.md5("bytes")))
     buckets = 4 * max(8, rows.rdd.getNumPartitions())
-    passed = materialise(_count_pass(rows, buckets), "lm-pass")
-    model = spark.sparkContext.broadcast(_tables(passed))  # 32 MB, whatever the data
+    volume, learnt = rows.agg(F.sum(F.length("bytes")), F.sum(F.when(~F.col("held"), F.length("bytes")))).first()
+    wide = (learnt or 0) > BROADCAST_BYTES
+    contexts = sum(order <= SHORT for order in ORDERS) if wide else len(ORDERS)
+    passed = materialise(_count_pass(rows, buckets, contexts), "lm-pass")
+    model = spark.sparkContext.broadcast(_tables(passed, contexts))  # 8 MB a context
     counts = _token_counts(passed, buckets)
     sums = counts.agg(F.sum("distinct").alias("v"), F.sum("total").alias("n")).first()
     v, n = sums["v"] or 0, sums["n"] or 0
@@ -395,7 +540,11 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             score, size = model.value.score(t.as_py() for t in batch.column("bytes"))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held"), batch.column("row"), pa.array(size), pa.array(score)], names=["id", "held_out", "row", "size", "score"])
 
-    scored = rows.mapInArrow(run, f"id {kind}, held_out boolean, row binary, size long, score double")
+    if wide:
+        scores = _wide_scores(rows, model, max(ROW_BITS, math.ceil(math.log2(WIDE * learnt))), math.ceil(volume / BUCKET_BYTES))
+        scored = rows.select("id", F.col("held").alias("held_out"), "row").join(scores, "row")
+    else:
+        scored = rows.mapInArrow(run, f"id {kind}, held_out boolean, row binary, size long, score double")
     unigram = F.col("summed") - F.col("n_tokens") * math.log10(n + 0.1 * (v + 1))
     out = scored.join(base, "row").select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), unigram.alias("base_score"), "score", (-F.col("score") * math.log2(10) / F.col("size")).alias("bits_per_byte"))
     return out

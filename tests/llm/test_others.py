@@ -170,3 +170,39 @@ def test_language_model_prefers_what_it_has_seen(spark):
     held = next(k for k in range(60) if zlib.crc32(str(k).encode()) % 10 == 0)
     assert out[held].bits_per_byte < 1 < out[1000].bits_per_byte
     assert out[held].score == out[held + 1].score
+
+
+def copied_docs(spark):
+    """17 MB of random letters, in which a held-out text is a copy of a learnt one."""
+    rnd = np.random.default_rng(5)
+    rows = [(k, rnd.choice(np.frombuffer(b"abcdefghijklmnopqrstuvwxyz ", np.uint8), 50_000).tobytes().decode()) for k in range(1, 390)]
+    held = next(k for k in range(1, 390) if zlib.crc32(str(k).encode()) % 10 == 0)
+    rows[held - 1] = (held, rows[held][1])
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(4), held
+
+
+def test_contexts_stay_apart_in_much_text(spark):
+    """The rows of long contexts grow with the training text: a copy is known among random letters."""
+    docs, held = copied_docs(spark)
+    out = {r.doc_id: r for r in lm.score_texts(docs).collect()}
+    others = [r.bits_per_byte for r in out.values() if r.held_out and r.doc_id != held]
+    assert len(out) == 389 and min(others) > 4
+    assert out[held].bits_per_byte < 3 and out[held].score == out[held + 1].score
+
+
+def test_bucketed_contexts_equal_broadcast_ones(spark, monkeypatch, odd_docs):
+    columns = ["doc_id", "text"]
+    docs = odd_docs.select(*columns).union(spark.createDataFrame([(k, f"the {k % 7} brown fox jumps over é the lazy dog " * (k % 5)) for k in range(20, 60)], odd_docs.select(*columns).schema))
+    key = lambda r: (str(r.doc_id), r.held_out, r.n_tokens, f"{r.score:.6g}", f"{r.base_score:.8g}", f"{r.bits_per_byte:.6g}")
+    want = sorted(map(key, lm.score_texts(docs).collect()))
+    for name, value in (("BROADCAST_BYTES", 0), ("BUCKET_BYTES", 40_000), ("WIDE_CHUNK", 2_000)):
+        monkeypatch.setattr(lm, name, value)
+    assert sorted(map(key, lm.score_texts(docs).collect())) == want
+
+
+def test_distinct_cells():
+    for most in (50, 1 << 60):
+        cells = np.random.default_rng(1).integers(0, most, 1000)
+        found, place = lm.distinct(cells)
+        assert (found == np.unique(cells)).all() and (found[place] == cells).all()
+    assert (lm._unpack(lm._pack(found)) == found).all()
