@@ -7,9 +7,9 @@ holds counts of the nibbles that followed it in the training texts; at each node
 binary tree they give a probability, whose logit is a predictor's output. A mixer weighs the
 outputs: p = squash(sum w_i * stretch(p_i)). Its weight set is gated by the bit's place, and
 after every bit moves along the coding error's gradient. An adaptive map from (place, mixed
-probability) to what came true refines the result. Weights and map start anew every SEGMENT
-nibbles, so that a score depends on its text and the model alone and long texts take bounded
-memory.
+probability) to what came true refines the result. Weights and map start anew with each text and
+go through the whole of it, so that a score depends on its text and the model alone. Texts of a
+chunk are mixed in step; as long ones take many steps, texts of a task are sorted by length.
 
 The model is counted over all training texts by Spark. Contexts of up to three bytes, of which a
 language has few, are counted into tables of fixed size, pages of which are summed by key and
@@ -47,7 +47,7 @@ BROADCAST_BYTES = 32 << ROW_BITS
 #: Beyond that: contexts of so few bytes are still broadcast, the others have so many rows a
 #: training byte, in one bucket for so many bytes of text, and go to chunks of so many bytes.
 SHORT, WIDE, BUCKET_BYTES, WIDE_CHUNK = 3, 4, 1 << 25, 1 << 22
-SEGMENT, LANES = 1024, 2048
+LANES = 2048
 RATE, START, MAP_RATE, MAP_SHARE = 0.02, 0.3, 0.03, 0.4
 #: Logits are kept as signed bytes of this many steps a unit.
 STEPS = 16.0
@@ -211,15 +211,12 @@ class Model:
         for cells, answer in zip(zip(*asked, strict=True), answers or [], strict=True):
             words_.append(answer.take(distinct(np.concatenate(cells))[1]))
         starts = np.append(np.concatenate(starts), size)
-        lanes = [np.arange(a, b, SEGMENT) for a, b in zip(starts[:-1], starts[1:], strict=False)]
-        text_of = np.repeat(np.arange(len(texts)), [len(x) for x in lanes])
-        begin = np.concatenate(lanes)
-        length = np.minimum(starts[1:][text_of] - begin, SEGMENT)
+        length = np.diff(starts)
         order = np.argsort(-length, kind="stable")
         total = np.zeros(len(texts))
         for k in range(0, len(order), LANES):
             part = order[k : k + LANES]
-            total += np.bincount(text_of[part], _mix_lanes(nibble, words_, begin[part], length[part]), minlength=len(texts))
+            total[part] = _mix_lanes(nibble, words_, starts[part], length[part])
         return total / math.log(10)
 
 
@@ -444,7 +441,7 @@ def _answers(passed: DataFrame, bits: int, buckets: int) -> DataFrame:
 
 def _wide_scores(texts: DataFrame, model, bits: int, buckets: int) -> DataFrame:
     """row, size and score of every distinct row digest."""
-    passed = materialise(_context_pass(texts, bits, buckets), "lm-contexts")
+    passed = materialise(_context_pass(texts.sortWithinPartitions(F.length("bytes")), bits, buckets), "lm-contexts")
     answers = _answers(passed, bits, buckets)
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -544,7 +541,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         scores = _wide_scores(rows, model, max(ROW_BITS, math.ceil(math.log2(WIDE * learnt))), math.ceil(volume / BUCKET_BYTES))
         scored = rows.select("id", F.col("held").alias("held_out"), "row").join(scores, "row")
     else:
-        scored = rows.mapInArrow(run, f"id {kind}, held_out boolean, row binary, size long, score double")
+        scored = rows.sortWithinPartitions(F.length("bytes")).mapInArrow(run, f"id {kind}, held_out boolean, row binary, size long, score double")
     unigram = F.col("summed") - F.col("n_tokens") * math.log10(n + 0.1 * (v + 1))
     out = scored.join(base, "row").select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), unigram.alias("base_score"), "score", (-F.col("score") * math.log2(10) / F.col("size")).alias("bits_per_byte"))
     return out
