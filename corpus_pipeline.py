@@ -30,8 +30,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least id stays."""
-    return drop_near_duplicates(docs.select(*COLUMNS), k=5, percent=80)
+    """Of each group of linked documents the one with the least id stays, once if it is repeated."""
+    return drop_near_duplicates(docs.select(*COLUMNS), k=5, percent=80, keep_repeats=False)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

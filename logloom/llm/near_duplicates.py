@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import free_name, materialise
 from .setjoin import Join, lines, similar_sets
 
 
@@ -28,14 +28,29 @@ def ngram_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str
     return out.union(none)
 
 
-def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns as they are, without those whose component has a lesser id.
-    Rows without id are kept; of repeated rows one is kept; documents without words are kept."""
-    keep = free_name(docs, "keep")
-    found = ngram_components(docs, k, percent, id_col, text_col)
-    kept = found.where((F.col(id_col) == F.col("component_id")) & F.col(id_col).isNotNull()).select(F.col(id_col).alias(keep)).distinct()
-    rows = docs.join(kept, docs[id_col].cast("long") == kept[keep]).drop(keep)
-    return rows.union(docs.where(F.col(id_col).isNull()))
+def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", keep_repeats: bool = True) -> DataFrame:
+    """The rows of docs, all columns as they are, of the first document of each component: by id,
+    then by a digest of the text, so that of one id's different texts each is judged by itself.
+    Rows without id are kept; documents without words are kept. Rows repeated with the same id and
+    text are one document, whose rows all stay, or with keep_repeats=False only one of them."""
+    keep, digest, row = (free_name(docs, x) for x in ("keep", "digest", "row"))
+    ident = F.col(id_col).cast("long")
+    named = docs.where(F.col(id_col).isNotNull())
+    if named.groupBy(ident).count().where("count > 1").isEmpty():
+        found = ngram_components(docs, k, percent, id_col, text_col)
+        kept = found.where((F.col(id_col) == F.col("component_id")) & F.col(id_col).isNotNull()).select(F.col(id_col).alias(keep)).distinct()
+        rows = docs.join(kept, docs[id_col].cast("long") == kept[keep]).drop(keep)
+        return rows.union(docs.where(F.col(id_col).isNull()))
+    whole = F.struct(*docs.columns)
+    marked = named.select(ident.alias(keep), F.coalesce(F.md5(F.col(text_col).cast("binary")), F.lit("")).alias(digest), whole.alias(row))
+    single = marked.groupBy(keep, digest).agg(F.min_by(row, F.to_json(row)).alias(row))
+    # numbers that rise with id and digest stand for the ids
+    ordered = single.repartitionByRange(keep, digest).sortWithinPartitions(keep, digest)
+    numbered = materialise(ordered.withColumn("number", F.monotonically_increasing_id()), "numbered")
+    found = ngram_components(numbered.select("number", F.col(row)[text_col].alias("text")), k, percent, "number", "text")
+    roots = numbered.join(found.where("number = component_id").select("number"), "number")
+    rows = marked.join(roots.select(keep, digest), [keep, digest]) if keep_repeats else roots
+    return rows.select(f"{row}.*").union(docs.where(F.col(id_col).isNull()))
 
 
 def dedup_lines(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:

@@ -120,3 +120,27 @@ def test_word_hashes(texts):
     words = [w for u in units for w in setjoin.words(u)]
     assert size.tolist() == [len(setjoin.words(u)) for u in units]
     assert len(hashed) == len(words) and len(set(zip(words, hashed.tolist(), strict=True))) == len(set(words)) == len(set(hashed.tolist()))
+
+
+def test_survivors_are_rows_and_not_ids(spark, odd_docs):
+    a, b, c = ("one two three four five six " + w for w in ("seven", "eight", "nine"))
+    far, away = "nothing of that is in here at all", "nor does this text have a copy"
+    rows = [(2, a), (5, a), (5, far), (5, far), (7, b), (7, b), (7, away), (8, None), (8, None), (8, ""), (9, b), (9, c), (None, a), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    key = lambda r: (str(r[0]), str(r[1]))
+    all_rows = near_duplicates.drop_near_duplicates(docs, 3, 90).collect()
+    assert sorted(map(key, all_rows)) == sorted(map(key, [(2, a), (5, far), (5, far), (7, b), (7, b), (7, away), (8, None), (8, None), (8, ""), (9, c), (None, a), (None, a)]))
+    single = near_duplicates.drop_near_duplicates(docs, 3, 90, keep_repeats=False).collect()
+    assert sorted(map(key, single)) == sorted(map(key, [(2, a), (5, far), (7, b), (7, away), (8, None), (8, ""), (9, c), (None, a), (None, a)]))
+    kept = near_duplicates.drop_near_duplicates(odd_docs, 3, 90, keep_repeats=False)
+    assert kept.columns == odd_docs.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "2", "3", "4", "5", "7", "8", "None"])
+
+
+def test_pipeline_keeps_one_of_repeated_rows(spark):
+    import corpus_pipeline
+
+    rows = [(1, "a text that comes twice with one id", "en", "s", 35)] * 2 + [(2, "another text which comes only once", "en", "s", 34)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicates(spark, corpus_pipeline.line_dedup(spark, docs, ""), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2]
