@@ -8,28 +8,33 @@ binary tree they give a probability, whose logit is a predictor's output. A mixe
 outputs: p = squash(sum w_i * stretch(p_i)). Its weight set is gated by the bit's place, and
 after every bit moves along the coding error's gradient. An adaptive map from (place, mixed
 probability) to what came true refines the result. Weights and map start anew with each text and
-go through the whole of it, so that a score depends on its text and the model alone. Texts of a
-chunk are mixed in step; as long ones take many steps, texts of a task are sorted by length.
-
-The model is counted over all training texts by Spark. Contexts of up to three bytes, of which a
-language has few, are counted into tables of fixed size, pages of which are summed by key and
-broadcast. Longer contexts become more with the text: beyond BROADCAST_BYTES of training text
-their cells have WIDE rows for every byte of it, are summed by cell in buckets that grow in
-number, and go back to the chunk of texts that they were asked for; below, they are broadcast as
-well. Token counts for the base score are summed by token in hash buckets, and go back likewise.
+go through the whole of it, so that a score depends on its text and the model alone.
+
+Spark gathers the model and brings it to the texts, with nothing broadcast or sent to the driver:
+
+1. chunks: texts are dealt out by length, so many bytes a partition, and written as chunks of
+   about CHUNK bytes, for texts that are mixed in step to be of similar length;
+2. requests: each chunk asks for its distinct cells (context and nibble) and tokens, and says how
+   often it has learnt each; requests are summed in buckets of a hash, as many as the text needs;
+3. answers: every bucket sends back to each chunk the logits or counts of what it asked for;
+4. scores: a chunk and its answers meet in one task, which holds no more than one chunk.
+
+The rows that contexts of more than SHORT bytes are hashed to grow with the training text, WIDE
+for every byte of it; shorter ones, of which a language has few, have 2^ROW_BITS rows.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
@@ -41,18 +46,19 @@ COMMON = b" etaoinsrhldcum"
 END = b"\n"
 #: Contexts: so many bytes before, up to 7.
 ORDERS = (2, 3, 4, 6)
-ROW_BITS, PAGES = 19, 16
-#: Bytes of training text up to which all contexts are broadcast in 2^ROW_BITS rows each.
-BROADCAST_BYTES = 32 << ROW_BITS
-#: Beyond that: contexts of so few bytes are still broadcast, the others have so many rows a
-#: training byte, in one bucket for so many bytes of text, and go to chunks of so many bytes.
-SHORT, WIDE, BUCKET_BYTES, WIDE_CHUNK = 3, 4, 1 << 25, 1 << 22
+ROW_BITS, SHORT, WIDE = 19, 3, 4
+#: Bytes of text in a chunk, and in a bucket of the longest contexts and of tokens.
+WIDE_CHUNK, BUCKET_BYTES = 1 << 24, 1 << 24
+#: The buckets of other contexts are fewer by these factors, as there are fewer contexts.
+SHARES = {2: 64, 3: 32, 4: 8}
 LANES = 2048
 RATE, START, MAP_RATE, MAP_SHARE = 0.02, 0.3, 0.03, 0.4
 #: Logits are kept as signed bytes of this many steps a unit.
 STEPS = 16.0
 #: Bytes of text that are mixed together, and those whose contexts are hashed together.
-CHUNK, BLOCK = 1 << 20, 1 << 16
+WINDOW, BLOCK = 1 << 20, 1 << 16
+#: Cells below this are told apart by a table, others by sorting.
+DENSE = 1 << 24
 
 _U = np.uint64
 _ODD, _MIX = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
@@ -62,27 +68,16 @@ _MAP_BINS = 24
 
 
 def stream(text: bytes) -> bytes:
-    return _stream(words(text))
-
-
-def _stream(found: list[bytes]) -> bytes:
-    return b" ".join([*found, END]) if found else END
-
+    """The bytes that are scored; cut at spaces they are the tokens and the end."""
+    return b" ".join([*words(text), END])
 
-class _Numbers(dict):
-    """Numbers keys from 0 as they appear."""
 
-    def __missing__(self, key: bytes) -> int:
-        self[key] = number = len(self)
-        return number
-
-
-def nibbles(texts: list[bytes], bits: int = ROW_BITS) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+def nibbles(texts: list[bytes], bits: int = ROW_BITS, before: list[bytes] | None = None) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """The nibbles of all streams, each context's cell (row * 16 + nibble), and the streams'
-    starts among the nibbles. Zeros before each stream keep contexts from reaching over it.
+    starts among the nibbles. Before each stream go eight bytes: zeros, or what it continues.
     Contexts of more than SHORT bytes are hashed to 2^bits rows."""
     gap = b"\0" * 8
-    padded = np.frombuffer(b"".join([gap + t for t in texts]) + gap, np.uint8)
+    padded = np.frombuffer(b"".join([b + t for b, t in zip(before or [gap] * len(texts), texts, strict=True)]) + gap, np.uint8)
     size = np.array([len(t) for t in texts])
     start = np.cumsum(size + 8) - size
     inside = np.ones(len(padded) - 8, bool)
@@ -118,8 +113,15 @@ def nibbles(texts: list[bytes], bits: int = ROW_BITS) -> tuple[np.ndarray, list[
 
 def distinct(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct cells, ascending, and each cell's place among them."""
-    shift = len(cells).bit_length()
-    if int(cells.max(initial=0)).bit_length() + shift > 63:
+    shift, most = len(cells).bit_length(), int(cells.max(initial=0))
+    if most < min(DENSE, 64 * len(cells)):
+        mark = np.zeros(most + 1, bool)
+        mark[cells] = True
+        found = np.flatnonzero(mark)
+        place = np.empty(most + 1, np.int32)
+        place[found] = np.arange(len(found))
+        return found, place.take(cells)
+    if most.bit_length() + shift > 63:
         return np.unique(cells, return_inverse=True)
     packed = cells << shift
     packed |= np.arange(len(cells))
@@ -132,13 +134,33 @@ def distinct(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return packed[new], place
 
 
+class _Tally:
+    """Distinct cells with their counts, merged as they come."""
+
+    def __init__(self):
+        self.cells, self.counts, self.waiting, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+
+    def add(self, cells: np.ndarray, learnt: np.ndarray) -> None:
+        found, place = distinct(cells)
+        self.waiting.append((found, np.bincount(place[learnt], minlength=len(found))))
+        self.size += len(found)
+        if self.size > max(WINDOW, len(self.cells)):
+            self.merge()
+
+    def merge(self) -> None:
+        cells, counts = (np.concatenate(x) for x in zip((self.cells, self.counts), *self.waiting, strict=True))
+        self.cells, place = distinct(cells)
+        self.counts = np.bincount(place, counts, minlength=len(self.cells)).astype(np.int64)
+        self.waiting, self.size = [], 0
+
+
 def _pack(values: np.ndarray) -> bytes:
     """Whole numbers byte plane by byte plane, for those that are zero to take no room."""
-    return zlib.compress(np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
 
 def _unpack(packed: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(8, -1)
+    planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(8, -1)
     return np.ascontiguousarray(planes.T).view("<i8").reshape(-1)
 
 
@@ -155,6 +177,28 @@ def _pieces(texts: Iterable[bytes], most: int) -> Iterator[list[bytes]]:
         yield held
 
 
+def _windows(texts: list[bytes], step: int) -> Iterator[tuple[list[bytes], list[bytes] | None]]:
+    """Texts, longest first, cut at every step bytes: the pieces of those that reach so far, with
+    the eight bytes before each."""
+    for begin in range(0, len(texts[0]), step):
+        if begin:
+            texts = [t for t in texts if len(t) > begin]
+            yield [t[begin : begin + step] for t in texts], [t[max(0, begin - 8) : begin].rjust(8, b"\0") for t in texts]
+        else:
+            yield [t[:step] for t in texts], None
+
+
+def _hashed(pieces: list[bytes], bits: int, before: list[bytes] | None) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """As nibbles(), block by block."""
+    out, done, size = [], 0, 0
+    for block in _pieces(pieces, BLOCK):
+        nibble, cells, start = nibbles(block, bits, before[done : done + len(block)]) if before else nibbles(block, bits)
+        out.append((nibble, cells, start[:-1] + size))
+        done, size = done + len(block), size + len(nibble)
+    nibble, cells, start = zip(*out, strict=True)
+    return np.concatenate(nibble), [np.concatenate(c) for c in zip(*cells, strict=True)], np.append(np.concatenate(start), size)
+
+
 def logits(counts: np.ndarray) -> np.ndarray:
     """Rows of 16 nibble counts -> rows of 16 signed bytes: the logits of nodes 1 to 15."""
     out = np.zeros(counts.shape, np.int8)
@@ -175,63 +219,62 @@ def paths(table: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """tables: of each context, logits in rows of 16 signed bytes; what is broadcast."""
+    """What texts are scored by: of each context its logits in a table of rows of 16 signed bytes,
+    or for contexts beyond the tables, known: ascending cells and the paths of each."""
 
     tables: list[bytes]
 
     def ready(self) -> list[np.ndarray]:
         if not hasattr(self, "_paths"):
             self._paths = [paths(np.frombuffer(t, np.int8).reshape(-1, 16)) for t in self.tables]
-            self.tables = []  # an executor's copy is not sent on
         return self._paths
 
-    def __getstate__(self):
-        return {"tables": self.tables}
-
-    def score(self, texts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probability of each text, and the bytes of its stream."""
-        score, size = [np.zeros(0)], [np.zeros(0, np.int64)]
-        for group in _pieces(map(stream, texts), CHUNK):
-            score.append(self._score(group))
-            size.append(np.array([len(t) for t in group]))
-        return np.concatenate(score), np.concatenate(size)
-
-    def _score(self, texts: list[bytes], bits: int = ROW_BITS, answers: list[np.ndarray] | None = None) -> np.ndarray:
-        """answers: of each context that has no table, the paths of the texts' distinct cells."""
-        nibble, words_, asked, starts, size = [], [], [], [], 0
-        tables = self.ready()
-        for piece in _pieces(texts, BLOCK):
-            found, cells, begin = nibbles(piece, bits)
-            nibble.append(found)
-            words_.append([t.take(c, mode="clip") for t, c in zip(tables, cells, strict=False)])
-            asked.append(cells[len(tables) :])
-            starts.append(begin[:-1] + size)
-            size += len(found)
-        nibble, words_ = np.concatenate(nibble), [np.concatenate(x) for x in zip(*words_, strict=True)]
-        for cells, answer in zip(zip(*asked, strict=True), answers or [], strict=True):
-            words_.append(answer.take(distinct(np.concatenate(cells))[1]))
-        starts = np.append(np.concatenate(starts), size)
-        length = np.diff(starts)
-        order = np.argsort(-length, kind="stable")
-        total = np.zeros(len(texts))
-        for k in range(0, len(order), LANES):
-            part = order[k : k + LANES]
-            total[part] = _mix_lanes(nibble, words_, starts[part], length[part])
-        return total / math.log(10)
+    def _score(self, texts: list[bytes], bits: int = ROW_BITS, known: list[tuple[np.ndarray, np.ndarray]] | None = None) -> np.ndarray:
+        """log10 probability of each stream. Equal ones are scored once, up to LANES in step."""
+        number = {t: None for t in sorted(texts, key=len, reverse=True)}
+        apart = list(number)
+        tables, total = self.ready(), np.zeros(len(apart))
+        for first in range(0, len(apart), LANES):
+            lanes = apart[first : first + LANES]
+            mixer = _Mixer(len(lanes), len(ORDERS))
+            for pieces, before in _windows(lanes, max(1024, WINDOW // len(lanes))):
+                nibble, cells, start = _hashed(pieces, bits, before)
+                outputs = [t.take(c, mode="clip") for t, c in zip(tables, cells, strict=False)]
+                for (cell, path), asked in zip(known or [], cells[len(tables) :], strict=True):
+                    found, place = distinct(asked)
+                    outputs.append(path.take(np.searchsorted(cell, found)).take(place))
+                mixer.go(nibble, outputs, start[:-1], np.diff(start))
+            total[first : first + len(lanes)] = mixer.total
+        number = dict(zip(apart, (total / math.log(10)).tolist(), strict=True))
+        return np.array([number[t] for t in texts])
 
 
 #: A nibble's bits, one a byte.
 _BITS = (np.arange(16)[:, None] >> np.array([3, 2, 1, 0]) & 1).astype(np.int8).view(np.int32).reshape(-1)
 
 
-def _mix_lanes(nibble: np.ndarray, outputs: list[np.ndarray], begin: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Natural logarithm of the probability of each lane: length nibbles from begin. Lanes come
-    longest first, and go through the nibbles together."""
+class _Mixer:
+    """Weights, maps, and the natural logarithm of the probability so far, of lanes that go through
+    their texts together, window by window."""
+
+    def __init__(self, lanes: int, inputs: int):
+        edges = 1 / (1 + np.exp(-np.linspace(-8, 8, _MAP_BINS)))
+        self.weight = np.full((inputs, lanes, 4), START, np.float32)
+        self.map = np.tile(edges.astype(np.float32), (lanes, 4, 1))
+        self.total = np.zeros(lanes)
+
+    def go(self, nibble: np.ndarray, outputs: list[np.ndarray], begin: np.ndarray, length: np.ndarray) -> None:
+        """The first lanes go on by length nibbles from begin."""
+        order = np.argsort(-length, kind="stable")
+        weight, table, total = self.weight.take(order, axis=1), self.map.take(order, axis=0), self.total.take(order)
+        _mix_lanes(nibble, outputs, begin[order], length[order], weight.reshape(len(weight), -1), table.reshape(-1), total)
+        self.weight[:, order], self.map[order], self.total[order] = weight, table, total
+
+
+def _mix_lanes(nibble: np.ndarray, outputs: list[np.ndarray], begin: np.ndarray, length: np.ndarray, weight: np.ndarray, table: np.ndarray, total: np.ndarray) -> None:
+    """Lanes come longest first, and go through length nibbles from begin together; weight, table
+    and total are changed in place."""
     lanes, inputs = len(begin), len(outputs)
-    weight = np.full((inputs, 4 * lanes), START, np.float32)
-    edges = 1 / (1 + np.exp(-np.linspace(-8, 8, _MAP_BINS)))
-    table = np.tile(edges.astype(np.float32), 4 * lanes)
-    total = np.zeros(lanes)
     base = np.arange(4 * lanes) * _MAP_BINS + _MAP_BINS // 2
     active = np.searchsorted(-length, -np.arange(int(length[0])), side="left")
     inputs_, spare, mixed = (np.empty((k, 4 * lanes), np.float32) for k in (inputs, 1, 1))
@@ -270,158 +313,130 @@ def _mix_lanes(nibble: np.ndarray, outputs: list[np.ndarray], begin: np.ndarray,
         p *= RATE / STEPS
         x *= p
         w -= x
-    return total
 
 
-def held_out(id_col: str, modulus: int = 10):
+def held_out(id_col: str, modulus: int = 10) -> Column:
     """Whether a row is never learnt from; a null id counts as held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % modulus == 0, F.lit(True))
 
 
-#: Rows of the pass over all texts. kind 0: a page of context counts. kind 1: a batch's distinct
-#: tokens of a hash bucket with their training counts. kind 2: a batch's texts as token numbers.
-_PASS = "kind int, part long, bucket int, a binary, b binary, c binary"
-_NAMES = ["kind", "part", "bucket", "a", "b", "c"]
-
+def _by_length(rows: DataFrame) -> tuple[DataFrame, int, int]:
+    """Rows dealt out to partitions of about WIDE_CHUNK bytes, in order of length; the bytes of all
+    and of those that are learnt. Of the lengths, only sums for each eighth of a power of two, at
+    most some 250 numbers, come to the driver."""
+    grade = F.floor(F.log2(F.length("bytes") + 1) * 8).cast("int")
+    sums = rows.groupBy(grade.alias("grade")).agg(F.sum(F.length("bytes") + 1).alias("size"), F.sum(F.when(~F.col("held"), F.length("bytes"))).alias("learnt")).orderBy("grade").collect()
+    if not sums:
+        return rows, 0, 0
+    volume, learnt, ends, upto = sum(s["size"] for s in sums), sum(s["learnt"] or 0 for s in sums), {}, 0
+    for s in sums:
+        ends[s["grade"]] = (upto / volume, s["size"] / volume)
+        upto += s["size"]
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(volume / WIDE_CHUNK))
+    begin, width = (F.element_at(F.create_map(*[F.lit(x) for g, e in ends.items() for x in (g, e[k])]), grade) for k in (0, 1))
+    spread = F.pmod(F.xxhash64("id", "bytes"), F.lit(1 << 20)) / (1 << 20)
+    part = F.least(F.floor((begin + width * spread) * parts), F.lit(parts - 1)).cast("int")
+    return rows.repartitionById(parts, part), volume, learnt
+
+
+def _chunks(rows: DataFrame) -> DataFrame:
+    """part, streams (one after the other, packed), sizes, and rows (the texts' id and held)."""
+    names = ["part", "streams", "sizes", "rows"]
 
-def _row(kind: int, part: int | None, bucket: int | None, a: bytes, b: bytes | None, c: bytes | None) -> pa.RecordBatch:
-    types = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((kind, part, bucket, a, b, c), types, strict=True)], names=_NAMES)
-
-
-def _count_pass(texts: DataFrame, buckets: int, contexts: int = len(ORDERS)) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId() << 24
-        tables = [np.zeros(16 << ROW_BITS, np.uint32) for _ in range(contexts)]
-        learnt = False
-        for batch in batches:
-            part += 1
-            held = batch.column("held").to_numpy(zero_copy_only=False)
-            number = _Numbers({b"": 0})
-            ids, sizes, learning, size = [], [], [], 0
-            for text, out in zip(batch.column("bytes"), held, strict=True):
-                found = words(text.as_py())
-                ids.append(np.fromiter(map(number.__getitem__, found), np.uint32, len(found)))
-                sizes.append(len(found))
-                if not out:
-                    learning.append(_stream(found))
-                    size += len(learning[-1])
-                if size > CHUNK:
-                    _learn(tables, learning)
-                    learning, size, learnt = [], 0, True
-            if learning:
-                _learn(tables, learning)
-                learnt = True
-            flat, sizes = np.concatenate(ids), np.array(sizes)
-            count = np.bincount(flat[np.repeat(~held, sizes)], minlength=len(number))
-            count[0] = (~held).sum()
-            # tokens are renumbered bucket by bucket, for the counts to come back in this order
-            token = list(number)
-            bucket = np.array([zlib.crc32(w) % buckets for w in token])
-            order = np.argsort(bucket, kind="stable")
-            renumbered = np.empty(len(token), np.uint32)
-            renumbered[order] = np.arange(len(token))
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            yield _row(2, part, None, renumbered[flat].tobytes(), sizes.astype("<u4").tobytes(), b"".join(batch.column("row").to_pylist()))
-            for b in np.nonzero(np.diff(cuts))[0]:
-                chosen = order[cuts[b] : cuts[b + 1]]
-                mine = [token[k] for k in chosen]
-                yield _row(1, part, int(b), b"".join(mine), np.array([len(w) for w in mine], "<u4").tobytes(), count[chosen].astype("<i8").tobytes())
-        if learnt:
-            for k, table in enumerate(tables):
-                for page, cells in enumerate(table.reshape(PAGES, -1)):
-                    yield _row(0, None, k * PAGES + page, zlib.compress(cells.astype("<u4").tobytes(), 1), None, None)
-
-    return texts.mapInArrow(run, _PASS)
-
-
-def _learn(tables: list[np.ndarray], texts: list[bytes]) -> None:
-    for piece in _pieces(texts, BLOCK):
-        _, cells, _ = nibbles(piece)
-        for table, cell in zip(tables, cells, strict=False):
-            np.add.at(table, cell, np.uint32(1))
-
-
-def _tables(passed: DataFrame, contexts: int = len(ORDERS)) -> Model:
-    """Sums the pages on the executors; 16 bytes a row and context come to the driver."""
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for page, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(zlib.decompress(packed), "<u4").astype(np.int64)
-                sums[page] = sums[page] + part if page in sums else part
-        for page, cells in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([page], pa.int32()), pa.array([logits(cells.reshape(-1, 16)).tobytes()], pa.binary())], names=["page", "logits"])
-
-    pages = passed.where("kind = 0").select("bucket", "a").repartition(contexts * PAGES, "bucket").mapInArrow(add, "page int, logits binary").collect()
-    found = {p["page"]: p["logits"] for p in pages}
-    empty = bytes((16 << ROW_BITS) // PAGES)
-    return Model([b"".join(found.get(k * PAGES + page, empty) for page in range(PAGES)) for k in range(contexts)])
-
-
-def _context_pass(texts: DataFrame, bits: int, buckets: int) -> DataFrame:
-    """kind 1: a chunk's distinct cells of a context and a range of rows, as steps from the range's
-    start, with their training counts. kind 2: the chunk's streams, their sizes and row digests."""
-    edges = np.array([(b << bits) // buckets << 4 for b in range(buckets + 1)])
-    short = sum(order <= SHORT for order in ORDERS)
-
-    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list[bool], list[bytes]]]:
-        streams, held, rows, size = [], [], [], 0
+        streams, own, size = [], [], 0
+
+        def shut() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, own[0].schema) as out:
+                for o in own:
+                    out.write_batch(o)
+            sizes = np.array([len(s) for s in streams], "<u4").tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), *(pa.array([x], pa.binary()) for x in (zstandard.compress(b"".join(streams), 3), sizes, sink.getvalue().to_pybytes()))], names=names)
+
         for batch in batches:
-            for text, out, row in zip(batch.column("bytes"), batch.column("held").to_pylist(), batch.column("row").to_pylist(), strict=True):
+            first = 0
+            for k, text in enumerate(batch.column("bytes")):
                 streams.append(stream(text.as_py()))
-                held.append(out)
-                rows.append(row)
                 size += len(streams[-1])
                 if size > WIDE_CHUNK:
-                    yield streams, held, rows
-                    streams, held, rows, size = [], [], [], 0
+                    own.append(batch.select(["id", "held"]).slice(first, k + 1 - first))
+                    yield shut()
+                    streams, own, size, first, part = [], [], 0, k + 1, part + 1
+            if first < batch.num_rows:
+                own.append(batch.select(["id", "held"]).slice(first))
         if streams:
-            yield streams, held, rows
+            yield shut()
+
+    return rows.mapInArrow(run, "part long, streams binary, sizes binary, rows binary")
+
+
+def _open(streams: bytes, sizes: bytes, rows: bytes) -> tuple[list[bytes], pa.Table]:
+    flat, ends = zstandard.decompress(streams), np.cumsum(np.frombuffer(sizes, "<u4"), dtype=np.int64).tolist()
+    with pa.ipc.open_stream(rows) as own:
+        return [flat[x:y] for x, y in zip([0, *ends], ends, strict=False)], own.read_all()
+
+
+#: What a chunk asks a bucket for: cells (steps from the bucket's first) or tokens, and how often
+#: the chunk has learnt each.
+_ASKED = "part long, bucket int, a binary, b binary"
+
+
+def _asked(rows: list[tuple[int, int, bytes, bytes]]) -> pa.RecordBatch:
+    types = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["part", "bucket", "a", "b"])
+
+
+@dataclass(frozen=True)
+class _Buckets:
+    """bits: those of long contexts' rows. counts: of each context, then of tokens, the number of
+    its buckets; they are numbered one after the other."""
+
+    bits: int
+    counts: tuple[int, ...]
+
+    def first(self, kind: int) -> int:
+        return sum(self.counts[:kind])
+
+    def edges(self, kind: int) -> np.ndarray:
+        """The first cell of each bucket of a context, and what ends the last."""
+        bits = self.bits if ORDERS[kind] > SHORT else ROW_BITS
+        return np.array([(b << bits) // self.counts[kind] << 4 for b in range(self.counts[kind] + 1)])
 
+    def kind(self, bucket: int) -> int:
+        return int(np.searchsorted(np.cumsum(self.counts), bucket, side="right"))
+
+
+def _context_requests(chunks: DataFrame, plan: _Buckets) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId() << 24
-        for streams, held, rows in chunks(batches):
-            part += 1
-            yield _row(2, part, None, zlib.compress(b"".join(streams), 1), np.array([len(x) for x in streams], "<u4").tobytes(), b"".join(rows))
-            asked, length = [], []
-            for piece in _pieces(streams, BLOCK):
-                _, cells, begin = nibbles(piece, bits)
-                asked.append(cells[short:])
-                length.append(np.diff(begin))
-            learnt = np.repeat(~np.array(held), np.concatenate(length))
-            for k, cells in enumerate(zip(*asked, strict=True)):
-                found, place = distinct(np.concatenate(cells))
-                count = np.bincount(place[learnt], minlength=len(found))
-                cuts = np.searchsorted(found, edges)
-                for b in np.nonzero(np.diff(cuts))[0]:
-                    mine = slice(cuts[b], cuts[b + 1])
-                    yield _row(1, part, k * buckets + int(b), _pack(np.diff(found[mine], prepend=edges[b])), _pack(count[mine]), None)
-
-    return texts.mapInArrow(run, _PASS)
-
-
-def _answers(passed: DataFrame, bits: int, buckets: int) -> DataFrame:
-    """part, bucket, paths: for every row of kind 1 the paths of its cells, by all chunks' counts."""
-    edges = [(b << bits) // buckets << 4 for b in range(buckets)]
+        for batch in batches:
+            for k in range(batch.num_rows):
+                part, *packed = (c[k].as_py() for c in batch.columns)
+                streams, own = _open(*packed)
+                held = own["held"].to_numpy()
+                tallies, done = [_Tally() for _ in ORDERS], 0
+                for piece in _pieces(streams, WINDOW):
+                    _, cells, start = _hashed(piece, plan.bits, None)
+                    learnt = np.repeat(~held[done : done + len(piece)], np.diff(start))
+                    done += len(piece)
+                    for tally, cell in zip(tallies, cells, strict=True):
+                        tally.add(cell, learnt)
+                for kind, tally in enumerate(tallies):
+                    tally.merge()
+                    edges = plan.edges(kind)
+                    cuts = np.searchsorted(tally.cells, edges)
+                    rows = []
+                    for b in np.nonzero(np.diff(cuts))[0].tolist():
+                        mine = slice(cuts[b], cuts[b + 1])
+                        rows.append((part, plan.first(kind) + b, _pack(np.diff(tally.cells[mine], prepend=edges[b])), _pack(tally.counts[mine])))
+                    yield _asked(rows)
 
-    def answer(bucket: int, rows: list[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
-        asked = [np.cumsum(_unpack(a)) + edges[bucket % buckets] for _, a, _ in rows]
-        found, place = distinct(np.concatenate(asked))
-        count = np.bincount(place, np.concatenate([_unpack(b) for *_, b in rows]), minlength=len(found))
-        context = np.cumsum(np.diff(found >> 4, prepend=-1) != 0) - 1
-        known = np.empty(len(found), np.uint32)
-        for first in range(0, int(context[-1]) + 1, BLOCK):
-            mine = slice(*np.searchsorted(context, (first, first + BLOCK)))
-            cell = (context[mine] - first) << 4 | found[mine] & 15
-            table = np.zeros(16 * (int(cell[-1] >> 4) + 1))
-            table[cell] = count[mine]
-            known[mine] = paths(logits(table.reshape(-1, 16))).take(cell)
-        ends = np.cumsum([len(x) for x in asked])
-        for (part, *_), cells, end in zip(rows, asked, ends, strict=True):
-            own = zlib.compress(known.take(place[end - len(cells) : end]).astype("<u4").tobytes(), 1)
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([bucket], pa.int32()), pa.array([own], pa.binary())], names=["part", "bucket", "paths"])
+    return chunks.mapInArrow(run, _ASKED)
 
+
+def _per_bucket(asked: DataFrame, buckets: int, answer, schema: str) -> DataFrame:
+    """answer(bucket, rows) for all rows of each bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
         for batch in batches:
@@ -434,75 +449,100 @@ def _answers(passed: DataFrame, bits: int, buckets: int) -> DataFrame:
         if rows:
             yield from answer(now, rows)
 
-    contexts = sum(order > SHORT for order in ORDERS)
-    asked = passed.where("kind = 1").select("part", "bucket", "a", "b").repartition(contexts * buckets, "bucket").sortWithinPartitions("bucket")
-    return materialise(asked.mapInArrow(run, "part long, bucket int, paths binary"), "lm-answers")
+    return asked.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
 
 
-def _wide_scores(texts: DataFrame, model, bits: int, buckets: int) -> DataFrame:
-    """row, size and score of every distinct row digest."""
-    passed = materialise(_context_pass(texts.sortWithinPartitions(F.length("bytes")), bits, buckets), "lm-contexts")
-    answers = _answers(passed, bits, buckets)
+def _context_answers(asked: DataFrame, plan: _Buckets) -> DataFrame:
+    """To every request its cells as they were, and in place of counts the paths by all counts."""
+    def answer(bucket: int, rows: list[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+        kind = plan.kind(bucket)
+        begin = plan.edges(kind)[bucket - plan.first(kind)]
+        asked = [np.cumsum(_unpack(a)) + begin for _, a, _ in rows]
+        found, place = distinct(np.concatenate(asked) - begin)
+        found += begin
+        count = np.bincount(place, np.concatenate([_unpack(b) for *_, b in rows]), minlength=len(found))
+        context = np.cumsum(np.diff(found >> 4, prepend=-1) != 0) - 1
+        known = np.empty(len(found), np.uint32)
+        for first in range(0, int(context[-1]) + 1, BLOCK):
+            mine = slice(*np.searchsorted(context, (first, first + BLOCK)))
+            cell = (context[mine] - first) << 4 | found[mine] & 15
+            table = np.zeros(16 * (int(cell[-1] >> 4) + 1))
+            table[cell] = count[mine]
+            known[mine] = paths(logits(table.reshape(-1, 16))).take(cell)
+        ends = np.cumsum([len(x) for x in asked])
+        for (part, a, _), cells, end in zip(rows, asked, ends.tolist(), strict=True):
+            own = np.ascontiguousarray(known.take(place[end - len(cells) : end]).astype("<u4").view(np.uint8).reshape(-1, 4).T)
+            yield _asked([(part, bucket, a, zstandard.compress(own.tobytes(), 1))])
 
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        right = right.sort_values("bucket")
-        for a, b, rows in zip(left["a"], left["b"], left["c"], strict=True):
-            size, flat = np.frombuffer(b, "<u4").astype(np.int64), zlib.decompress(a)
-            ends = np.cumsum(size).tolist()
-            streams = [flat[x:y] for x, y in zip([0, *ends], ends, strict=False)]
-            found = [[np.frombuffer(zlib.decompress(p), "<u4") for p in right["paths"][right["bucket"] // buckets == k]] for k in range(sum(order > SHORT for order in ORDERS))]
-            names = [rows[k : k + 16] for k in range(0, len(rows), 16)]
-            out.append(pd.DataFrame({"row": names, "size": size, "score": model.value._score(streams, bits, [np.concatenate(x) for x in found])}))
-        return pd.concat(out) if out else pd.DataFrame({"row": [], "size": [], "score": []})
-
-    streams = passed.where("kind = 2").select("part", "a", "b", "c")
-    scored = streams.groupBy("part").cogroup(answers.groupBy("part")).applyInPandas(score, "row binary, size long, score double")
-    return scored.groupBy("row").agg(F.first("size").alias("size"), F.first("score").alias("score"))
-
-
-def _token_counts(passed: DataFrame, buckets: int) -> DataFrame:
-    """part, bucket, counts (over all batches) of the batch's tokens in the bucket; and, in one row
-    of each bucket, its distinct training tokens and their occurrences."""
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+    return _per_bucket(asked, plan.first(len(ORDERS)), answer, _ASKED)
+
+
+def _token_requests(chunks: DataFrame, plan: _Buckets) -> DataFrame:
+    first, buckets = plan.first(len(ORDERS)), plan.counts[-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, bucket, a, b, c in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                cuts = np.cumsum(np.frombuffer(b, "<u4")).tolist()
-                held.setdefault(bucket, []).append((part, [a[x:y] for x, y in zip([0, *cuts], cuts, strict=False)], np.frombuffer(c, "<i8").tolist()))
-        for bucket, parts in held.items():
-            total: dict[bytes, int] = {}
-            for _, token, count in parts:
-                for w, n in zip(token, count, strict=True):
-                    total[w] = total.get(w, 0) + n
-            known = [n for n in total.values() if n]
-            own = [np.fromiter(map(total.__getitem__, token), np.int64, len(token)).tobytes() for _, token, _ in parts]
-            # the bucket's own sums stand in one of its rows
-            first = [1] + [0] * (len(parts) - 1)
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int64()), pa.array([bucket] * len(parts), pa.int32()), pa.array(own, pa.binary()), pa.array([f * len(known) for f in first], pa.int64()), pa.array([f * sum(known) for f in first], pa.int64())], names=["part", "bucket", "counts", "distinct", "total"])
-
-    return materialise(passed.where("kind = 1").select("part", "bucket", "a", "b", "c").repartition(buckets, "bucket").mapInArrow(add, "part long, bucket int, counts binary, distinct long, total long"), "token-counts")
-
-
-def _base_scores(passed: DataFrame, counts: DataFrame) -> DataFrame:
-    """row, n_tokens, n_known, and summed: the sum over tokens of log10(c + 0.1)."""
-    def join(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            for k in range(batch.num_rows):
+                part, *packed = (c[k].as_py() for c in batch.columns)
+                streams, own = _open(*packed)
+                counts: Counter[bytes] = Counter()
+                others: set[bytes] = set()
+                for text, out in zip(streams, own["held"].to_pylist(), strict=True):
+                    (others if out else counts).update(text.split(b" "))
+                dealt: list[list[tuple[bytes, int]]] = [[] for _ in range(buckets)]
+                for token in others | counts.keys():
+                    dealt[zlib.crc32(token) % buckets].append((token, counts[token]))
+                yield _asked([(part, first + b, zstandard.compress(b" ".join(t for t, _ in pairs), 1), _pack(np.array([n for _, n in pairs]))) for b, pairs in enumerate(dealt) if pairs])
+
+    return chunks.mapInArrow(run, _ASKED)
+
+
+def _token_answers(asked: DataFrame, plan: _Buckets) -> DataFrame:
+    """To every request its tokens as they were, and their counts over all chunks; in one row of a
+    bucket also how many tokens it has learnt, and how many different ones."""
+    def answer(bucket: int, rows: list[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+        total: Counter[bytes] = Counter()
+        for _, a, b in rows:
+            for token, n in zip(zstandard.decompress(a).split(b" "), _unpack(b).tolist(), strict=True):
+                total[token] += n
+        v, n = sum(c > 0 for c in total.values()), sum(total.values())
+        for k, (part, a, _) in enumerate(rows):
+            own = _asked([(part, bucket, a, _pack(np.array([total[t] for t in zstandard.decompress(a).split(b" ")])))])
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array([0 if k else v], pa.int64()), pa.array([0 if k else n], pa.int64())], names=[*own.schema.names, "v", "n"])
+
+    return _per_bucket(asked, plan.counts[-1], answer, f"{_ASKED}, v long, n long")
+
+
+def _scores(chunks: DataFrame, answers: DataFrame, plan: _Buckets, kind: str) -> DataFrame:
+    """id, held, n_tokens, n_known, summed (the sum over tokens of log10(c + 0.1)), size, score."""
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        if len(left):
-            c = np.concatenate([np.frombuffer(x, np.int64) for x in right.sort_values("bucket")["counts"]])
-            end = int(c[0])  # the end is the first token of the first bucket
-            log = np.log10(c + 0.1)
-            for a, b, rows in zip(left["a"], left["b"], left["c"], strict=True):
-                flat, size = np.frombuffer(a, np.uint32), np.frombuffer(b, "<u4").astype(np.int64)
-                cuts = np.concatenate([[0], np.cumsum(size)])
-                value = np.add.reduceat(np.append(log[flat], 0), cuts[:-1]) * (size > 0)
-                known = np.add.reduceat(np.append(c[flat] > 0, False).astype(np.int64), cuts[:-1]) * (size > 0)
-                names = [rows[k : k + 16] for k in range(0, len(rows), 16)]
-                out.append(pd.DataFrame({"row": names, "n_tokens": size + 1, "n_known": known + (end > 0), "summed": value + math.log10(end + 0.1)}))
-        return pd.concat(out) if out else pd.DataFrame({"row": [], "n_tokens": [], "n_known": [], "summed": []})
-
-    texts = passed.where("kind = 2").select("part", "a", "b", "c")
-    return texts.groupBy("part").cogroup(counts.groupBy("part")).applyInPandas(join, "row binary, n_tokens long, n_known long, summed double")
+        right = right.sort_by("bucket")
+        numbers = right["bucket"].to_numpy()
+        for k in range(left.num_rows):
+            streams, own = _open(*(left[c][k].as_py() for c in ("streams", "sizes", "rows")))
+            known = []
+            for context in range(len(ORDERS)):
+                edges, cells, path = plan.edges(context), [], []
+                for r in np.flatnonzero((numbers >= plan.first(context)) & (numbers < plan.first(context + 1))).tolist():
+                    cells.append(np.cumsum(_unpack(right["a"][r].as_py())) + edges[numbers[r] - plan.first(context)])
+                    path.append(np.ascontiguousarray(np.frombuffer(zstandard.decompress(right["b"][r].as_py()), np.uint8).reshape(4, -1).T).view("<u4").reshape(-1))
+                known.append((np.concatenate(cells), np.concatenate(path)))
+            scored = Model([])._score(streams, plan.bits, known)
+            count = {}
+            for r in np.flatnonzero(numbers >= plan.first(len(ORDERS))).tolist():
+                count.update(zip(zstandard.decompress(right["a"][r].as_py()).split(b" "), _unpack(right["b"][r].as_py()).tolist(), strict=True))
+            c = [np.fromiter(map(count.__getitem__, t.split(b" ")), np.int64) for t in streams]
+            summed = np.array([np.log10(x + 0.1).sum() for x in c])
+            columns = {"n_tokens": [len(x) for x in c], "n_known": [int((x > 0).sum()) for x in c], "summed": summed, "size": [len(t) for t in streams], "score": scored}
+            for name, values in columns.items():
+                own = own.append_column(name, pa.array(values, pa.float64() if name in ("summed", "score") else pa.int64()))
+            out.append(own)
+        return pa.concat_tables(out) if out else made.empty_table()
+
+    schema = f"id {kind}, held boolean, n_tokens long, n_known long, summed double, size long, score double"
+    made = pa.schema([(n, pa.null()) for n in ("id", "held", "n_tokens", "n_known", "summed", "size", "score")])
+    return chunks.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(score, schema)
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 10) -> DataFrame:
@@ -516,32 +556,16 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeated rows are all learnt from and score alike; texts of any length are read whole; an
     empty table gives an empty result; other columns are ignored, whatever their names.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), held_out(id_col, modulus).alias("held"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("bytes"))
-    # equal texts score alike, so the digest of a text stands for its row in between
-    rows = rows.withColumn("row", F.unhex(F.md5("bytes")))
-    buckets = 4 * max(8, rows.rdd.getNumPartitions())
-    volume, learnt = rows.agg(F.sum(F.length("bytes")), F.sum(F.when(~F.col("held"), F.length("bytes")))).first()
-    wide = (learnt or 0) > BROADCAST_BYTES
-    contexts = sum(order <= SHORT for order in ORDERS) if wide else len(ORDERS)
-    passed = materialise(_count_pass(rows, buckets, contexts), "lm-pass")
-    model = spark.sparkContext.broadcast(_tables(passed, contexts))  # 8 MB a context
-    counts = _token_counts(passed, buckets)
-    sums = counts.agg(F.sum("distinct").alias("v"), F.sum("total").alias("n")).first()
+    dealt, volume, learnt = _by_length(rows)
+    chunks = materialise(_chunks(dealt), "lm-chunks")
+    buckets = max(1, math.ceil(volume / BUCKET_BYTES))
+    bits = min(56, max(ROW_BITS, math.ceil(math.log2(max(1, WIDE * learnt)))))
+    plan = _Buckets(bits, (*(math.ceil(buckets / SHARES.get(order, 1)) for order in ORDERS), buckets))
+    counts = materialise(_token_answers(_token_requests(chunks, plan), plan), "lm-tokens")
+    sums = counts.agg(F.sum("v").alias("v"), F.sum("n").alias("n")).first()
     v, n = sums["v"] or 0, sums["n"] or 0
-    base = _base_scores(passed, counts).groupBy("row").agg(*[F.first(c).alias(c) for c in ("n_tokens", "n_known", "summed")])
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            score, size = model.value.score(t.as_py() for t in batch.column("bytes"))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held"), batch.column("row"), pa.array(size), pa.array(score)], names=["id", "held_out", "row", "size", "score"])
-
-    if wide:
-        scores = _wide_scores(rows, model, max(ROW_BITS, math.ceil(math.log2(WIDE * learnt))), math.ceil(volume / BUCKET_BYTES))
-        scored = rows.select("id", F.col("held").alias("held_out"), "row").join(scores, "row")
-    else:
-        scored = rows.sortWithinPartitions(F.length("bytes")).mapInArrow(run, f"id {kind}, held_out boolean, row binary, size long, score double")
+    answers = _context_answers(_context_requests(chunks, plan), plan).union(counts.select("part", "bucket", "a", "b"))
+    scored = _scores(chunks, answers, plan, docs.schema[id_col].dataType.simpleString())
     unigram = F.col("summed") - F.col("n_tokens") * math.log10(n + 0.1 * (v + 1))
-    out = scored.join(base, "row").select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), unigram.alias("base_score"), "score", (-F.col("score") * math.log2(10) / F.col("size")).alias("bits_per_byte"))
-    return out
+    return scored.select(F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), unigram.alias("base_score"), "score", (-F.col("score") * math.log2(10) / F.col("size")).alias("bits_per_byte"))

@@ -195,7 +195,7 @@ def test_bucketed_contexts_equal_broadcast_ones(spark, monkeypatch, odd_docs):
     docs = odd_docs.select(*columns).union(spark.createDataFrame([(k, f"the {k % 7} brown fox jumps over é the lazy dog " * (k % 5)) for k in range(20, 60)], odd_docs.select(*columns).schema))
     key = lambda r: (str(r.doc_id), r.held_out, r.n_tokens, f"{r.score:.6g}", f"{r.base_score:.8g}", f"{r.bits_per_byte:.6g}")
     want = sorted(map(key, lm.score_texts(docs).collect()))
-    for name, value in (("BROADCAST_BYTES", 0), ("BUCKET_BYTES", 40_000), ("WIDE_CHUNK", 2_000)):
+    for name, value in (("BUCKET_BYTES", 40_000), ("WIDE_CHUNK", 2_000)):
         monkeypatch.setattr(lm, name, value)
     assert sorted(map(key, lm.score_texts(docs).collect())) == want
 
@@ -228,3 +228,41 @@ def test_weights_last_through_a_text():
             lm.nibbles = model_cells
 
     assert cost(4096) - cost(2048) < 0.7 * cost(2048)
+
+
+def plain_score(model, text):
+    """A text's log10 probability, bit by bit in plain Python."""
+    nibble, cells, _ = lm.nibbles([text])
+    tables = [np.frombuffer(t, np.int8).reshape(-1, 16) for t in model.tables]
+    weight = [[lm.START] * len(tables) for _ in range(4)]
+    edges = [1 / (1 + math.exp(-x)) for x in np.linspace(-8, 8, lm._MAP_BINS)]
+    refined = [list(edges) for _ in range(4)]
+    total = 0.0
+    for at, n in enumerate(nibble.tolist()):
+        rows = [t[int(c[at]) >> 4] for t, c in zip(tables, cells)]
+        for place in range(4):
+            node, bit = (1 << place) + (n >> (4 - place)), n >> (3 - place) & 1
+            x = [int(r[node]) / lm.STEPS for r in rows]
+            dot = min(8.0, max(-8.0, sum(w * v for w, v in zip(weight[place], x))))
+            p = 1 / (1 + math.exp(-dot))
+            cell = math.floor(dot * (lm._MAP_BINS - 1) / 16) + lm._MAP_BINS // 2
+            q = refined[place][cell]
+            refined[place][cell] += lm.MAP_RATE * (bit - q)
+            mixed = p + lm.MAP_SHARE * (q - p)
+            total += math.log(mixed if bit else 1 - mixed)
+            weight[place] = [w - lm.RATE * (p - bit) * v for w, v in zip(weight[place], x)]
+    return total / math.log(10)
+
+
+@pytest.mark.parametrize("size", [0, 1, 700, 20_000])
+def test_scores_equal_a_plain_loop(size):
+    """Alone, among others of all lengths, and over many windows."""
+    rnd = np.random.default_rng(size)
+    tables = [lm.logits(np.random.default_rng(k).integers(0, 9, (1 << lm.ROW_BITS, 16))).tobytes() for k in range(len(lm.ORDERS))]
+    letters = np.frombuffer("the quick brown fox Zé9 ".encode(), np.uint8)
+    text = lm.stream(rnd.choice(letters, size).tobytes())
+    want = plain_score(lm.Model(tables), text)
+    model = lm.Model(tables)
+    others = [lm.stream(rnd.choice(letters, n).tobytes()) for n in (0, 5, 3000, 9000, *rnd.integers(0, 2000, 1500))]
+    alone, among = model._score([text])[0], model._score([*others, text, text])[-2:]
+    assert alone == among[0] == among[1] and alone == pytest.approx(want, rel=1e-4)
