@@ -28,7 +28,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -134,17 +134,57 @@ def distinct(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return packed[new], place
 
 
+def _starts(ordered: np.ndarray) -> np.ndarray:
+    """Where runs of equal numbers begin."""
+    new = np.ones(len(ordered), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
+def tallied(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct cells, ascending, and how often each occurs."""
+    if len(cells) and cells.max() < 1 << 31:
+        cells = cells.astype(np.int32)  # sorted faster
+    cells = np.sort(cells)
+    first = _starts(cells)
+    return cells[first].astype(np.int64), np.diff(first, append=len(cells))
+
+
+def looked_up(cells: np.ndarray, values: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """A function from arrays of cells to their values; the given cells ascend."""
+    if len(cells) and cells[-1] < DENSE:
+        table = np.zeros(int(cells[-1]) + 1, values.dtype)
+        table[cells] = values
+        return lambda asked: table.take(asked)
+
+    def sorted_out(asked: np.ndarray) -> np.ndarray:
+        shift = len(asked).bit_length()
+        if not len(asked) or int(cells[-1]).bit_length() + shift > 63:
+            return values.take(np.searchsorted(cells, asked))
+        packed = asked << shift
+        packed |= np.arange(len(asked))
+        packed.sort()
+        at = packed & (1 << shift) - 1
+        packed >>= shift
+        first = _starts(packed)
+        out = np.empty(len(asked), values.dtype)
+        out[at] = np.repeat(values.take(np.searchsorted(cells, packed[first])), np.diff(first, append=len(packed)))
+        return out
+
+    return sorted_out
+
+
 class _Tally:
     """Distinct cells with their counts, merged as they come."""
 
     def __init__(self):
         self.cells, self.counts, self.waiting, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
 
-    def add(self, cells: np.ndarray, learnt: np.ndarray) -> None:
-        found, place = distinct(cells)
-        self.waiting.append((found, np.bincount(place[learnt], minlength=len(found))))
+    def add(self, cells: np.ndarray, learnt: bool) -> None:
+        found, count = tallied(cells)
+        self.waiting.append((found, count if learnt else np.zeros(len(found), np.int64)))
         self.size += len(found)
-        if self.size > max(WINDOW, len(self.cells)):
+        if self.size > max(2 * WINDOW, len(self.cells)):
             self.merge()
 
     def merge(self) -> None:
@@ -220,7 +260,7 @@ def paths(table: np.ndarray) -> np.ndarray:
 @dataclass
 class Model:
     """What texts are scored by: of each context its logits in a table of rows of 16 signed bytes,
-    or for contexts beyond the tables, known: ascending cells and the paths of each."""
+    or for contexts beyond the tables, known: what gives cells their paths."""
 
     tables: list[bytes]
 
@@ -229,7 +269,7 @@ class Model:
             self._paths = [paths(np.frombuffer(t, np.int8).reshape(-1, 16)) for t in self.tables]
         return self._paths
 
-    def _score(self, texts: list[bytes], bits: int = ROW_BITS, known: list[tuple[np.ndarray, np.ndarray]] | None = None) -> np.ndarray:
+    def _score(self, texts: list[bytes], bits: int = ROW_BITS, known: list[Callable[[np.ndarray], np.ndarray]] | None = None) -> np.ndarray:
         """log10 probability of each stream. Equal ones are scored once, up to LANES in step."""
         number = {t: None for t in sorted(texts, key=len, reverse=True)}
         apart = list(number)
@@ -240,9 +280,7 @@ class Model:
             for pieces, before in _windows(lanes, max(1024, WINDOW // len(lanes))):
                 nibble, cells, start = _hashed(pieces, bits, before)
                 outputs = [t.take(c, mode="clip") for t, c in zip(tables, cells, strict=False)]
-                for (cell, path), asked in zip(known or [], cells[len(tables) :], strict=True):
-                    found, place = distinct(asked)
-                    outputs.append(path.take(np.searchsorted(cell, found)).take(place))
+                outputs += [look_up(asked) for look_up, asked in zip(known or [], cells[len(tables) :], strict=True)]
                 mixer.go(nibble, outputs, start[:-1], np.diff(start))
             total[first : first + len(lanes)] = mixer.total
         number = dict(zip(apart, (total / math.log(10)).tolist(), strict=True))
@@ -277,12 +315,20 @@ def _mix_lanes(nibble: np.ndarray, outputs: list[np.ndarray], begin: np.ndarray,
     lanes, inputs = len(begin), len(outputs)
     base = np.arange(4 * lanes) * _MAP_BINS + _MAP_BINS // 2
     active = np.searchsorted(-length, -np.arange(int(length[0])), side="left")
+    # what a step needs, side by side
+    upto = np.cumsum(active)
+    at = np.arange(upto[-1]) - np.repeat(upto - active, active)
+    at = begin.take(at)
+    at += np.repeat(np.arange(len(active)), active)
+    nibble, outputs = nibble.take(at), [o.take(at).view(np.int8) for o in outputs]
+    del at
+    ends = upto.tolist()
     inputs_, spare, mixed = (np.empty((k, 4 * lanes), np.float32) for k in (inputs, 1, 1))
     for step in range(int(length[0])):
         n = int(active[step])
-        at = begin[:n] + step
+        now = slice(ends[step] - n, ends[step])
         for k in range(inputs):
-            inputs_[k, : 4 * n] = outputs[k].take(at, mode="clip").view(np.int8)
+            inputs_[k, : 4 * n] = outputs[k][4 * now.start : 4 * now.stop]
         w, x, dot, part = weight[:, : 4 * n], inputs_[:, : 4 * n], mixed[0, : 4 * n], spare[0, : 4 * n]
         np.multiply(w[0], x[0], out=dot)
         for k in range(1, inputs):
@@ -290,7 +336,7 @@ def _mix_lanes(nibble: np.ndarray, outputs: list[np.ndarray], begin: np.ndarray,
             dot += part
         np.minimum(dot, 8 * STEPS, out=dot)
         np.maximum(dot, -8 * STEPS, out=dot)
-        bit = _BITS.take(nibble.take(at, mode="clip"), mode="clip").view(np.int8).astype(np.float32)
+        bit = _BITS.take(nibble[now], mode="clip").view(np.int8).astype(np.float32)
         cell = np.floor(np.multiply(dot, (_MAP_BINS - 1) / 16 / STEPS, out=part), out=part).astype(np.int64)
         cell += base[: 4 * n]
         dot *= -1 / STEPS
@@ -360,7 +406,7 @@ def _chunks(rows: DataFrame) -> DataFrame:
             for k, text in enumerate(batch.column("bytes")):
                 streams.append(stream(text.as_py()))
                 size += len(streams[-1])
-                if size > WIDE_CHUNK:
+                if 2 * size > 3 * WIDE_CHUNK:
                     own.append(batch.select(["id", "held"]).slice(first, k + 1 - first))
                     yield shut()
                     streams, own, size, first, part = [], [], 0, k + 1, part + 1
@@ -414,14 +460,12 @@ def _context_requests(chunks: DataFrame, plan: _Buckets) -> DataFrame:
             for k in range(batch.num_rows):
                 part, *packed = (c[k].as_py() for c in batch.columns)
                 streams, own = _open(*packed)
-                held = own["held"].to_numpy()
-                tallies, done = [_Tally() for _ in ORDERS], 0
-                for piece in _pieces(streams, WINDOW):
-                    _, cells, start = _hashed(piece, plan.bits, None)
-                    learnt = np.repeat(~held[done : done + len(piece)], np.diff(start))
-                    done += len(piece)
-                    for tally, cell in zip(tallies, cells, strict=True):
-                        tally.add(cell, learnt)
+                held = own["held"].to_pylist()
+                tallies = [_Tally() for _ in ORDERS]
+                for learnt in (True, False):
+                    for piece in _pieces([t for t, out in zip(streams, held, strict=True) if out != learnt], WINDOW):
+                        for tally, cell in zip(tallies, _hashed(piece, plan.bits, None)[1], strict=True):
+                            tally.add(cell, learnt)
                 for kind, tally in enumerate(tallies):
                     tally.merge()
                     edges = plan.edges(kind)
@@ -489,10 +533,14 @@ def _token_requests(chunks: DataFrame, plan: _Buckets) -> DataFrame:
                 others: set[bytes] = set()
                 for text, out in zip(streams, own["held"].to_pylist(), strict=True):
                     (others if out else counts).update(text.split(b" "))
-                dealt: list[list[tuple[bytes, int]]] = [[] for _ in range(buckets)]
-                for token in others | counts.keys():
-                    dealt[zlib.crc32(token) % buckets].append((token, counts[token]))
-                yield _asked([(part, first + b, zstandard.compress(b" ".join(t for t, _ in pairs), 1), _pack(np.array([n for _, n in pairs]))) for b, pairs in enumerate(dealt) if pairs])
+                tokens = [*counts, *(others - counts.keys())]
+                count = np.zeros(len(tokens), np.int64)
+                count[: len(counts)] = list(counts.values())
+                bucket = np.fromiter(map(zlib.crc32, tokens), np.uint32, len(tokens)) % buckets
+                order = np.argsort(bucket, kind="stable")
+                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                dealt = [(b, order[cuts[b] : cuts[b + 1]]) for b in np.flatnonzero(np.diff(cuts)).tolist()]
+                yield _asked([(part, first + b, zstandard.compress(b" ".join(map(tokens.__getitem__, mine.tolist())), 1), _pack(count[mine])) for b, mine in dealt])
 
     return chunks.mapInArrow(run, _ASKED)
 
@@ -527,14 +575,15 @@ def _scores(chunks: DataFrame, answers: DataFrame, plan: _Buckets, kind: str) ->
                 for r in np.flatnonzero((numbers >= plan.first(context)) & (numbers < plan.first(context + 1))).tolist():
                     cells.append(np.cumsum(_unpack(right["a"][r].as_py())) + edges[numbers[r] - plan.first(context)])
                     path.append(np.ascontiguousarray(np.frombuffer(zstandard.decompress(right["b"][r].as_py()), np.uint8).reshape(4, -1).T).view("<u4").reshape(-1))
-                known.append((np.concatenate(cells), np.concatenate(path)))
+                known.append(looked_up(np.concatenate(cells), np.concatenate(path)))
             scored = Model([])._score(streams, plan.bits, known)
             count = {}
             for r in np.flatnonzero(numbers >= plan.first(len(ORDERS))).tolist():
                 count.update(zip(zstandard.decompress(right["a"][r].as_py()).split(b" "), _unpack(right["b"][r].as_py()).tolist(), strict=True))
             c = [np.fromiter(map(count.__getitem__, t.split(b" ")), np.int64) for t in streams]
-            summed = np.array([np.log10(x + 0.1).sum() for x in c])
-            columns = {"n_tokens": [len(x) for x in c], "n_known": [int((x > 0).sum()) for x in c], "summed": summed, "size": [len(t) for t in streams], "score": scored}
+            tokens, c = np.array([len(x) for x in c]), np.concatenate(c)
+            first = np.cumsum(tokens) - tokens  # no text lacks its end
+            columns = {"n_tokens": tokens, "n_known": np.add.reduceat((c > 0).astype(np.int64), first), "summed": np.add.reduceat(np.log10(c + 0.1), first), "size": [len(t) for t in streams], "score": scored}
             for name, values in columns.items():
                 own = own.append_column(name, pa.array(values, pa.float64() if name in ("summed", "score") else pa.int64()))
             out.append(own)
