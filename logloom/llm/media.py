@@ -9,6 +9,7 @@ reads fill the metadata columns; payloads are read back by the same offsets.
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import tarfile
 import uuid
@@ -29,6 +30,8 @@ HEADER = 33
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: A task starts another shard beyond this size.
 SHARD_BYTES = 256 << 20
+#: Stored bytes that a task reads back, about.
+READ_BYTES = 16 << 20
 
 PLACES = "digest string, n_bytes long, shard string, offset long, length long"
 
@@ -214,6 +217,8 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     folder = folder or f"{shared_dir(docs.sparkSession)}/logloom/media-{uuid.uuid4().hex}"
     placed = store_payloads(docs, folder, id_col, text_col)
     first = placed.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("place"))
-    places = first.select("digest", "place.shard", "place.offset", "place.length").repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")
+    size = placed.agg(F.sum("length")).first()[0] or 0
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(size / READ_BYTES))
+    places = first.select("digest", "place.shard", "place.offset", "place.length").repartitionByRange(parts, "shard", "offset").sortWithinPartitions("shard", "offset")
     found = payload_features(header_columns(places))
     return placed.select(F.col("id").alias(id_col), "n_bytes", "digest").join(found, "digest")
