@@ -68,10 +68,11 @@ def dedup_lines(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
     firsts = found.classes.join(found.linked, "first", "left_anti").select(F.col("first.doc").alias("doc"), F.col("first.line").alias("line"))
     kept = firsts.union(found.units.where("n = 0").select("doc", "line")).distinct()
     key, keep, parts = (free_name(docs, x) for x in ("doc", "keep", "parts"))
-    by_doc = kept.groupBy(F.col("doc").alias(key)).agg(F.collect_set("line").alias(keep))  # at most a document's lines
+    by_doc = kept.groupBy(F.col("doc").alias(key)).agg(F.array_sort(F.collect_list("line")).alias(keep))  # at most a document's lines
     rows = docs.join(by_doc, docs[id_col].cast("long") == F.col(key), "left")
-    cut = F.split(F.col(text_col), "\n")
-    left = F.array_join(F.filter(cut, lambda part, at: F.array_contains(F.col(keep), at)), "\n")
+    # an array of one struct names its fields within the lambda, where the text is cut only once
+    both = F.array(F.struct(F.split(F.col(text_col), "\n").alias("cut"), F.col(keep).alias("keep")))
+    left = F.get(F.transform(both, lambda b: F.array_join(F.transform(b["keep"], lambda at: F.get(b["cut"], at)), "\n")), F.lit(0))
     text = F.when(F.col(id_col).isNull() | F.col(text_col).isNull(), F.col(text_col)).when(F.col(keep).isNull(), F.lit("")).otherwise(left)
     out = rows.withColumn(parts, text).withColumn(text_col, F.col(parts))
     if size_col in docs.columns:
