@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,3 +64,61 @@ def recent_turns(turns: DataFrame, session: str, order: str, done: int = 2) -> D
     active = F.col("status") == "in_progress"
     w = Window.partitionBy(session, active).orderBy(F.desc(order))
     return turns.withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") <= F.when(active, 1).otherwise(done)).drop("_nth")
+
+
+TURNS = "turn_id string, number long, status string, reason string, start_at long, end_at long, rolled_back boolean"
+
+
+def turns_by_id(events: DataFrame, session: str, order: str, turn_id: str, kind: str, count: str | None = None, reason: str | None = None) -> DataFrame:
+    """One row a turn of a session: session and TURNS, numbered as they first appear.
+
+    kind is start, complete, abort or rollback; other rows are passed over. A start opens a turn,
+    or opens it again; a turn still open is then incomplete, superseded by the new one. An end
+    closes its own turn, whichever is open, and makes one if it has none. A rollback undoes the
+    last `count` turns, as numbered, that are closed by then and not undone yet; one undone stays
+    so. A row without a turn id is a turn of its own.
+
+    Rows are sorted by session and order and read as they come: what a task holds are the turns of
+    one session, not its rows.
+    """
+    ident = F.coalesce(F.col(turn_id).cast("string"), F.concat(F.lit("turn_"), F.sha2(F.concat_ws("\0", F.col(session).cast("string"), F.col(order).cast("string")), 256)))
+    none = F.lit(None)
+    used = events.where(F.col(kind).isin("start", "complete", "abort", "rollback")).select(
+        F.col(session).alias("session"), F.col(order).cast("long").alias("at"), ident.alias("id"), F.col(kind).alias("kind"),
+        (none if count is None else F.col(count)).cast("long").alias("count"), (none if reason is None else F.col(reason)).cast("string").alias("reason"),
+    )
+    key = events.schema[session].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, turns, open_ = object(), {}, None
+
+        def shut() -> Iterator[pa.RecordBatch]:
+            if turns:
+                rows = [{"session": now, "turn_id": t, "number": n, **turn} for n, (t, turn) in enumerate(turns.items(), 1)]
+                yield pa.RecordBatch.from_pylist(rows, schema=made)
+
+        made = None
+        for batch in batches:
+            made = made or pa.schema([("session", batch.schema.field("session").type), ("turn_id", pa.string()), ("number", pa.int64()), ("status", pa.string()), ("reason", pa.string()), ("start_at", pa.int64()), ("end_at", pa.int64()), ("rolled_back", pa.bool_())])
+            for row in batch.to_pylist():
+                if row["session"] != now:
+                    yield from shut()
+                    now, turns, open_ = row["session"], {}, None
+                if row["kind"] == "rollback":
+                    closed = [t for t in turns.values() if t["end_at"] is not None and t["end_at"] < row["at"] and not t["rolled_back"]]
+                    for turn in closed[-row["count"] :] if (row["count"] or 0) > 0 else []:
+                        turn["rolled_back"] = True
+                    continue
+                if row["kind"] == "start" and open_ not in (None, row["id"]):
+                    turns[open_] |= {"status": "incomplete", "reason": "superseded_by_new_turn", "end_at": row["at"]}
+                turn = turns.setdefault(row["id"], {"status": "in_progress", "reason": None, "start_at": row["at"], "end_at": None, "rolled_back": False})
+                if row["kind"] == "start":
+                    turn |= {"status": "in_progress", "end_at": None}
+                    open_ = row["id"]
+                else:
+                    turn |= {"status": "completed" if row["kind"] == "complete" else "failed", "reason": row["reason"], "end_at": row["at"]}
+                    open_ = None if open_ == row["id"] else open_
+        yield from shut()
+
+    found = used.repartition("session").sortWithinPartitions("session", "at").mapInArrow(run, f"session {key}, {TURNS}")
+    return found.withColumnRenamed("session", session)

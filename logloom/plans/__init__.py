@@ -1,3 +1,3 @@
 """Registered queries over the driver's tables."""
 
-from . import conversations, documents, events, orders  # noqa: F401  they register themselves
+from . import conversations, documents, events, ledger, orders, snapshots  # noqa: F401  they register themselves
