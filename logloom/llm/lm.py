@@ -55,8 +55,8 @@ LANES = 2048
 RATE, START, MAP_RATE, MAP_SHARE = 0.02, 0.3, 0.03, 0.4
 #: Logits are kept as signed bytes of this many steps a unit.
 STEPS = 16.0
-#: Bytes of text that are mixed together, and those whose contexts are hashed together.
-WINDOW, BLOCK = 1 << 20, 1 << 16
+#: Nibbles that are mixed together, and bytes whose contexts are hashed together.
+WINDOW, BLOCK = 3 << 18, 1 << 16
 #: Cells below this are told apart by a table, others by sorting.
 DENSE = 1 << 24
 
@@ -217,15 +217,31 @@ def _pieces(texts: Iterable[bytes], most: int) -> Iterator[list[bytes]]:
         yield held
 
 
+#: Nibbles of each byte.
+_LENGTH = np.where(_CODE == 15, 3, 1).astype(np.uint8)
+
+
+def cost(text: bytes) -> int:
+    """A stream's nibbles."""
+    return int(_LENGTH.take(np.frombuffer(text, np.uint8)).sum(dtype=np.int64))
+
+
+def _cuts(text: bytes, step: int) -> list[int]:
+    """Where a stream is cut after about every step nibbles, and its end."""
+    upto = np.cumsum(_LENGTH.take(np.frombuffer(text, np.uint8)), dtype=np.int64)
+    return [*np.searchsorted(upto, np.arange(step, upto[-1], step)).tolist(), len(text)]
+
+
 def _windows(texts: list[bytes], step: int) -> Iterator[tuple[list[bytes], list[bytes] | None]]:
-    """Texts, longest first, cut at every step bytes: the pieces of those that reach so far, with
-    the eight bytes before each."""
-    for begin in range(0, len(texts[0]), step):
-        if begin:
-            texts = [t for t in texts if len(t) > begin]
-            yield [t[begin : begin + step] for t in texts], [t[max(0, begin - 8) : begin].rjust(8, b"\0") for t in texts]
-        else:
-            yield [t[:step] for t in texts], None
+    """Texts, those of most nibbles first, cut at about every step nibbles: the pieces of those that
+    reach so far, with the eight bytes before each."""
+    cuts = [_cuts(t, step) for t in texts]
+    yield [t[: c[0]] for t, c in zip(texts, cuts, strict=True)], None
+    for k in range(1, len(cuts[0])):
+        while len(cuts[-1]) <= k:
+            cuts.pop()
+        live = list(zip(texts, cuts, strict=False))
+        yield [t[c[k - 1] : c[k]] for t, c in live], [t[max(0, c[k - 1] - 8) : c[k - 1]].rjust(8, b"\0") for t, c in live]
 
 
 def _hashed(pieces: list[bytes], bits: int, before: list[bytes] | None) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
@@ -271,13 +287,12 @@ class Model:
 
     def _score(self, texts: list[bytes], bits: int = ROW_BITS, known: list[Callable[[np.ndarray], np.ndarray]] | None = None) -> np.ndarray:
         """log10 probability of each stream. Equal ones are scored once, up to LANES in step."""
-        number = {t: None for t in sorted(texts, key=len, reverse=True)}
-        apart = list(number)
+        apart = sorted(set(texts), key=lambda t: (-cost(t), t))
         tables, total = self.ready(), np.zeros(len(apart))
         for first in range(0, len(apart), LANES):
             lanes = apart[first : first + LANES]
             mixer = _Mixer(len(lanes), len(ORDERS))
-            for pieces, before in _windows(lanes, max(1024, WINDOW // len(lanes))):
+            for pieces, before in _windows(lanes, max(256, WINDOW // len(lanes))):
                 nibble, cells, start = _hashed(pieces, bits, before)
                 outputs = [t.take(c, mode="clip") for t, c in zip(tables, cells, strict=False)]
                 outputs += [look_up(asked) for look_up, asked in zip(known or [], cells[len(tables) :], strict=True)]
@@ -320,23 +335,22 @@ def _mix_lanes(nibble: np.ndarray, outputs: list[np.ndarray], begin: np.ndarray,
     at = np.arange(upto[-1]) - np.repeat(upto - active, active)
     at = begin.take(at)
     at += np.repeat(np.arange(len(active)), active)
-    nibble, outputs = nibble.take(at), [o.take(at).view(np.int8) for o in outputs]
+    bits = _BITS.take(nibble.take(at)).view(np.int8).astype(np.float32)
+    found = np.empty((inputs, 4 * len(at)), np.int8)
+    for k in range(inputs):
+        outputs[k].take(at, out=found[k].view(np.uint32), mode="clip")
+    true = np.empty(4 * len(at), np.float32)  # the probability of what came true
     del at
-    ends = upto.tolist()
-    inputs_, spare, mixed = (np.empty((k, 4 * lanes), np.float32) for k in (inputs, 1, 1))
-    for step in range(int(length[0])):
-        n = int(active[step])
-        now = slice(ends[step] - n, ends[step])
-        for k in range(inputs):
-            inputs_[k, : 4 * n] = outputs[k][4 * now.start : 4 * now.stop]
-        w, x, dot, part = weight[:, : 4 * n], inputs_[:, : 4 * n], mixed[0, : 4 * n], spare[0, : 4 * n]
-        np.multiply(w[0], x[0], out=dot)
-        for k in range(1, inputs):
-            np.multiply(w[k], x[k], out=part)
-            dot += part
+    inputs_, products, mixed, spare = (np.empty((k, 4 * lanes), np.float32) for k in (inputs, inputs, 1, 1))
+    end = 0
+    for n in active.tolist():
+        start, end = end, end + 4 * n
+        w, x, product, dot, part, bit = weight[:, : 4 * n], inputs_[:, : 4 * n], products[:, : 4 * n], mixed[0, : 4 * n], spare[0, : 4 * n], bits[start:end]
+        x[...] = found[:, start:end]
+        np.multiply(w, x, out=product)
+        np.add.reduce(product, axis=0, out=dot)
         np.minimum(dot, 8 * STEPS, out=dot)
         np.maximum(dot, -8 * STEPS, out=dot)
-        bit = _BITS.take(nibble[now], mode="clip").view(np.int8).astype(np.float32)
         cell = np.floor(np.multiply(dot, (_MAP_BINS - 1) / 16 / STEPS, out=part), out=part).astype(np.int64)
         cell += base[: 4 * n]
         dot *= -1 / STEPS
@@ -351,14 +365,18 @@ def _mix_lanes(nibble: np.ndarray, outputs: list[np.ndarray], begin: np.ndarray,
         q -= p
         q *= MAP_SHARE
         q += p
+        np.add(q, bit, out=true[start:end])
         p -= bit
-        bit -= 1
-        q += bit  # the probability of what came true, or its negative
-        q = q.reshape(n, 4)
-        total[:n] += np.log(np.abs(q[:, 0] * q[:, 1] * q[:, 2] * q[:, 3]))
         p *= RATE / STEPS
         x *= p
         w -= x
+    true -= 1  # or its negative
+    true = true.reshape(-1, 4)
+    logs = np.log(np.abs(true[:, 0] * true[:, 1] * true[:, 2] * true[:, 3], dtype=np.float64))
+    end = 0
+    for n in active.tolist():
+        start, end = end, end + n
+        total[:n] += logs[start:end]
 
 
 def held_out(id_col: str, modulus: int = 10) -> Column:
@@ -463,7 +481,7 @@ def _context_requests(chunks: DataFrame, plan: _Buckets) -> DataFrame:
                 held = own["held"].to_pylist()
                 tallies = [_Tally() for _ in ORDERS]
                 for learnt in (True, False):
-                    for piece in _pieces([t for t, out in zip(streams, held, strict=True) if out != learnt], WINDOW):
+                    for piece in _pieces([t for t, out in zip(streams, held, strict=True) if out != learnt], 16 * BLOCK):
                         for tally, cell in zip(tallies, _hashed(piece, plan.bits, None)[1], strict=True):
                             tally.add(cell, learnt)
                 for kind, tally in enumerate(tallies):
