@@ -1,4 +1,4 @@
-"""Masking of secrets. The detectors are our own; text that is masked already stays as it is."""
+"""Masking of secrets. Text that is masked already stays as it is."""
 
 from __future__ import annotations
 
@@ -16,21 +16,36 @@ class Detector:
 
     @property
     def mark(self) -> str:
-        return f"[REDACTED:{self.kind}]"
+        return f"[REDACTED:{self.kind.upper()}]"
 
 
-#: In this order: what an earlier detector masked, a later one doesn't see.
+# The names of detectors, the kinds of what they mask, and the names of secrets by kind.
+SECRETS = {
+    "api_key": r"(?:[a-z0-9]+[_-])*(?:api_?key|access_?key|secret_?key)",
+    "token": r"(?:[a-z0-9]+[_-])*(?:token|client_?secret)",
+    "password": r"(?:[a-z0-9]+[_-])*(?:password|passwd|pwd)",
+    "private_key": r"(?:[a-z0-9]+[_-])*private_?key",
+}
+_OPEN = r"(?!\[REDACTED:)"
+
+#: In this order: what an earlier detector masked, a later one doesn't see. The patterns are our own.
 DETECTORS = [
-    Detector("private_key_block", "private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----"),
-    Detector("bearer_header", "bearer_token", r"(?i)(authorization\s*:\s*bearer\s+)[A-Za-z0-9._~+/=-]{8,}"),
-    Detector("url_password", "password", r"([a-z][a-z0-9+.-]*://[^\s/:@]+:)[^\s/@]+(?=@)"),
-    Detector("cloud_key", "api_key", r"\bAKIA[0-9A-Z]{16}\b"),
-    Detector("provider_key", "api_key", r"\b(?:sk|ghp|gho|glpat|xox[abp])[-_][A-Za-z0-9_-]{16,}"),
-    Detector("token_assignment", "token", r"(?i)(\b(?:access_|refresh_|auth_)?token\s*[=:]\s*[\"'])[^\"'\[\]\s]{6,}(?=[\"'])"),
-    Detector("secret_assignment", "secret", r"(?i)(\b(?:client_)?secret\s*[=:]\s*[\"'])[^\"'\[\]\s]{6,}(?=[\"'])"),
-    Detector("password_assignment", "password", r"(?i)(\b(?:password|passwd|pwd)\s*[=:]\s*[\"'])[^\"'\[\]\s]{4,}(?=[\"'])"),
-    Detector("cookie_header", "cookie", r"(?i)(\bset-cookie\s*:\s*)[^\r\n\[]+"),
+    Detector("pem_private_key", "private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----"),
+    Detector("url_userinfo", "url_credential", rf"([a-z][a-z0-9+.-]*://){_OPEN}[^\s/:@]+:[^\s/@]+(?=@)"),
+    Detector("windows_user_profile", "local_path", r"(?i)\b[A-Z]:[\\/]+Users[\\/]+[^\s\"'<>|]+"),
+    Detector("unix_home_directory", "local_path", r"(?<![\w./-])(?:/home|/Users|/data/data/com\.termux/files/home)/[^\s\"'<>|:,;]+"),
+    Detector("ssh_account", "account", rf"(\bssh\s+(?:[^\s@]+\s+)*){_OPEN}[A-Za-z0-9._-]+(?=@)"),
+    Detector("authorization_header", "token", rf"(?i)(\b(?:proxy-)?authorization\s*:\s*(?:bearer|basic|token)\s+){_OPEN}[A-Za-z0-9._~+/=-]+"),
+    *[Detector("json_sensitive_field", kind, rf'(?i)("{names}"\s*:\s*"){_OPEN}[^"\\]+(?=")') for kind, names in SECRETS.items()],
+    *[Detector("sensitive_command_option", kind, rf"(?i)((?<!\S)--{names}(?:\s+|=)){_OPEN}[^\s\"'-][^\s\"']*") for kind, names in SECRETS.items()],
+    Detector("sensitive_assignment", "token", r"(?i)(\b(?:access_|refresh_|auth_)?token\s*[=:]\s*[\"'])[^\"'\[\]\s]{6,}(?=[\"'])"),
+    *[Detector("sensitive_assignment", kind, rf"(?i)(\b{names}\s*[=:]\s*[\"']?){_OPEN}[^\"'\[\]\s,;]{{4,}}") for kind, names in SECRETS.items()],
+    Detector("known_api_key_format", "api_key", r"\b(?:sk-(?:ant-)?[A-Za-z0-9_-]{16,}|AKIA[0-9A-Z]{16}|AIza[0-9A-Za-z_-]{35}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,})\b"),
+    Detector("known_token_format", "token", r"\b(?:gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)"),
 ]
+#: What is masked already, by whatever wrote the text.
+EXISTING = "existing_marker"
+KINDS = ("api_key", "token", "password", "private_key", "url_credential", "local_path", "account")
 
 
 def redact(c: Column, detectors: list[Detector] = DETECTORS) -> Column:
@@ -41,8 +56,11 @@ def redact(c: Column, detectors: list[Detector] = DETECTORS) -> Column:
 
 
 def redactions(c: Column, detectors: list[Detector] = DETECTORS) -> Column:
-    """array<struct<detector, type, n>> of the detectors that mask something in the text."""
+    """array<struct<detector, type, n>> of the detectors that mask something in the text, and of the
+    marks that it has already."""
     found, left = [], c
+    if detectors is DETECTORS:
+        found = [F.struct(F.lit(EXISTING).alias("detector"), F.lit(kind).alias("type"), marks_left(c, kind).alias("n")) for kind in KINDS]
     for d in detectors:
         found.append(F.struct(F.lit(d.name).alias("detector"), F.lit(d.kind).alias("type"), F.regexp_count(left, F.lit(d.pattern)).alias("n")))
         left = redact(left, [d])
@@ -51,7 +69,7 @@ def redactions(c: Column, detectors: list[Detector] = DETECTORS) -> Column:
 
 def marks_left(c: Column, kind: str) -> Column:
     """How many marks of a kind a text still holds, after cuts."""
-    return F.regexp_count(c, F.lit(rf"\[REDACTED:{kind}\]"))
+    return F.regexp_count(c, F.lit(rf"\[REDACTED:{kind.upper()}\]"))
 
 
 def redact_parts(parts: Column) -> Column:
@@ -62,3 +80,12 @@ def redact_parts(parts: Column) -> Column:
 def assert_masked(is_masked: Column, value: Column) -> Column:
     """The value; a row that isn't masked stops the job."""
     return F.when(F.coalesce(is_masked, F.lit(False)), value).otherwise(F.raise_error(F.lit("a row isn't masked")))
+
+
+def kept_redactions(found: Column, text: Column) -> Column:
+    """Of a list of redactions (type, detector), in order, as many of each type as the text still
+    has marks of it."""
+    def of(kind: str) -> Column:
+        return F.slice(F.filter(found, lambda r: r["type"] == kind), F.lit(1), marks_left(text, kind))
+
+    return F.flatten(F.array(*map(of, KINDS)))

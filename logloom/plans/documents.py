@@ -56,9 +56,9 @@ def call_budget(spark, sf_dir):
 TOKEN = r"""(?i)(\b(?:access_|refresh_|auth_)?token\s*[=:]\s*[\"''])[^\"''\[\]\s]{6,}([\"''])"""
 
 
-@query("redact_token", f"SELECT doc_id, md5(regexp_replace(text, '{TOKEN}', '\\1[REDACTED:token]\\2', 'g')) AS masked_md5 FROM documents")
+@query("redact_token", f"SELECT doc_id, md5(regexp_replace(text, '{TOKEN}', '\\1[REDACTED:TOKEN]\\2', 'g')) AS masked_md5 FROM documents")
 def redact_token(spark, sf_dir):
-    chosen = [d for d in redaction.DETECTORS if d.name == "token_assignment"]
+    chosen = [d for d in redaction.DETECTORS if d.name == "sensitive_assignment"][:1]
     return documents(spark, sf_dir).select("doc_id", F.md5(redaction.redact(F.col("text"), chosen)).alias("masked_md5"))
 
 
@@ -66,7 +66,7 @@ def redact_token(spark, sf_dir):
 SELECT doc_id, len(regexp_extract_all(text, '{TOKEN}')) AS n FROM documents WHERE regexp_matches(text, '{TOKEN}')
 """)
 def redaction_counts(spark, sf_dir):
-    chosen = [d for d in redaction.DETECTORS if d.name == "token_assignment"]
+    chosen = [d for d in redaction.DETECTORS if d.name == "sensitive_assignment"][:1]
     found = documents(spark, sf_dir).select("doc_id", F.explode(redaction.redactions(F.col("text"), chosen)).alias("r"))
     return found.select("doc_id", F.col("r.n").cast("long").alias("n"))
 

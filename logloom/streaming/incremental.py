@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from logloom.functions.redaction import redact_parts
+from logloom.functions.redaction import assert_masked, redact_parts
 from logloom.operators.dedup import dedup_records
 from logloom.operators.normalize import fingerprinted, normalize
 from logloom.sources.jsonl import CURSORS, read_log
@@ -43,6 +43,7 @@ def run_once(spark: SparkSession, live: str, state: str, archive: str | None = N
     records, cursors = read_log(spark, live, archive, cursors_of(spark, state))
     rows = normalize(records).withColumn("session_id", session if session is not None else F.substring(F.sha2("source_path", 256), 1, 16))
     rows = fingerprinted(rows.withColumn("content", redact_parts(F.col("content"))).withColumn("is_masked", F.lit(True)))
+    rows = rows.withColumn("fingerprint", assert_masked(F.col("is_masked"), F.col("fingerprint")))
     # earlier rows of the same sessions count the occurrences before; they aren't written again
     known = rows_of(spark, state)
     place = [F.col("_old").desc(), F.col("source_path"), F.col("start_offset")]
@@ -64,7 +65,19 @@ def stream_latest(events: DataFrame, key: str, at: str, late: str = "10 minutes"
 
 def upsert_batch(target: str, key: list[str]):
     """A foreachBatch function: each micro-batch is one folder by its number, so that a batch that
-    is repeated overwrites itself and counts once."""
+    is repeated overwrites itself and counts once. Read by latest_rows, where later batches win."""
     def write(batch: DataFrame, number: int) -> None:
         batch.dropDuplicates(key).write.mode("overwrite").parquet(f"{target}/batch={number}")
     return write
+
+
+def latest_rows(spark: SparkSession, target: str, key: list[str]) -> DataFrame:
+    """One row a key of what upsert_batch has written: that of the last batch."""
+    rows = spark.read.parquet(target)
+    kept = rows.groupBy(*key).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in (*key, "batch")], F.lit(0).alias("_")), "batch").alias("_row"))
+    return kept.select(*key, *[f"_row.{c}" for c in rows.columns if c not in (*key, "batch")])
+
+
+def compact_batches(spark: SparkSession, target: str, compacted: str, key: list[str]) -> None:
+    """Writes the rows of all batches, one a key, as batch 0 of another folder."""
+    latest_rows(spark, target, key).write.mode("overwrite").parquet(f"{compacted}/batch=0")

@@ -20,20 +20,72 @@ def test_mentions_and_scopes(spark):
 
 
 def test_summaries_and_next_tasks(spark):
-    rows = [("t1", 1, "Done.\n- Added parser\n- tests passed", "completed"), ("t2", 1, "**Fixed** the parser. More.\n- Added x\n- Verified y", "completed"), ("t3", 1, "The run failed early.", "aborted"), ("t4", 2, "Next task: write docs", "completed"), ("t4", 1, "Next step: old", "completed")]
+    rows = [
+        ("t1", 1, "修正しました。\n- 解析器を追加", "completed"), ("t2", 1, "## 結果: 解析器を修正しました。 ほか\n```\nテスト完了\n```\n- 解析器を追加\n- テストが通過", "completed"),
+        ("t3", 1, "途中で失敗しました。", "failed"), ("t3b", 1, "途中で失敗しました。", "in_progress"), ("t4", 2, "次の作業は「文書を書く」です", "completed"), ("t4", 1, "Next task: old", "completed"),
+    ]
     df = spark.createDataFrame(rows, "t string, at int, text string, status string")
     out = {r.t: r.s for r in df.select("t", summaries.explicit_summary(F.col("text"), F.col("status")).alias("s")).where("t != 't4'").collect()}
-    assert out["t2"].summary == "Fixed the parser." and out["t2"].highlights == ["Added x"] and out["t2"].verification == ["Verified y"]
-    assert out["t3"].summary == "The run failed early."
+    assert out["t2"].title == "解析器を修正しました" and out["t2"].summary == "結果: 解析器を修正しました。" and out["t2"].highlights == ["解析器を追加"] and out["t2"].verification == ["テストが通過"] and out["t2"].confidence == "high"
+    assert out["t1"] is None or out["t1"].summary != "修正しました。"  # a generic phrase alone tells nothing
+    assert out["t3"].summary == "途中で失敗しました。" and out["t3"].confidence == "medium" and out["t3b"] is None
     cached = spark.createDataFrame([("t1", "from cache")], "t string, task string")
     tasks = {r.t: (r.task, r.route) for r in summaries.next_task(df, ["t"], "at", "text", cached).collect()}
-    assert tasks == {"t1": ("from cache", "cache"), "t2": (None, "fallback"), "t3": (None, "fallback"), "t4": ("write docs", "explicit")}
+    assert tasks == {"t1": ("from cache", "cache"), "t2": (None, "fallback"), "t3": (None, "fallback"), "t3b": (None, "fallback"), "t4": ("文書を書く", "explicit")}
 
 
 def test_decisions(spark):
-    text = "We will use 60 s for the timeout. Because it is slow, we won't use polling. Maybe we will use threads. Should we use X?"
-    row = spark.createDataFrame([(text,)], "t string").select(summaries.decision_proposals(F.col("t")).alias("d")).first()
-    assert [(d.topic, d.choice, d.status, d.reason) for d in row.d] == [("the_timeout", "60 s", "adopted", None), ("polling", "polling", "rejected", "it is slow")]
+    text = "- 待ち時間は60秒にします。遅いため、ポーリングを採用しません。Rustを使います\nスレッドを検討中です。キャッシュは不要です！"
+    row = spark.createDataFrame([(text,)], "t string").select(summaries.decision_proposals(F.col("t")).alias("d"), summaries.states_decision(F.col("t")).alias("y"), summaries.states_decision(F.lit("案Aを採用します")).alias("n")).first()
+    assert [(d.topic, d.choice, d.status, d.reason, d.title) for d in row.d] == [
+        ("待ち時間", "60秒", "adopted", None, "待ち時間: 60秒"), ("ポーリング", "ポーリング", "rejected", "遅いため", "ポーリング"), ("rust", "Rust", "adopted", None, "Rust"), ("キャッシュ", "キャッシュ", "rejected", None, "キャッシュ"),
+    ]
+    assert row.y and not row.n
+
+
+def test_seeded_decisions_go_on_from_history(spark):
+    from logloom.operators import versions
+
+    schema = "topic string, choice string, at int"
+    old, new = spark.createDataFrame([("t", "60", 9)], schema), spark.createDataFrame([("t", "60", 1), ("t", "120", 2)], schema)
+    both = summaries.seeded_decisions(old, new, ["at"])
+    out = versions.supersede_chain(both, "topic", ["choice"], ["place"], "at").orderBy("version").collect()
+    assert [(r.choice, r.n_sources) for r in out] == [("60", 2), ("120", 1)] and out[1].supersedes == out[0].decision_id
+
+
+def test_routes_and_validation(spark):
+    row = spark.range(1).select(
+        summaries.combined_eligibility(F.lit("in_progress"), F.lit(True), F.lit(True), F.lit(False), F.lit(True), F.lit(False)).alias("a"),
+        summaries.combined_eligibility(F.lit("completed"), F.lit(True), F.lit(None).cast("boolean"), F.lit(True), F.lit(True), F.lit(False)).alias("b"),
+        summaries.combined_eligibility(F.lit("completed"), F.lit(True), F.lit(True), F.lit(False), F.lit(True), F.lit(False)).alias("c"),
+        summaries.short_nonchange(F.array(F.lit("はい。"), F.lit("ok !")), F.lit(False), F.lit(False), ["はい", "ok"]).alias("d"),
+        summaries.short_nonchange(F.array(F.lit("はい。")), F.lit(True), F.lit(False), ["はい"]).alias("e"),
+    ).first()
+    assert tuple(row) == ("turn_in_progress", "inference_input_not_masked", None, True, False)
+    items = spark.createDataFrame([("g", 1, "aaaa"), ("g", 2, "漢字"), ("g", 3, "b"), ("h", 1, None)], "g string, at int, text string")
+    out = {r.g: (r.texts, r.left_out) for r in summaries.bounded_prompt(items, ["g"], [F.col("at")], "text", 10).collect()}
+    assert out["g"] == (["aaaa", "漢字"], 1)
+    results = spark.createDataFrame([([("adopted", "t", "d", None, "k", ["m1"]), ("maybe", "t", "d", None, "k", []), ("rejected", "t", " ", None, "k", []), ("rejected", "t", "d", None, "k", ["m9"])],)], "r array<struct<status:string,title:string,description:string,reason:string,topic:string,evidence:array<string>>>")
+    assert [x.status for x in results.select(summaries.valid_results(F.col("r"), F.array(F.lit("m1"))).alias("r")).first().r] == ["adopted"]
+    turns, none = spark.createDataFrame([("a",), ("b",), ("c",)], "t string"), "t string, summary string"
+    routed = summaries.summary_route(turns, spark.createDataFrame([("a", "x")], none), spark.createDataFrame([("a", "y"), ("b", "z")], none), ["t"])
+    assert {r.t: (r.summary, r.route) for r in routed.collect()} == {"a": ("x", "cache"), "b": ("z", "explicit"), "c": (None, "pending")}
+
+
+def test_blocks_and_prefixes(spark):
+    from logloom.operators import documents
+
+    rows = [("a", "x\n```py\n1\n```\ny"), ("b", "open\n```py\n1"), ("c", ""), ("d", None), ("e", "```\n\n```")]
+    found = documents.content_blocks(spark.createDataFrame(rows, "id string, text string"), "id", "text").orderBy("id", "position").collect()
+    assert [(r.id, r.kind, r.language, r.body) for r in found] == [("a", "text", None, "x\n"), ("a", "code", "py", "1\n"), ("a", "text", None, "y"), ("b", "text", None, "open\n```py\n1"), ("e", "code", None, "\n")]
+    assert len({r.block_id for r in found}) == len(found)
+    texts = ["", "plain", "漢字" * 30, 'q"' * 40, None, "\n" * 50]
+    fitted = documents.fitting_prefix(spark.createDataFrame([(t,) for t in texts], "t string"), "t", 40).collect()
+    for r in fitted:
+        if r.t is not None:
+            best = max((k for k in range(len(r.t) + 1) if len(json.dumps(r.t[:k], ensure_ascii=False).encode()) <= 40), default=0)
+            assert r.prefix == r.t[:best]
+    assert [r.prefix for r in fitted if r.t is None] == [None]
 
 
 @given(st.text(max_size=300), st.integers(4, 40))

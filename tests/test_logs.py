@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from logloom.operators import normalize, timeline, turns
@@ -75,7 +76,11 @@ def test_timeline_suppresses_events_that_repeat_messages(spark, tmp_path):
     write(log, line("response_item", {"type": "function_call", "call_id": "c1", "name": "sh"}), line("response_item", {"type": "function_call_output", "call_id": "c1", "output": "ok"}), line("response_item", {"type": "function_call_output", "call_id": "zz", "output": "?"}))
     write(log, line("event_msg", {"type": "task_started", "turn_id": "t1"}), line("event_msg", {"type": "task_complete", "turn_id": "t1"}), line("event_msg", {"type": "thread_rolled_back", "num_turns": 1}))
     rows = normalize.normalize(jsonl.read_log(spark, str(tmp_path / "live"))[0]).withColumn("session_id", F.lit("s"))
-    assert [r.text for r in timeline.chat_messages(rows).orderBy("sequence").collect()] == ["hi", "same", "only here"]
+    chat = timeline.chat_messages(rows).orderBy("sequence").collect()
+    assert [r.text for r in chat if r.role != "tool"] == ["hi", "same", "only here"]
+    assert [(r.sequence, r.role, [tuple(p) for p in r.content]) for r in chat if r.role == "tool"] == [
+        (4, "tool", [("text", "ツールを実行: sh"), ("call_id", "c1"), ("status", "result_received")]), (5, "tool", [("text", "ツール結果を受信"), ("status", "result_received"), ("call_id", "zz")]),
+    ]
     assert [(r.call_id, r.status) for r in timeline.tool_calls(rows).collect()] == [("c1", "result_received")]
     assert timeline.orphan_outputs(rows).count() == 1
     events = timeline.turn_rows(rows)
@@ -84,6 +89,28 @@ def test_timeline_suppresses_events_that_repeat_messages(spark, tmp_path):
     assert [r.rolled_back for r in undone.where("push = 1").collect()] == [True]
 
 
+def test_prefixes_go_part_by_part(spark):
+    kinds = "array<struct<kind:string,text:string>>"
+    env, plug = "<environment_context>x</environment_context>", "<recommended_plugins>\ny\n</recommended_plugins>\n"
+    cases = [
+        ([("text", f" {env}\n{plug}hi")], ["hi"]), ([("text", env), ("text", f"{plug}more"), ("text", env)], ["more", env]), ([("text", env)], []), ([("text", "# AGENTS.md instructions for d\n<INSTRUCTIONS>a</INSTRUCTIONS> go")], ["go"]),
+        ([("image", env), ("text", env)], [env, env]), ([("text", "<environment_context>open")], ["<environment_context>open"]), ([("text", f"say {env}")], [f"say {env}"]), ([("text", ""), ("text", env)], ["", env]), ([], []),
+    ]
+    df = spark.createDataFrame([(k, c) for k, (c, _) in enumerate(cases)], f"k int, c {kinds}")
+    got = {r.k: [p.text for p in r.c] for r in df.select("k", timeline.without_prefix_parts(F.col("c")).alias("c")).collect()}
+    assert got == {k: want for k, (_, want) in enumerate(cases)}
+
+
+def test_developer_references_and_phases(spark, tmp_path):
+    log = tmp_path / "live" / "a.jsonl"
+    say = lambda role, text, **more: {"type": "message", "role": role, "content": [{"type": "input_text", "text": text}]} | more
+    write(log, line("response_item", say("developer", "rules")), line("response_item", say("developer", "rules")), line("response_item", say("assistant", "same", phase="final_answer")), line("event_msg", {"type": "agent_message", "message": "same", "phase": "commentary"}))
+    rows = normalize.normalize(jsonl.read_log(spark, str(tmp_path / "live"))[0]).withColumn("session_id", F.lit("s"))
+    chat = timeline.chat_messages(rows).orderBy("sequence").collect()
+    assert [(r.message_type, r.phase, len(r.content), r.occurrence_count) for r in chat] == [("developer_instruction", None, 1, 2), ("developer_instruction_reference", None, 0, 1), ("chat", "final_answer", 1, 1), ("chat", "commentary", 1, 1)]
+    assert chat[1].duplicate_of == chat[0].message_id and chat[3].display_mode == "collapsed"
+
+
 def test_session_index_takes_the_last_meta(spark, tmp_path):
     write(tmp_path / "live" / "a.jsonl", line("session_meta", {"id": "old"}), line("session_meta", {"id": "new"}))
     write(tmp_path / "archive" / "b.jsonl", line("session_meta", {"id": "new"}, "2025-01-01T00:00:00Z"))
@@ -114,12 +141,46 @@ def test_streaming_upsert_counts_a_repeated_batch_once(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
 
 
-def test_vcs_parsers():
-    status = vcs.parse_status(b" M a.txt\0R  new\0old\0UU both\0?? extra\0")
-    assert [(p, o, c) for p, o, _, _, c in status] == [("a.txt", None, False), ("new", "old", False), ("both", None, True), ("extra", None, False)]
-    assert vcs.parse_names(b"M\0a\0R100\0old\0new\0") == [("a", None, "modified"), ("new", "old", "renamed")]
-    assert vcs.parse_names(b"M\ta\nR100\told\tnew\n") == [("a", None, "modified"), ("new", "old", "renamed")]
-    assert vcs.parse_numstat(b"0\t0\tempty\0-\t-\tpic\x003\t1\t\0old\0new\0") == [("empty", None, 0, 0, False), ("pic", None, None, None, True), ("new", "old", 3, 1, False)]
+def test_later_batches_win(spark, tmp_path):
+    out, small = str(tmp_path / "out"), str(tmp_path / "small")
+    write_batch = incremental.upsert_batch(out, ["id"])
+    write_batch(spark.createDataFrame([(1, "old"), (2, None)], "id int, v string"), 0)
+    write_batch(spark.createDataFrame([(1, "new"), (3, "x")], "id int, v string"), 1)
+    want = [(1, "new"), (2, None), (3, "x")]
+    assert sorted((r.id, r.v) for r in incremental.latest_rows(spark, out, ["id"]).collect()) == want
+    incremental.compact_batches(spark, out, small, ["id"])
+    assert sorted((r.id, r.v) for r in incremental.latest_rows(spark, small, ["id"]).collect()) == want
+
+
+@pytest.mark.parametrize("code, states", [("??", ("none", "untracked", False)), ("AA", ("conflicted", "conflicted", True)), ("MU", ("conflicted", "conflicted", True)), ("T ", ("type_changed", "none", False)), (" D", ("none", "deleted", False)), ("AM", ("added", "modified", False))])
+def test_status_codes(code, states):
+    assert vcs.parse_status(f"{code} dir/with space\0".encode()) == [("dir/with space", None, *states)]
+
+
+def test_status_of_moves_and_odd_names():
+    out = vcs.parse_status("RM to/x\0from/y\0 C new\0old\0M  line\nfeed\0A  back\\slash\0".encode())
+    assert out == [("to/x", "from/y", "renamed", "modified", False), ("new", "old", "none", "copied", False), ("line\nfeed", None, "modified", "none", False), ("back/slash", None, "added", "none", False)]
+    assert vcs.parse_status(b"") == vcs.parse_status(None) == []
+
+
+@pytest.mark.parametrize("parser, data", [
+    (vcs.parse_status, b"M  cut"), (vcs.parse_status, b"M:x\0"), (vcs.parse_status, b"R  only\0"), (vcs.parse_status, b"XY x\0"), (vcs.parse_status, b"M  ../x\0"), (vcs.parse_status, b"M  C:/x\0"), (vcs.parse_status, b"M  \xff\0"), (vcs.parse_status, b"M  /\0"),
+    (vcs.parse_names, b"Q\0x\0"), (vcs.parse_names, b"C075\0x\0"), (vcs.parse_names, b"M\0x"), (vcs.parse_numstat, b"1\t-\tx\0"), (vcs.parse_numstat, b"-1\t2\tx\0"), (vcs.parse_numstat, b"1\t2\t\0x\0"), (vcs.parse_numstat, b"1 2 x\0"),
+])
+def test_malformed_output_is_refused(parser, data):
+    with pytest.raises(vcs.Malformed):
+        parser(data)
+
+
+def test_names_and_numbers():
+    assert vcs.parse_names(b"T\0t\0C075\0from\0to\0D\tgone\0") == [("t", None, "type_changed"), ("to", "from", "copied"), ("gone", None, "deleted")]
+    assert vcs.parse_numstat(b"12\t0\tsrc/m.py\0-\t-\tlogo.bin\x000\t7\t\0was\0is\0") == [("src/m.py", None, 12, 0, False), ("logo.bin", None, None, None, True), ("is", "was", 0, 7, False)]
+
+
+def test_malformed_outputs_are_rows(spark):
+    df = spark.createDataFrame([("a", bytearray(b"1\t2\tx\0")), ("b", bytearray(b"?\0")), ("c", None)], "id string, out binary")
+    assert [(r.id, r.issue) for r in vcs.malformed(df, "out", vcs.parse_numstat, vcs.NUMSTAT).collect()] == [("b", "invalid_record")]
+    assert [r.id for r in vcs.with_changes(df, "out", vcs.parse_numstat, vcs.NUMSTAT, "c").collect()] == ["a"]
 
 
 def test_vcs_rows(spark):
