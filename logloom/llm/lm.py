@@ -15,7 +15,8 @@ Spark gathers the model and brings it to the texts, with nothing broadcast or se
 1. chunks: texts are dealt out by length, so many bytes a partition, and written as chunks of
    about CHUNK bytes, for texts that are mixed in step to be of similar length;
 2. requests: each chunk asks for its distinct cells (context and nibble) and tokens, and says how
-   often it has learnt each; requests are summed in buckets of a hash, as many as the text needs;
+   often it has learnt each; requests are summed in buckets of a hash, as many as the text needs
+   (tokens count by a hash of 63 bits);
 3. answers: every bucket sends back to each chunk the logits or counts of what it asked for;
 4. scores: a chunk and its answers meet in one task, which holds no more than one chunk.
 
@@ -26,8 +27,6 @@ for every byte of it; shorter ones, of which a language has few, have 2^ROW_BITS
 from __future__ import annotations
 
 import math
-import zlib
-from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -39,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from .common import materialise
-from .setjoin import words
+from .setjoin import hash_words, words
 
 #: Bytes of one nibble, most frequent first; the sixteenth nibble is the escape.
 COMMON = b" etaoinsrhldcum"
@@ -100,7 +99,6 @@ def nibbles(texts: list[bytes], bits: int = ROW_BITS, before: list[bytes] | None
         context = window >> _U(64 - 8 * order)
         context *= _ODD
         context += salt
-        context += _U(order)
         context ^= context >> _U(31)
         context *= _MIX
         context >>= _U(64 - (bits if order > SHORT else ROW_BITS))
@@ -144,7 +142,7 @@ def _starts(ordered: np.ndarray) -> np.ndarray:
 def tallied(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct cells, ascending, and how often each occurs."""
     if len(cells) and cells.max() < 1 << 31:
-        cells = cells.astype(np.int32)  # sorted faster
+        cells = cells.astype(np.int32)  # sorts faster
     cells = np.sort(cells)
     first = _starts(cells)
     return cells[first].astype(np.int64), np.diff(first, append=len(cells))
@@ -174,6 +172,24 @@ def looked_up(cells: np.ndarray, values: np.ndarray) -> Callable[[np.ndarray], n
     return sorted_out
 
 
+def probed(keys: np.ndarray, values: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """As looked_up, for keys that are spread evenly over 63 bits."""
+    bits = max(1, len(keys).bit_length())
+    start = np.searchsorted(keys, np.arange(1 << bits) << (63 - bits)).astype(np.int32)
+
+    def probe(asked: np.ndarray) -> np.ndarray:
+        at = start.take(asked >> (63 - bits))
+        left = np.flatnonzero(keys.take(at, mode="clip") != asked)
+        while len(left):
+            at[left] += 1
+            if at[left[-1]] > len(keys):
+                raise KeyError("a key that wasn't given")
+            left = left[keys.take(at[left], mode="clip") != asked[left]]
+        return values.take(at, mode="clip")
+
+    return probe
+
+
 class _Tally:
     """Distinct cells with their counts, merged as they come."""
 
@@ -540,41 +556,59 @@ def _context_answers(asked: DataFrame, plan: _Buckets) -> DataFrame:
 
 
 def _token_requests(chunks: DataFrame, plan: _Buckets) -> DataFrame:
+    """Tokens go by their 64-bit hashes; of two that share one the counts would be summed."""
     first, buckets = plan.first(len(ORDERS)), plan.counts[-1]
+    edges = _token_edges(buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 part, *packed = (c[k].as_py() for c in batch.columns)
                 streams, own = _open(*packed)
-                counts: Counter[bytes] = Counter()
-                others: set[bytes] = set()
-                for text, out in zip(streams, own["held"].to_pylist(), strict=True):
-                    (others if out else counts).update(text.split(b" "))
-                tokens = [*counts, *(others - counts.keys())]
-                count = np.zeros(len(tokens), np.int64)
-                count[: len(counts)] = list(counts.values())
-                bucket = np.fromiter(map(zlib.crc32, tokens), np.uint32, len(tokens)) % buckets
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                dealt = [(b, order[cuts[b] : cuts[b + 1]]) for b in np.flatnonzero(np.diff(cuts)).tolist()]
-                yield _asked([(part, first + b, zstandard.compress(b" ".join(map(tokens.__getitem__, mine.tolist())), 1), _pack(count[mine])) for b, mine in dealt])
+                held = own["held"].to_pylist()
+                tally = _Tally()
+                for learnt in (True, False):
+                    for piece in _pieces([t for t, out in zip(streams, held, strict=True) if out != learnt], 16 * BLOCK):
+                        tally.add(token_keys(piece)[0], learnt)
+                tally.merge()
+                tokens, count = tally.cells, tally.counts
+                cuts = np.append(np.searchsorted(tokens, edges), len(tokens))
+                yield _asked([(part, first + b, _pack(np.diff(tokens[cuts[b] : cuts[b + 1]], prepend=edges[b])), _pack(count[cuts[b] : cuts[b + 1]])) for b in np.flatnonzero(np.diff(cuts)).tolist()])
 
     return chunks.mapInArrow(run, _ASKED)
 
 
+def token_keys(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the streams' tokens, stream by stream with the end as its last, and the number of
+    each stream's. A hash is of 63 bits; no token but the end has hash 0."""
+    hashed, size = hash_words(streams)
+    hashed = np.maximum((hashed >> _U(1)).view(np.int64), 1)
+    ends = np.cumsum(size + 1) - 1
+    out = np.zeros(len(hashed) + len(size), np.int64)
+    inside = np.ones(len(out), bool)
+    inside[ends] = False
+    out[inside] = hashed
+    return out, size + 1
+
+
+def _token_edges(buckets: int) -> np.ndarray:
+    """The first hash of each bucket of tokens."""
+    return np.array([(b << 63) // buckets for b in range(buckets)])
+
+
 def _token_answers(asked: DataFrame, plan: _Buckets) -> DataFrame:
     """To every request its tokens as they were, and their counts over all chunks; in one row of a
     bucket also how many tokens it has learnt, and how many different ones."""
     def answer(bucket: int, rows: list[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
-        total: Counter[bytes] = Counter()
-        for _, a, b in rows:
-            for token, n in zip(zstandard.decompress(a).split(b" "), _unpack(b).tolist(), strict=True):
-                total[token] += n
-        v, n = sum(c > 0 for c in total.values()), sum(total.values())
+        tokens = [np.cumsum(_unpack(a)) for _, a, _ in rows]  # from the bucket's first
+        found, place = distinct(np.concatenate(tokens))
+        total = np.bincount(place, np.concatenate([_unpack(b) for *_, b in rows]), minlength=len(found)).astype(np.int64)
+        end = 0
         for k, (part, a, _) in enumerate(rows):
-            own = _asked([(part, bucket, a, _pack(np.array([total[t] for t in zstandard.decompress(a).split(b" ")])))])
-            yield pa.RecordBatch.from_arrays([*own.columns, pa.array([0 if k else v], pa.int64()), pa.array([0 if k else n], pa.int64())], names=[*own.schema.names, "v", "n"])
+            begin, end = end, end + len(tokens[k])
+            own = _asked([(part, bucket, a, _pack(total.take(place[begin:end])))])
+            sums = ((total > 0).sum(), total.sum()) if k == 0 else (0, 0)
+            yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array([int(x)], pa.int64()) for x in sums)], names=[*own.schema.names, "v", "n"])
 
     return _per_bucket(asked, plan.counts[-1], answer, f"{_ASKED}, v long, n long")
 
@@ -595,11 +629,13 @@ def _scores(chunks: DataFrame, answers: DataFrame, plan: _Buckets, kind: str) ->
                     path.append(np.ascontiguousarray(np.frombuffer(zstandard.decompress(right["b"][r].as_py()), np.uint8).reshape(4, -1).T).view("<u4").reshape(-1))
                 known.append(looked_up(np.concatenate(cells), np.concatenate(path)))
             scored = Model([])._score(streams, plan.bits, known)
-            count = {}
+            edges, keys, count = _token_edges(plan.counts[-1]), [], []
             for r in np.flatnonzero(numbers >= plan.first(len(ORDERS))).tolist():
-                count.update(zip(zstandard.decompress(right["a"][r].as_py()).split(b" "), _unpack(right["b"][r].as_py()).tolist(), strict=True))
-            c = [np.fromiter(map(count.__getitem__, t.split(b" ")), np.int64) for t in streams]
-            tokens, c = np.array([len(x) for x in c]), np.concatenate(c)
+                keys.append(np.cumsum(_unpack(right["a"][r].as_py())) + edges[numbers[r] - plan.first(len(ORDERS))])
+                count.append(_unpack(right["b"][r].as_py()))
+            counted = probed(np.concatenate(keys), np.concatenate(count))
+            pieces = [token_keys(piece) for piece in _pieces(streams, 16 * BLOCK)]
+            tokens, c = np.concatenate([x[1] for x in pieces]), np.concatenate([counted(x[0]) for x in pieces])
             first = np.cumsum(tokens) - tokens  # no text lacks its end
             columns = {"n_tokens": tokens, "n_known": np.add.reduceat((c > 0).astype(np.int64), first), "summed": np.add.reduceat(np.log10(c + 0.1), first), "size": [len(t) for t in streams], "score": scored}
             for name, values in columns.items():

@@ -266,3 +266,25 @@ def test_scores_equal_a_plain_loop(size):
     others = [lm.stream(rnd.choice(letters, n).tobytes()) for n in (0, 5, 3000, 9000, *rnd.integers(0, 2000, 1500))]
     alone, among = model._score([text])[0], model._score([*others, text, text])[-2:]
     assert alone == among[0] == among[1] and alone == pytest.approx(want, rel=1e-4)
+
+
+def test_lookups():
+    rnd = np.random.default_rng(3)
+    for most in (1000, 1 << 40):
+        cells = np.unique(rnd.integers(0, most, 500))
+        values = rnd.integers(0, 1 << 32, len(cells)).astype(np.uint32)
+        asked = rnd.choice(cells, 3000)
+        assert (lm.looked_up(cells, values)(asked) == values[np.searchsorted(cells, asked)]).all()
+    keys = np.unique(np.append(rnd.integers(0, (1 << 63) - 1, 5000), 0))
+    asked = rnd.choice(keys, 20_000)
+    assert (lm.probed(keys, keys)(asked) == asked).all() and (lm.probed(keys[:1], keys[:1])(asked[:0]) == asked[:0]).all()
+    with pytest.raises(KeyError):
+        lm.probed(keys, keys)(np.array([keys[-1] + 1]))
+
+
+def test_token_keys_name_tokens():
+    streams = [lm.stream(t.encode()) for t in ("a b a", "", "é long" + "x" * 200 + " b")]
+    keys, size = lm.token_keys(streams)
+    names = [w for s in streams for w in s.split(b" ")]
+    assert size.tolist() == [4, 1, 4] and len(keys) == len(names)
+    assert len(set(zip(keys.tolist(), names))) == len(set(keys.tolist())) == len(set(names)) and all((k == 0) == (n == lm.END) for k, n in zip(keys.tolist(), names))
