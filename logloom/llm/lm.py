@@ -54,13 +54,14 @@ LANES = 2048
 RATE, START, MAP_RATE, MAP_SHARE = 0.02, 0.3, 0.03, 0.4
 #: Logits are kept as signed bytes of this many steps a unit.
 STEPS = 16.0
-#: Nibbles that are mixed together, and bytes whose contexts are hashed together.
-WINDOW, BLOCK = 3 << 18, 1 << 16
+#: Nibbles that are mixed together; bytes whose contexts are hashed, and counted, together.
+WINDOW, BLOCK, PIECE = 3 << 18, 1 << 15, 1 << 19
 #: Cells below this are told apart by a table, others by sorting.
 DENSE = 1 << 24
 
 _U = np.uint64
 _ODD, _MIX = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
+_ROW = ~_U(15)
 _CODE = np.full(256, 15, np.uint8)
 _CODE[list(COMMON)] = np.arange(15)
 _MAP_BINS = 24
@@ -94,15 +95,16 @@ def nibbles(texts: list[bytes], bits: int = ROW_BITS, before: list[bytes] | None
     out[head], out[second], out[second + 1] = code, high, low
     window, salt, nibble = np.repeat(window, length), np.zeros(len(out), np.uint64), out.astype(np.uint64)
     salt[second], salt[second + 1] = _U(1 << 32), _U(2) + high << _U(32)
-    cells = []
+    cells, spare = [], np.empty(len(out), np.uint64)
     for order in ORDERS:
         context = window >> _U(64 - 8 * order)
         context *= _ODD
         context += salt
-        context ^= context >> _U(31)
+        np.right_shift(context, _U(31), out=spare)
+        context ^= spare
         context *= _MIX
-        context >>= _U(64 - (bits if order > SHORT else ROW_BITS))
-        context <<= _U(4)
+        context >>= _U(60 - (bits if order > SHORT else ROW_BITS))
+        context &= _ROW
         context |= nibble
         cells.append(context.view(np.int64))
     begin = np.cumsum(size) - size
@@ -497,7 +499,7 @@ def _context_requests(chunks: DataFrame, plan: _Buckets) -> DataFrame:
                 held = own["held"].to_pylist()
                 tallies = [_Tally() for _ in ORDERS]
                 for learnt in (True, False):
-                    for piece in _pieces([t for t, out in zip(streams, held, strict=True) if out != learnt], 16 * BLOCK):
+                    for piece in _pieces([t for t, out in zip(streams, held, strict=True) if out != learnt], PIECE):
                         for tally, cell in zip(tallies, _hashed(piece, plan.bits, None)[1], strict=True):
                             tally.add(cell, learnt)
                 for kind, tally in enumerate(tallies):
@@ -568,7 +570,7 @@ def _token_requests(chunks: DataFrame, plan: _Buckets) -> DataFrame:
                 held = own["held"].to_pylist()
                 tally = _Tally()
                 for learnt in (True, False):
-                    for piece in _pieces([t for t, out in zip(streams, held, strict=True) if out != learnt], 16 * BLOCK):
+                    for piece in _pieces([t for t, out in zip(streams, held, strict=True) if out != learnt], PIECE):
                         tally.add(token_keys(piece)[0], learnt)
                 tally.merge()
                 tokens, count = tally.cells, tally.counts
@@ -634,7 +636,7 @@ def _scores(chunks: DataFrame, answers: DataFrame, plan: _Buckets, kind: str) ->
                 keys.append(np.cumsum(_unpack(right["a"][r].as_py())) + edges[numbers[r] - plan.first(len(ORDERS))])
                 count.append(_unpack(right["b"][r].as_py()))
             counted = probed(np.concatenate(keys), np.concatenate(count))
-            pieces = [token_keys(piece) for piece in _pieces(streams, 16 * BLOCK)]
+            pieces = [token_keys(piece) for piece in _pieces(streams, PIECE)]
             tokens, c = np.concatenate([x[1] for x in pieces]), np.concatenate([counted(x[0]) for x in pieces])
             first = np.cumsum(tokens) - tokens  # no text lacks its end
             columns = {"n_tokens": tokens, "n_known": np.add.reduceat((c > 0).astype(np.int64), first), "summed": np.add.reduceat(np.log10(c + 0.1), first), "size": [len(t) for t in streams], "score": scored}
