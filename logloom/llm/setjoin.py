@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, small_batches
 
 #: Hash buckets of the word counts, and the pages in which they are summed.
 WORD_BITS, PAGES = 22, 64
@@ -43,6 +43,8 @@ WORD_BITS, PAGES = 22, 64
 LEAST_BITS, MOST_BITS = 20, 30
 #: Bytes of text that are turned into tokens at once; longer texts are taken one by one.
 CHUNK = 1 << 20
+#: Prefix tokens that a task keeps, to find stars among them, before it deals them out.
+PREFIXES = 1 << 20
 #: Bytes of a word that are hashed in steps of eight, all words together; the rest goes at once.
 HEAD = 64
 #: A group with more units or tokens than this is dealt out as pairs of blocks.
@@ -204,7 +206,9 @@ def measure_rarity(texts: DataFrame, join: Join) -> Rarity:
             scale = np.minimum(255, np.where(words_ > 1, np.log2(np.maximum(words_, 1)) * 8 - 7, 0)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([page], pa.int32()), pa.array([scale.tobytes()], pa.binary()), pa.array([twice.tobytes()], pa.binary())], names=["page", "words", "twice"])
 
-    pages = texts.select("bytes").mapInArrow(count, "page int, words binary, once binary, twice binary").repartition(PAGES, "page").mapInArrow(add, "page int, words binary, twice binary").collect()
+    summed = texts.select("bytes").mapInArrow(count, "page int, words binary, once binary, twice binary").repartition(PAGES, "page").mapInArrow(add, "page int, words binary, twice binary")
+    with small_batches(texts.sparkSession):
+        pages = summed.collect()
     table, twice = np.zeros((PAGES, (1 << WORD_BITS) // PAGES), np.uint8), np.zeros((PAGES, width // PAGES), np.uint8)
     for page in pages:
         table[page["page"]], twice[page["page"]] = np.frombuffer(page["words"], np.uint8), np.frombuffer(page["twice"], np.uint8)
@@ -294,10 +298,22 @@ _PASS = "kind int, doc long, line int, n int, sig1 long, sig2 long, bucket int,
 
 
 def _first_pass(docs: DataFrame, join: Join, rarity, buckets: int) -> DataFrame:
+    def deal(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        token, node = mix(np.concatenate([t for t, _ in held])), np.concatenate([s for _, s in held])
+        token, node, src, dst = star(token, node)
+        if len(src):
+            yield _rows(1, kind=pa.array([2], pa.int32()), a=pa.array([src.tobytes()], pa.binary()), b=pa.array([dst.tobytes()], pa.binary()))
+        bucket = (token % _U(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        short = (token >> _U(32)).astype("<u4")[order]
+        node, cuts = node[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+        full = np.nonzero(np.diff(cuts))[0]
+        yield _rows(len(full), kind=pa.array(np.ones(len(full), np.int32)), bucket=pa.array(full.astype(np.int32)), a=pa.array([short[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary()), b=pa.array([node[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             pairs = zip(batch.column(0).to_pylist(), (b.as_py() for b in batch.column(1)), strict=True)
-            held = []
             for ids, at, units in chunks(join, pairs):
                 starts, keys = token_sets(join, units, rarity.value)
                 n = np.diff(starts)
@@ -308,18 +324,12 @@ def _first_pass(docs: DataFrame, join: Join, rarity, buckets: int) -> DataFrame:
                 chosen = place < np.repeat(join.prefix(n), n)
                 chosen &= keys >> _U(56) > 0  # no other unit has the others
                 held.append((keys[chosen], np.repeat(sig1, n)[chosen]))
-            if not held:
-                continue
-            token, node = mix(np.concatenate([t for t, _ in held])), np.concatenate([s for _, s in held])
-            token, node, src, dst = star(token, node)
-            if len(src):
-                yield _rows(1, kind=pa.array([2], pa.int32()), a=pa.array([src.tobytes()], pa.binary()), b=pa.array([dst.tobytes()], pa.binary()))
-            bucket = (token % _U(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            short = (token >> _U(32)).astype("<u4")[order]
-            node, cuts = node[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
-            full = np.nonzero(np.diff(cuts))[0]
-            yield _rows(len(full), kind=pa.array(np.ones(len(full), np.int32)), bucket=pa.array(full.astype(np.int32)), a=pa.array([short[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary()), b=pa.array([node[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary()))
+                size += len(held[-1][0])
+                if size > PREFIXES:
+                    yield from deal(held)
+                    held, size = [], 0
+        if held:
+            yield from deal(held)
 
     return docs.mapInArrow(run, _PASS)
 
@@ -576,7 +586,10 @@ def _marks(units: DataFrame) -> tuple[np.ndarray, int]:
             yield pa.RecordBatch.from_arrays([pa.array([page], pa.int32()), pa.array([found.tobytes()], pa.binary())], names=["page", "bits"])
 
     table = np.zeros((PAGES, width // PAGES), np.uint8)
-    for row in units.mapInArrow(mark, "page int, bits binary").repartition(PAGES, "page").mapInArrow(add, "page int, bits binary").collect():
+    summed = units.mapInArrow(mark, "page int, bits binary").repartition(PAGES, "page").mapInArrow(add, "page int, bits binary")
+    with small_batches(units.sparkSession):
+        rows = summed.collect()
+    for row in rows:
         table[row["page"]] = np.frombuffer(row["bits"], np.uint8)
     return table.reshape(-1), bits
 
