@@ -257,10 +257,11 @@ def _best(graph: Graph, starts: np.ndarray, members: np.ndarray, query_id: int,
 
 def search_index(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query (query_id, vector) but the
-    row with its own id."""
-    shards = [r["shard"] for r in index.select("shard").collect()]  # as many numbers as shards
+    row with its own id. Queries of one id with different vectors are answered each."""
+    last = index.agg(F.max("shard")).first()[0]
     blocks = max(1, math.ceil(queries.count() / QUERIES))
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.array(*map(F.lit, shards)) if shards else F.array().cast("array<int>")))
+    shards = F.sequence(F.lit(0), F.lit(last)) if last is not None else F.array().cast("array<int>")
+    asked = queries.withColumns({"query_key": F.xxhash64("vector"), "block": F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"), "shard": F.explode(shards)})
     offered = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -268,14 +269,15 @@ def search_index(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         if len(left) and len(right):
             graph, starts, members = _graph(right.iloc[0])
             for begin in range(0, len(left), TOGETHER):
-                ids_of, asked = left["query_id"].to_numpy()[begin : begin + TOGETHER], np.stack(left["vector"].to_numpy()[begin : begin + TOGETHER]).astype(np.float64)
-                for query_id, vector, nodes in zip(ids_of, asked, graph.search(asked), strict=True):
-                    out.append((query_id, *_best(graph, starts, members, query_id, vector, nodes[nodes >= 0], k)))
-        return pd.DataFrame(out, columns=["query_id", "ids", "scores"])
-
-    found = asked.groupBy("shard", "block").cogroup(offered.groupBy("shard", "block")).applyInPandas(search, "query_id long, ids array<long>, scores array<double>")
-    pairs = found.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("p")).select("query_id", F.col("p.ids").alias("vec_id"), F.col("p.scores").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+                now = left.iloc[begin : begin + TOGETHER]
+                asked = np.stack(now["vector"].to_numpy()).astype(np.float64)
+                for query_id, key, vector, nodes in zip(now["query_id"].to_numpy(), now["query_key"].to_numpy(), asked, graph.search(asked), strict=True):
+                    out.append((query_id, key, *_best(graph, starts, members, query_id, vector, nodes[nodes >= 0], k)))
+        return pd.DataFrame(out, columns=["query_id", "query_key", "ids", "scores"])
+
+    found = asked.groupBy("shard", "block").cogroup(offered.groupBy("shard", "block")).applyInPandas(search, "query_id long, query_key long, ids array<long>, scores array<double>")
+    pairs = found.select("query_id", "query_key", F.explode(F.arrays_zip("ids", "scores")).alias("p")).select("query_id", "query_key", F.col("p.ids").alias("vec_id"), F.col("p.scores").alias("score"))
+    order = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -288,3 +288,30 @@ def test_token_keys_name_tokens():
     names = [w for s in streams for w in s.split(b" ")]
     assert size.tolist() == [4, 1, 4] and len(keys) == len(names)
     assert len(set(zip(keys.tolist(), names))) == len(set(keys.tolist())) == len(set(names)) and all((k == 0) == (n == lm.END) for k, n in zip(keys.tolist(), names))
+
+
+def test_repeated_query_ids_are_answered_each(spark):
+    rows = [(k, [float(k % 7), float(k % 5) + 1]) for k in range(1, 40)] + [(20, [-3.0, 1.0])]
+    out = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=4).where("query_id = 20").collect()
+    assert sorted(r["rank"] for r in out) == sorted([1, 2, 3, 4] * 2)
+    found = sorted((r.vec_id, r.score) for r in out)
+    want = []
+    for q in (rows[19][1], rows[-1][1]):
+        want += sorted(((q[0] * x[0] + q[1] * x[1], -i) for i, x in rows if i != 20), reverse=True)[:4]
+    assert found == sorted((-i, s) for s, i in want)
+
+
+def test_recall_over_shards_and_blocks(spark, monkeypatch):
+    """Four shards and three blocks of queries against brute force."""
+    monkeypatch.setattr(ann, "SHARD", 500)
+    monkeypatch.setattr(ann, "QUERIES", 40)
+    rnd = np.random.default_rng(4)
+    data = (rnd.normal(size=(2000, 16)) * rnd.uniform(0.5, 2, size=(2000, 1))).astype(np.float32)
+    out = ann.nearest(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(data)], "vec_id long, embedding array<float>"), k=20).collect()
+    exact = data.astype(np.float64) @ data[::20].astype(np.float64).T
+    hit = 0
+    for q in range(0, 2000, 20):
+        score = exact[:, q // 20].copy()
+        score[q] = -np.inf
+        hit += len(set(np.argsort(-score)[:20]) & {r.vec_id for r in out if r.query_id == q})
+    assert len(out) == 2000 and hit / 2000 >= 0.9

@@ -4,6 +4,8 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 import corpus_pipeline
 from logloom.llm.common import materialise, table
 
@@ -39,3 +41,32 @@ def test_entry_works_without_the_subpackage(tmp_path):
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), 'pipeline' in e.queries())"], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True)
     n, pipeline = said.stdout.split()
     assert int(n) > 40 and pipeline == "False"
+
+
+def odd_documents(spark):
+    rows = [(1, "one two three four five six seven\nand a line\n\nand a line"), (2, None), (3, ""), (4, " \n\t "), (None, "no id at all here"), (1, "one two three four five six seven\nand a line\n\nand a line"), (5, "word " * 20_000), (6, "a <|endoftext|> b c"), (7, "one two three four five six seven eight")]
+    full = [(i, t, None if i == 3 else "en", None if i == 4 else "s", None if t is None else len(t), "clash", 0.5, 3) for i, t in rows]
+    return spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long, `rate` string, score double, line int")
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_take_odd_rows(name, stage, spark, sf):
+    docs = odd_documents(spark)
+    out = stage(spark, docs, sf)
+    rows = out.collect()
+    texts = {r.text for r in docs.collect()}
+    if name != "encoding":
+        assert out.columns == list(corpus_pipeline.COLUMNS)
+    if name in ("near_duplicates", "encoding"):
+        assert {r.text for r in rows} <= texts
+    if name == "near_duplicates":
+        assert sorted(str(r.doc_id) for r in rows) == ["1", "2", "3", "4", "5", "6", "7", "None"]
+    if name in ("line_dedup", "encoding"):
+        assert len(rows) == 9
+    if name == "toxicity":
+        assert {str(r.doc_id) for r in rows} <= {"1", "2", "3", "4", "5", "6", "7", "None"}
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_take_an_empty_table(name, stage, spark, sf):
+    assert stage(spark, odd_documents(spark).limit(0), sf).collect() == []
