@@ -253,7 +253,7 @@ def trie_encode(bpe: ByteBpe, words: list[bytes]) -> list[bytes]:
 
 
 class Encoder:
-    """Encodes texts batch by batch; keeps encodings of pre-tokens for later batches."""
+    """Encodes texts batch by batch; keeps encodings of pre-tokens for later batches of a task."""
 
     def __init__(self, path: str):
         self.bpe = load(path)
@@ -285,6 +285,11 @@ class Encoder:
         for parts in split:
             yield b"".join(p.to_bytes(4, "little") if isinstance(p, int) else b"".join(map(known.__getitem__, p)) for p in parts)
 
+    def rest(self) -> None:
+        """Between tasks a worker that waits keeps the vocabulary alone."""
+        self.known.clear()
+        self.bpe.pairs.clear()
+
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())).decode("utf-8", "replace")
 
@@ -325,6 +330,7 @@ def encode_decode(docs: DataFrame, path: str, text_col: str = "text", carry: tup
                     found["decoded"].append(text)
             arrays = [*batch.columns[:-1], *(pa.array(v, types[c]) for c, v in found.items())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:-1], *found])
+        coder.rest()
 
     schema = T.StructType([*carried.schema.fields, *T.StructType.fromDDL(", ".join(f"{c} {t}" for c, t in made.items())).fields])
     return rows.mapInArrow(run, schema)
