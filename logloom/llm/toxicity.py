@@ -23,9 +23,9 @@ GRAMS = (3, 4, 5)
 BITS = 20
 #: Labelled texts that the classifier is fitted on at most: those first in the order of a hash of
 #: their id. Scores cover all texts.
-MAX_TRAIN = 8_000
-#: Least ratio of r to its standard error, and least r, of a gram that is kept.
-LEAST_Z, LEAST_RATIO = 3.5, 1.0
+MAX_TRAIN = 20_000
+#: Least ratio of r to its standard error of a gram that is kept.
+LEAST_Z = 3.5
 #: Bytes that are hashed at once.
 WINDOW = 1 << 20
 
@@ -82,7 +82,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -35, 35)))
 
 
-def _fit(text: np.ndarray, gram: np.ndarray, label: np.ndarray, ratio: np.ndarray, l2: float = 1.0, steps: int = 200) -> Model:
+def _fit(text: np.ndarray, gram: np.ndarray, label: np.ndarray, ratio: np.ndarray, l2: float = 1.0, steps: int = 500) -> Model:
     """Logistic regression on r * presence, by full-batch Adam: its step is scaled by coordinate,
     so that rare grams converge as frequent ones do."""
     kept, column = np.unique(gram, return_inverse=True)
@@ -129,7 +129,7 @@ def train(labelled: DataFrame) -> Model:
                     seen[k] += np.frombuffer(part.as_py(), np.int32)
         q, p = seen + 1.0
         ratio = np.log(p / (n[1] + 2)) - np.log(q / (n[0] + 2))
-        kept = np.nonzero((seen.sum(axis=0) >= 3) & (np.abs(ratio) >= np.maximum(LEAST_RATIO, LEAST_Z * np.sqrt(1 / p + 1 / q))))[0]
+        kept = np.nonzero((seen.sum(axis=0) >= 3) & (np.abs(ratio) >= LEAST_Z * np.sqrt(1 / p + 1 / q)))[0]
         yield pa.RecordBatch.from_arrays([pa.array([n[0]]), pa.array([n[1]]), pa.array([kept.astype("<i4").tobytes()], pa.binary()), pa.array([ratio[kept].tobytes()], pa.binary())], names=["n0", "n1", "kept", "ratio"])
 
     try:
