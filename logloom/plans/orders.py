@@ -56,11 +56,11 @@ def keep_n_previous(spark, sf_dir):
 
 
 @query("manifest_reconcile", """
-WITH m AS (SELECT o_orderkey AS k, (o_orderkey % 4 + 1)::BIGINT AS n FROM orders WHERE o_orderkey % 10 <> 0), a AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY l_orderkey)
+WITH m AS (SELECT o_orderkey AS k, (o_orderkey % 4 + 1)::BIGINT AS n FROM orders WHERE o_orderstatus <> 'P'), a AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY l_orderkey)
 SELECT coalesce(m.k, a.k) AS k, CASE WHEN a.k IS NULL THEN 'missing' WHEN m.k IS NULL THEN 'unexpected' WHEN m.n = a.n THEN 'match' ELSE 'mismatch' END AS state FROM m FULL JOIN a ON m.k = a.k
 """)
 def manifest_reconcile(spark, sf_dir):
-    expected = read(spark, sf_dir, "orders").where("o_orderkey % 10 <> 0").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 4 + 1).alias("n"))
+    expected = read(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 4 + 1).alias("n"))
     actual = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.count("*").alias("n"))
     return joins.reconcile(expected, actual, ["k"], ["n"])
 
@@ -102,12 +102,12 @@ def evidence_containment(spark, sf_dir):
 
 
 @query("full_outer_merge", """
-WITH c AS (SELECT c_nationkey AS k, count(*) AS customers FROM customer WHERE c_nationkey % 5 <> 0 GROUP BY ALL), s AS (SELECT s_nationkey AS k, count(*) AS suppliers FROM supplier WHERE s_nationkey % 3 <> 0 GROUP BY ALL)
+WITH c AS (SELECT c_nationkey AS k, count(*) AS customers FROM customer WHERE c_acctbal > 8000 GROUP BY ALL), s AS (SELECT s_nationkey AS k, count(*) AS suppliers FROM supplier WHERE s_acctbal > 0 GROUP BY ALL)
 SELECT coalesce(c.k, s.k) AS k, concat_ws(',', CASE WHEN c.k IS NOT NULL THEN 'staged' END, CASE WHEN s.k IS NOT NULL THEN 'worktree' END) AS scopes FROM c FULL JOIN s ON c.k = s.k
 """)
 def full_outer_merge(spark, sf_dir):
-    a = read(spark, sf_dir, "customer").where("c_nationkey % 5 <> 0").select(F.col("c_nationkey").alias("k")).distinct().withColumn("scopes", F.array(F.lit("staged")))
-    b = read(spark, sf_dir, "supplier").where("s_nationkey % 3 <> 0").select(F.col("s_nationkey").alias("k")).distinct().withColumn("scopes", F.array(F.lit("worktree")))
+    a = read(spark, sf_dir, "customer").where("c_acctbal > 8000").select(F.col("c_nationkey").alias("k")).distinct().withColumn("scopes", F.array(F.lit("staged")))
+    b = read(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_nationkey").alias("k")).distinct().withColumn("scopes", F.array(F.lit("worktree")))
     return joins.merge_scopes(a, b, ["k"]).withColumn("scopes", F.array_join("scopes", ","))
 
 
@@ -118,20 +118,19 @@ def anti_unmatched(spark, sf_dir):
 
 
 @query("history_upsert", """
-SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 3 <> 0
-UNION ALL SELECT o_orderkey, 'X' FROM orders WHERE o_orderkey % 3 = 0
+SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders
 """)
 def history_upsert(spark, sf_dir):
     old = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
-    return dedup.upsert(old, old.where("o_orderkey % 3 = 0").withColumn("o_orderstatus", F.lit("X")), ["o_orderkey"])
+    return dedup.upsert(old, old.where("o_orderstatus = 'O'").withColumn("o_orderstatus", F.lit("X")), ["o_orderkey"])
 
 
 @query("replay_counts", """
-SELECT o_custkey, greatest(count(*) FILTER (WHERE o_orderkey % 2 = 0), count(*) FILTER (WHERE o_orderkey % 3 = 0)) AS count FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0 GROUP BY o_custkey
+SELECT o_custkey, greatest(count(*) FILTER (WHERE o_orderstatus <> 'P'), count(*) FILTER (WHERE o_orderstatus <> 'F')) AS count FROM orders GROUP BY o_custkey
 """)
 def replay_counts(spark, sf_dir):
     rows = read(spark, sf_dir, "orders")
-    old, new = (rows.where(f"o_orderkey % {n} = 0").groupBy("o_custkey").count() for n in (2, 3))
+    old, new = (rows.where(F.col("o_orderstatus") != state).groupBy("o_custkey").count() for state in ("P", "F"))
     return dedup.merge_counts(old, new, ["o_custkey"])
 
 
