@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,21 +17,25 @@ def page_by_count(rows: DataFrame, by: list[str], order: list[Column], size: int
 
 def page_by_bytes(rows: DataFrame, by: list[str], order: str, size: str, most_items: int, most_bytes: int) -> DataFrame:
     """by, order, page (from 1): items fill a page greedily until one more would exceed either
-    bound; a larger item has a page of its own. A group is one document's items, which is one
-    array's fold."""
-    item = F.struct(F.col(order).alias("at"), F.col(size).cast("long").alias("size"))
-    start = F.struct(F.lit(1).alias("page"), F.lit(0).alias("items"), F.lit(0).cast("long").alias("bytes"), F.array().cast("array<int>").alias("pages"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fits = (acc["items"] == 0) | ((acc["items"] < most_items) & (acc["bytes"] + x["size"] <= most_bytes))
-        page = F.when(fits, acc["page"]).otherwise(acc["page"] + 1)
-        items = F.when(fits, acc["items"] + 1).otherwise(1)
-        used = F.when(fits, acc["bytes"] + x["size"]).otherwise(x["size"])
-        return F.struct(page.alias("page"), items.alias("items"), used.alias("bytes"), F.concat(acc["pages"], F.array(page)).alias("pages"))
-
-    groups = rows.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    pages = groups.withColumn("pages", F.aggregate("items", start, step, lambda acc: acc["pages"]))
-    return pages.select(*by, F.explode(F.arrays_zip(F.transform("items", lambda i: i["at"]).alias("at"), F.col("pages").alias("page"))).alias("x")).select(*by, F.col("x.at").alias(order), F.col("x.page").alias("page"))
+    bound; a larger item has a page of its own. Rows are sorted by group and order and read as they
+    come, with three numbers as state, whatever a group's size."""
+    used = rows.select(*by, order, F.coalesce(F.col(size), F.lit(0)).cast("long").alias("_size"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, page, items, used_bytes = object(), 0, 0, 0
+        for batch in batches:
+            pages = []
+            for *key, n in zip(*(batch[c].to_pylist() for c in (*by, "_size")), strict=True):
+                if key != group:
+                    group, page, items, used_bytes = key, 1, 0, 0
+                elif items and (items >= most_items or used_bytes + n > most_bytes):
+                    page, items, used_bytes = page + 1, 0, 0
+                items, used_bytes = items + 1, used_bytes + n
+                pages.append(page)
+            yield batch.drop_columns(["_size"]).append_column("page", pa.array(pages, pa.int32()))
+
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in used.drop("_size").schema)
+    return used.repartition(*by).sortWithinPartitions(*by, order).mapInArrow(run, f"{columns}, page int")
 
 
 def page_manifest(paged: DataFrame, by: list[str], order: str, body: Column) -> DataFrame:
