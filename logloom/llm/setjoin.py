@@ -536,6 +536,7 @@ def similar_sets(docs: DataFrame, join: Join, mode: str, id_col: str = "doc_id",
     rarity = spark.sparkContext.broadcast(measure_rarity(texts, join))  # at most 4 MB + 2**MOST_BITS bits
     buckets = 8 * max(8, texts.rdd.getNumPartitions())
     passed = materialise(_first_pass(texts, join, rarity, buckets), "units")
+    rarity.destroy()  # nothing is made from it again
     units = passed.where("kind = 0").select("doc", "line", "n", "sig1", "sig2")
     classes = units.where("n > 0").groupBy("sig1", "sig2").agg(F.min(F.struct("doc", "line")).alias("first"), F.first("n").alias("n"))
     groups = components(_edges(passed, buckets))
@@ -546,7 +547,10 @@ def similar_sets(docs: DataFrame, join: Join, mode: str, id_col: str = "doc_id",
     own = F.pmod(F.xxhash64("sig1", "sig2", F.lit(5)), F.col("blocks")).cast("int")
     dealt = sized.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "first", "sig1", "sig2")
-    linked = _link(_unit_texts(texts, join, candidates, dealt), join, mode)
+    marks, bits = _marks(candidates.select("first.doc", "first.line"))
+    shared = spark.sparkContext.broadcast(marks)
+    linked = _link(_unit_texts(texts, join, dealt, shared, bits), join, mode)
+    shared.destroy()
     if mode == "components":
         spread = linked.where("root != first")
         if sized.where("blocks > 1").isEmpty():
@@ -594,12 +598,9 @@ def _marks(units: DataFrame) -> tuple[np.ndarray, int]:
     return table.reshape(-1), bits
 
 
-def _unit_texts(texts: DataFrame, join: Join, candidates: DataFrame, dealt: DataFrame) -> DataFrame:
+def _unit_texts(texts: DataFrame, join: Join, dealt: DataFrame, shared, bits: int) -> DataFrame:
     """The units that dealt names, cut out of their documents' texts. A bitmap of the candidates
     keeps most other texts out of the shuffle; the join that follows decides."""
-    marks, bits = _marks(candidates.select("first.doc", "first.line"))
-    shared = texts.sparkSession.sparkContext.broadcast(marks)
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, lines_, found = [], [], []
