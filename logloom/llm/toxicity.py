@@ -23,7 +23,7 @@ GRAMS = (3, 4, 5)
 BITS = 20
 #: Labelled texts that the classifier is fitted on at most: those first in the order of a hash of
 #: their id. Scores cover all texts.
-MAX_TRAIN = 20_000
+MAX_TRAIN = 8_000
 #: Least ratio of r to its standard error of a gram that is kept.
 LEAST_Z = 3.5
 #: Bytes that are hashed at once.
