@@ -25,11 +25,11 @@ MAX_TRAIN = 4_000
 #: Windows of a training document, at random places of its whole text.
 WINDOWS = 8
 #: Bytes of a window, and units of each direction.
-LENGTH, UNITS = 64, 8
+LENGTH, UNITS = 64, 6
 #: Windows of a training step, passes over the training windows, and the first step's length.
 TOGETHER, EPOCHS, RATE = 256, 4, 0.02
 #: Windows that are labelled together.
-LANES = 2048
+LANES = 1024
 
 
 @dataclass
@@ -40,14 +40,15 @@ class Gru:
     table: np.ndarray
     weights: np.ndarray
 
-    def states(self, x: np.ndarray, valid: np.ndarray | None, backwards: bool, trace: list | None = None) -> np.ndarray:
-        """States (step, unit, lane) over bytes x (step, lane); where valid is 0 the state is 0."""
+    def states(self, x: np.ndarray, valid: np.ndarray | None, backwards: bool, trace: list | None = None, project: np.ndarray | None = None) -> np.ndarray:
+        """States (step, unit, lane) over bytes x (step, lane), or rows of project times them; where
+        valid is 0 the state is 0."""
         steps, lanes = x.shape
         units = self.weights.shape[1] - 1
         h = np.zeros((units + 1, lanes), np.float32)
         h[-1] = 1
         state = h[:-1]
-        out = np.empty((steps, units, lanes), np.float32)
+        out = np.empty((steps, units if project is None else len(project), lanes), np.float32)
         a, u = np.empty((3 * units, lanes), np.float32), np.empty((3 * units, lanes), np.float32)
         gates, n, d = a[: 2 * units], a[2 * units :], np.empty((units, lanes), np.float32)
         for t in range(steps - 1, -1, -1) if backwards else range(steps):
@@ -68,7 +69,10 @@ class Gru:
             np.add(n, d, out=state)
             if valid is not None:
                 state *= valid[t]
-            out[t] = state
+            if project is None:
+                out[t] = state
+            else:
+                np.matmul(project, state, out=out[t])
         return out
 
     def gradients(self, x: np.ndarray, valid: np.ndarray, trace: list, d_out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,13 +103,14 @@ class Network:
     def label(self, x: np.ndarray, valid: np.ndarray | None) -> np.ndarray:
         """Probabilities (step, language, lane) of every byte of x (step, lane)."""
         units = self.forwards.weights.shape[1] - 1
-        one, two = self.forwards.states(x, valid, False), self.backwards.states(x, valid, True)
-        out = np.matmul(self.readout[:, :units], one)
-        out += np.matmul(self.readout[:, units:-1], two)
-        out += self.readout[:, -1:]
-        out -= out.max(axis=1, keepdims=True)
-        np.exp(out, out=out)
-        out /= out.sum(axis=1, keepdims=True)
+        parts = (np.ascontiguousarray(p) for p in (self.readout[:, :units], self.readout[:, units:-1]))
+        out, other = (gru.states(x, valid, back, project=p) for gru, back, p in zip((self.forwards, self.backwards), (False, True), parts, strict=True))
+        for one, two in zip(out, other, strict=True):  # a step at a time stays in the cache
+            one += two
+            one += self.readout[:, -1:]
+            one -= one.max(axis=0)
+            np.exp(one, out=one)
+            one /= one.sum(axis=0)
         return out
 
     def pool(self, texts: list[bytes]) -> np.ndarray:
@@ -212,9 +217,8 @@ def train_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not names:
             return None
         share = max(1, limit // len(names))
-        # first a draw that leaves some four times as many as wanted, then the first of those by hash
+        # first a draw that leaves some four times as many as wanted, then the first windows by hash
         drawn = usable.join(F.broadcast(counts), "name").where(F.pmod("place", F.lit(1 << 30)) < F.lit(4.0 * share * (1 << 30)) / F.col("of") + 1)
-        chosen = drawn.withColumn("nth", F.row_number().over(Window.partitionBy("name").orderBy("place", "text"))).where(F.col("nth") <= share)
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -236,8 +240,9 @@ def train_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([pa.array([p.astype("<f4").tobytes()], pa.binary()) for p in parts], names=list("abcde"))
 
         with small_batches(docs.sparkSession):
-            windows = chosen.select("name", "place", text_bytes("text").alias("bytes")).mapInArrow(cut, "name string, place long, start long, window binary")
-            row = windows.coalesce(1).sortWithinPartitions("place", "start", "window", "name").mapInArrow(learn, "a binary, b binary, c binary, d binary, e binary").first()
+            windows = drawn.select("name", "place", text_bytes("text").alias("bytes")).mapInArrow(cut, "name string, place long, start long, window binary")
+            first = windows.withColumn("nth", F.row_number().over(Window.partitionBy("name").orderBy("place", "start", "window"))).where(F.col("nth") <= share * WINDOWS)
+            row = first.drop("nth").coalesce(1).sortWithinPartitions("place", "start", "window", "name").mapInArrow(learn, "a binary, b binary, c binary, d binary, e binary").first()
         a, b, c, d, e = (np.frombuffer(x, "<f4") for x in row)
         return Network(Gru(a.reshape(-1, 256), b.reshape(3 * UNITS, -1)), Gru(c.reshape(-1, 256), d.reshape(3 * UNITS, -1)), e.reshape(len(names), -1), names)
     finally:
