@@ -21,12 +21,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches, text_bytes
+from .common import materialise, release, small_batches, text_bytes
 
 #: Bytes of text that are cut into words together.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
+#: Keys that a task holds before it merges and sends them, and places of the texts whose keys are
+#: summed together.
+HELD, SHARE = 1 << 19, 1 << 21
+#: Stands for no further word; ids of words lie below it.
+NONE = (1 << 32) - 1
 #: Phrases of a trie, which bounds what is broadcast: some 60 bytes a phrase.
-PHRASES = 1 << 20
+PHRASES = 1 << 19
 #: Bits of a digit, so that the children of a trie's node fit a word of 64 bits.
 DIGIT = 6
 
@@ -39,6 +44,15 @@ _KIND[list(SPACES)] = 1
 _KIND[list(BREAKS)] = 2
 
 
+def _pack(values: np.ndarray, width: int) -> bytes:
+    """Integers of `width` bytes, byte by byte, so that bytes that hardly differ stand together."""
+    return values.astype(f"<i{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+
+
+def _unpack(data: bytes, width: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(f"<i{width}").reshape(-1)
+
+
 # --- words -------------------------------------------------------------------------------------
 
 
@@ -48,7 +62,9 @@ def split_text(text: bytes, most: int) -> Iterator[bytes]:
     while len(text) - at > most:
         cut = max(text.rfind(b, at, at + most) for b in (bytes([x]) for x in BREAKS))
         if cut < 0:
-            cut = min((p for p in (text.find(bytes([x]), at + most) for x in BREAKS) if p >= 0), default=len(text) - 1)
+            cut = min((p for p in (text.find(bytes([x]), at + most) for x in BREAKS) if p >= 0), default=-1)
+        if cut < 0:
+            break
         yield text[at : cut + 1]
         at = cut + 1
     yield text[at:]
@@ -70,21 +86,25 @@ def cut_words(data: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 
 def _numbered(texts: list[bytes], langs: list[str]) -> tuple[np.ndarray, list[str], pa.Array, np.ndarray]:
-    """Local numbers of the words of texts with -1 between pieces, and language, word and count of
-    each number."""
+    """Local numbers of the words of texts, frequent words first, with -1 between pieces; and
+    language, word and count of each number."""
     words, start, fresh = cut_words(b"\n".join(texts))
     starts = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
     names = sorted(set(langs))
     of = np.array([names.index(x) for x in langs], np.int64)[np.searchsorted(starts, start, side="right") - 1]
     coded = words.dictionary_encode()
     key, number, count = np.unique(coded.indices.to_numpy().astype(np.int64) * len(names) + of, return_inverse=True, return_counts=True)
+    order = np.argsort(-count, kind="stable")
+    key, count, place = key[order], count[order], np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order))
+    number = place[number]
     out = np.full(len(number) + int(fresh.sum()), -1, np.int32)
     out[np.arange(len(number)) + np.cumsum(fresh)] = number
     return out, [names[k] for k in key % len(names)], coded.dictionary.take(pa.array(key // len(names))), count
 
 
 def _cut_blocks(docs: DataFrame) -> DataFrame:
-    """block, codes (local numbers, four bytes each, -1 between pieces) and words (language, word
+    """block, codes (packed local numbers, -1 between pieces) and words (language, word
     and count of each local number)."""
     item = pa.struct([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
 
@@ -96,7 +116,7 @@ def _cut_blocks(docs: DataFrame) -> DataFrame:
             codes, lang, word, count = _numbered(texts, langs)
             entries = pa.StructArray.from_arrays([pa.array(lang, pa.string()), word.cast(pa.string()), pa.array(count)], fields=list(item))
             listed = pa.ListArray.from_arrays(pa.array([0, len(entries)], pa.int32()), entries)
-            return pa.RecordBatch.from_arrays([pa.array([first + made]), pa.array([codes.tobytes()], pa.binary()), listed], names=["block", "codes", "words"])
+            return pa.RecordBatch.from_arrays([pa.array([first + made]), pa.array([_pack(codes, 4)], pa.binary()), listed], names=["block", "codes", "words"])
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -122,10 +142,10 @@ def _with_ids(blocks: DataFrame, frequent: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                codes = np.frombuffer(batch.column(1)[row].as_py(), np.int32)
+                codes = _unpack(batch.column(1)[row].as_py(), 4)
                 entries = batch.column(2)[row].values
                 place, ids = entries.field("place").to_numpy(), entries.field("id").to_numpy()
-                order = np.argsort(ids)
+                order = np.argsort(place)
                 local = np.full(max(codes.max(initial=-1), place.max(initial=-1)) + 2, -1, np.int32)  # the last is for -1
                 local[place[order]] = np.arange(len(order))
                 codes = local[codes]
@@ -133,7 +153,7 @@ def _with_ids(blocks: DataFrame, frequent: DataFrame) -> DataFrame:
                 beside = known[1:-1] & (known[:-2] | known[2:])
                 codes = np.where(beside, codes, -1)
                 codes = codes[beside | np.concatenate([[False], beside[:-1]])]  # of several gaps one
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), pa.array([codes.tobytes()], pa.binary()), pa.array([ids[order].tobytes()], pa.binary())], names=["block", "codes", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), pa.array([_pack(codes, 4)], pa.binary()), pa.array([_pack(ids[order], 8)], pa.binary())], names=["block", "codes", "ids"])
 
     return blocks.select("block", "codes").join(found, "block").mapInArrow(run, "block long, codes binary, ids binary")
 
@@ -141,7 +161,7 @@ def _with_ids(blocks: DataFrame, frequent: DataFrame) -> DataFrame:
 def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for batch in batches:
         for codes, ids in zip(batch.column(0), batch.column(1), strict=True):
-            yield np.frombuffer(codes.as_py(), np.int32), np.frombuffer(ids.as_py(), np.int64)
+            yield _unpack(codes.as_py(), 4), _unpack(ids.as_py(), 8)
 
 
 def _columns(k: int) -> list[str]:
@@ -152,10 +172,56 @@ def _schema(k: int) -> str:
     return ", ".join(f"{c} long" for c in _columns(k)) + ", n long"
 
 
-def _batch(columns: list[np.ndarray], n: np.ndarray, k: int) -> pa.RecordBatch:
-    """A batch of phrases; those shorter than k words have nulls behind."""
-    empty = pa.nulls(len(n), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns] + [empty] * (k - len(columns)) + [pa.array(n.astype(np.int64))], names=[*_columns(k), "n"])
+# --- sums --------------------------------------------------------------------------------------
+
+
+def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sum of each one's counts."""
+    keys, counts = np.concatenate(keys), np.concatenate(counts)  # of a task's or a share's bounded number
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1))
+    return keys[first], np.add.reduceat(counts[order], first)
+
+
+class _Sums:
+    """A task's counts by key, which leave it merged and dealt out by a hash of the key into shares."""
+
+    def __init__(self, shares: int):
+        self.shares, self.keys, self.counts, self.size = shares, [], [], 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.keys.append(keys)
+        self.counts.append(counts)
+        self.size += len(keys)
+        if self.size >= HELD:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.size:
+            keys, counts = _merged(self.keys, self.counts)
+            self.keys, self.counts = [], []
+            share = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(self.shares)
+            order = np.argsort(share, kind="stable")
+            cuts = np.searchsorted(share[order], np.arange(self.shares + 1))
+            for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                if b > a:
+                    yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([_pack(np.diff(keys[order[a:b]], prepend=0), 8)], pa.binary()), pa.array([_pack(counts[order[a:b]], 8)], pa.binary())], names=["share", "keys", "counts"])
+        self.keys, self.counts, self.size = [], [], 0
+
+
+def _summed(packed: DataFrame, least: int, spell, k: int) -> DataFrame:
+    """w1, ..., wk, n of the keys whose counts sum to at least `least`; spell gives the columns of
+    keys. A share holds SHARE places of the texts on average."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys = [np.cumsum(_unpack(x.as_py(), 8)) for x in table.column("keys")]
+        keys, n = _merged(keys, [_unpack(x.as_py(), 8) for x in table.column("counts")])
+        kept = n >= least
+        columns = spell(keys[kept])
+        return pa.table([*columns, pa.array(n[kept])], names=[*_columns(k), "n"])
+
+    return packed.groupBy("share").applyInArrow(run, _schema(k))
 
 
 # --- tries -------------------------------------------------------------------------------------
@@ -290,28 +356,23 @@ def build_trie(phrases: np.ndarray) -> Trie:
 
 
 def _tries(candidates: DataFrame, k: int) -> Iterator[Trie]:
-    """Tries over all candidates, built by tasks over ranges of phrases, given one at a time."""
-    ranges = max(1, math.ceil(candidates.count() / PHRASES))
+    """Tries over all candidates, given one at a time: each of those in a range of first two words,
+    built in one task."""
     arrays = ("symbols", "base", "check", "number", "phrases")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            held.append(np.stack([batch.column(j).to_numpy() for j in range(k)], axis=1))
-            size += batch.num_rows
-            while size >= PHRASES:
-                rows = np.concatenate(held)
-                yield packed(rows[:PHRASES])
-                held, size = [rows[PHRASES:]], size - PHRASES
-        if size:
-            yield packed(np.concatenate(held))
-
-    def packed(rows: np.ndarray) -> pa.RecordBatch:
-        trie = build_trie(rows)
-        return pa.RecordBatch.from_arrays([pa.array([trie.digits])] + [pa.array([getattr(trie, a).tobytes()], pa.binary()) for a in arrays], names=["digits", *arrays])
-
-    sorted_rows = candidates.select(*_columns(k)).repartitionByRange(ranges, *_columns(k)).sortWithinPartitions(*_columns(k))
-    built = materialise(sorted_rows.mapInArrow(run, "digits long, " + ", ".join(f"{a} binary" for a in arrays)), "tries")
+    n_tries = max(1, math.ceil(candidates.count() / PHRASES))
+    place = F.lit(0)
+    if n_tries > 1:
+        key = F.shiftleft("w1", 32).bitwiseOR(F.col("w2"))
+        ends = candidates.agg(F.percentile_approx(key, [j / n_tries for j in range(1, n_tries)], 100 * n_tries)).first()[0]
+        place = F.size(F.filter(F.array(*(F.lit(e) for e in ends)), lambda e: e < key))
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = np.stack([table.column(c).to_numpy() for c in _columns(k)], axis=1)
+        trie = build_trie(rows[np.lexsort(rows.T[::-1])])
+        return pa.table([pa.array([trie.digits]), *(pa.array([getattr(trie, a).tobytes()], pa.binary()) for a in arrays)], names=["digits", *arrays])
+
+    grouped = candidates.select(place.alias("trie"), *_columns(k)).groupBy("trie")
+    built = materialise(grouped.applyInArrow(run, "digits long, " + ", ".join(f"{a} binary" for a in arrays)), "tries")
     for row in built.toLocalIterator():  # one row of a bounded trie each
         yield Trie(k, row.digits, np.frombuffer(row.symbols, np.int64), *(np.frombuffer(row[a], np.int32) for a in arrays[1:4]), np.frombuffer(row.phrases, np.int64).reshape(-1, k))
 
@@ -319,28 +380,31 @@ def _tries(candidates: DataFrame, k: int) -> Iterator[Trie]:
 # --- levels ------------------------------------------------------------------------------------
 
 
-def _pairs(encoded: DataFrame, least: int) -> DataFrame:
-    """w1, w2, n of pairs of frequent words that stand side by side: n is each block's count, up to
-    `least`, which is all that it takes to know whether the pair can be frequent."""
+def _pairs(encoded: DataFrame, least: int, shares: int) -> DataFrame:
+    """w1, w2, n of pairs of frequent words that stand side by side and can be frequent: a block's
+    count is sent up to `least`, which is all that it takes to know that."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = _Sums(shares)
         for codes, ids in _encoded(batches):
             left, right = codes[:-1], codes[1:]
             both = (left >= 0) & (right >= 0)
             key, n = np.unique(left[both].astype(np.int64) * len(ids) + right[both], return_counts=True)
             if len(key):
-                yield _batch([ids[key // len(ids)], ids[key % len(ids)]], np.minimum(n, least), 2)
+                yield from sums.add(ids[key // len(ids)] << 32 | ids[key % len(ids)], np.minimum(n, least))
+        yield from sums.flush()
 
-    return encoded.select("codes", "ids").mapInArrow(run, _schema(2))
+    packed = encoded.select("codes", "ids").mapInArrow(run, "share long, keys binary, counts binary")
+    return _summed(packed, least, lambda key: [pa.array(key >> 32), pa.array(key & NONE)], 2)
 
 
-def _level(encoded: DataFrame, trie: Trie, least: int, further: bool) -> DataFrame:
-    """Counts of the trie's phrases over all blocks, as w1, ..., wk, null, n; with further also
-    phrases of one word more that begin with one of them, n as in _pairs."""
-    shared, k, width = encoded.sparkSession.sparkContext.broadcast(trie), trie.k, trie.k + further
+def _level(encoded: DataFrame, trie: Trie, least: int, shares: int, further: bool) -> DataFrame:
+    """Counts of the trie's phrases over all blocks, as w1, ..., wk, n; with further also a column
+    for one word more, and the phrases with one that can be frequent, as in _pairs."""
+    shared, k = encoded.sparkSession.sparkContext.broadcast(trie), trie.k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = shared.value
+        trie, sums = shared.value, _Sums(shares)
         total = np.zeros(len(trie.phrases), np.int64)
         for codes, ids in _encoded(batches):
             at, phrase = trie.follow(codes, ids)
@@ -350,17 +414,39 @@ def _level(encoded: DataFrame, trie: Trie, least: int, further: bool) -> DataFra
                 some = following >= 0
                 key, n = np.unique(phrase[some].astype(np.int64) * len(ids) + following[some], return_counts=True)
                 if len(key):
-                    yield _batch([*trie.phrases[key // len(ids)].T, ids[key % len(ids)]], np.minimum(n, least), width)
+                    yield from sums.add(key // len(ids) << 32 | ids[key % len(ids)], np.minimum(n, least))
         met = np.flatnonzero(total)
         if len(met):
-            yield _batch(list(trie.phrases[met].T), total[met], width)
+            yield from sums.add(met << 32 | NONE, total[met])
+        yield from sums.flush()
+
+    def spell(key: np.ndarray) -> list[pa.Array]:
+        last = key & NONE
+        words = [pa.array(c) for c in shared.value.phrases[key >> 32].T]
+        return words + [pa.array(last, mask=last == NONE)] if further else words
 
-    counted = encoded.select("codes", "ids").mapInArrow(run, _schema(width)).groupBy(*_columns(width)).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    out = materialise(counted, f"phrases{k}")
+    packed = encoded.select("codes", "ids").mapInArrow(run, "share long, keys binary, counts binary")
+    out = materialise(_summed(packed, least, spell, k + further), f"phrases{k}")
     shared.destroy()
     return out
 
 
+def _numbered_words(words: DataFrame) -> DataFrame:
+    """words with an id: 0, 1, ... over all rows."""
+    spark = words.sparkSession
+    kept = materialise(words.withColumn("_at", F.monotonically_increasing_id()), "frequent_words")
+    part = F.shiftright("_at", 33)
+    sizes = kept.groupBy(part.alias("_part")).count().orderBy("_part").collect()  # a row a partition
+    starts, total = [], 0
+    for r in sizes:
+        starts.append((r._part, total))
+        total += r["count"]
+    if total >= NONE:
+        raise ValueError("more frequent words than ids of 32 bits")
+    before = spark.createDataFrame(starts, "_part long, _before long")
+    return kept.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn("id", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_part", "_before", "_at")
+
+
 def count_phrases(docs: DataFrame, longest: int, least: int, text_col: str = "text", lang_col: str = "lang", lang_default: str = "und") -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """The words of each language (lang, n of all occurrences), its frequent words (id, lang, word,
     f) and for 2, ..., longest words the phrases w1, ..., wk of ids with at least `least`
@@ -369,45 +455,81 @@ def count_phrases(docs: DataFrame, longest: int, least: int, text_col: str = "te
     with small_batches(docs.sparkSession):
         blocks = materialise(_cut_blocks(rows), "word_blocks")
         each = blocks.select(F.explode("words").alias("w")).select("w.*")
-        totals = each.groupBy("lang").agg(F.sum("n").alias("n"))
-        counted = each.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-        frequent = materialise(counted.withColumn("id", F.monotonically_increasing_id()), "frequent_words")
+        totals = materialise(each.groupBy("lang").agg(F.sum("n").alias("n")), "words_of_languages")
+        frequent = _numbered_words(each.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least))
         encoded = materialise(_with_ids(blocks, frequent), "encoded_blocks")
+        release(blocks)
+        shares = max(1, math.ceil((totals.agg(F.sum("n")).first()[0] or 0) / SHARE))
+        candidates = materialise(_pairs(encoded, least, shares), "candidates2")
         found = []
-        candidates = materialise(_pairs(encoded, least).groupBy("w1", "w2").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "candidates2")
         for k in range(2, longest + 1):
-            parts = [_level(encoded, trie, least, k < longest) for trie in _tries(candidates, k)]
+            parts = [_level(encoded, trie, least, shares, k < longest) for trie in _tries(candidates, k)]
             if not parts:
-                found += [candidates.select(*_columns(2), *(F.col("w1").alias(c) for c in _columns(j)[2:]), F.col("n").alias("a")) for j in range(k, longest + 1)]
-                break
-            level = reduce(DataFrame.unionAll, parts)
-            if k == longest:
-                found.append(level.withColumnRenamed("n", "a"))
+                level = docs.sparkSession.createDataFrame([], _schema(k + (k < longest)))
             else:
+                level = reduce(DataFrame.unionAll, parts)
+            if k < longest:
                 longer = F.col(f"w{k + 1}")
-                found.append(level.where(longer.isNull()).drop(f"w{k + 1}").withColumnRenamed("n", "a"))
                 candidates = level.where(longer.isNotNull())
+                level = level.where(longer.isNull()).drop(f"w{k + 1}")
+            found.append(level.withColumnRenamed("n", "a"))
+        release(encoded)
     return totals, frequent, found
 
 
-def _scored(phrases: DataFrame, k: int, frequent: DataFrame, by_length: dict[int, DataFrame]) -> DataFrame:
-    """Adds lang, phrase and a, l, r and score of the cut with the lowest score."""
-    out = phrases
-    for j, column in enumerate(_columns(k), 1):
-        out = out.join(frequent.select(F.col("id").alias(column), F.col("word").alias(f"s{j}"), F.col("f").alias(f"f{j}_{j}"), *([F.col("lang")] if j == 1 else [])), column)
-    for length in range(2, k):
-        for start in range(1, k - length + 2):
-            part = by_length[length].select(*(F.col(f"w{j}").alias(f"w{start + j - 1}") for j in range(1, length + 1)), F.col("a").alias(f"f{start}_{start + length - 1}"))
-            if start == 1 or start + length - 1 == k:
-                out = out.join(part, [f"w{j}" for j in range(start, start + length)])
+def _mark_held(by_length: dict[int, DataFrame], percent: int) -> dict[int, DataFrame]:
+    """The phrases of each length with a column kept: no longer phrase with at least percent percent
+    of their occurrences holds their words side by side."""
+    longest, out = max(by_length), {}
+    for k, phrases in by_length.items():
+        inside = [
+            by_length[longer].select(*(F.col(f"w{start + j}").alias(f"w{j + 1}") for j in range(k)), F.col("a").alias("held"))
+            for longer in range(k + 1, longest + 1)
+            for start in range(1, longer - k + 2)
+        ]
+        if inside:
+            most = reduce(DataFrame.unionAll, inside).groupBy(*_columns(k)).agg(F.max("held").alias("held"))
+            phrases = phrases.join(most, _columns(k), "left").withColumn("kept", F.coalesce(100 * F.col("held") < percent * F.col("a"), F.lit(True))).drop("held")
+        else:
+            phrases = phrases.withColumn("kept", F.lit(True))
+        out[k] = phrases
+    return out
+
+
+def _with_counts(by_length: dict[int, DataFrame], frequent: DataFrame) -> DataFrame:
+    """All phrases with their words' texts s1, ... and the counts f_i_j of their words i to j that a
+    cut needs, absent ones null, and lang."""
+    longest = max(by_length)
+    out = None
+    for k in range(longest, 1, -1):
+        level = by_length[k]
+        for length in range(2, k):
+            for start in {1, k - length + 1}:
+                part = by_length[length].select(*(F.col(f"w{j}").alias(f"w{start + j - 1}") for j in range(1, length + 1)), F.col("a").alias(f"f_{start}_{start + length - 1}"))
+                level = level.join(part, [f"w{j}" for j in range(start, start + length)])
+        level = level.where("kept").drop("kept").withColumn("k", F.lit(k))
+        out = level if out is None else out.unionByName(level, allowMissingColumns=True)
+        for j in range(k, 0 if k == 2 else k - 1, -1):  # all phrases that have a j-th word, at once
+            mine = [F.col("id").alias(f"w{j}"), F.col("word").alias(f"s{j}"), F.col("f").alias(f"f_{j}_{j}")] + [F.col("lang")] * (j == 1)
+            out = out.join(frequent.select(*mine), f"w{j}")
+    return out
+
+
+def _scored(phrases: DataFrame, longest: int) -> DataFrame:
+    """Adds phrase and l, r and score of the cut with the lowest score, the first of equal ones."""
     exact = lambda c: F.col(c).cast("decimal(15,0)")  # noqa: E731  products reach 10**36
-    cuts = []
-    for cut in range(1, k):
-        out = out.withColumn(f"_top{cut}", F.lit(1_000_000).cast("decimal(7,0)") * exact("a") * exact("a")).withColumn(f"_low{cut}", exact(f"f1_{cut}") * exact(f"f{cut + 1}_{k}"))
-        cuts.append(F.struct(F.expr(f"_top{cut} div _low{cut}").alias("score"), F.lit(cut).alias("cut"), F.col(f"f1_{cut}").alias("l"), F.col(f"f{cut + 1}_{k}").alias("r")))
-    best = cuts[0] if k == 2 else F.least(*cuts)
-    phrase = F.concat_ws(" ", *(f"s{j}" for j in range(1, k + 1)))
-    return out.withColumn("_best", best).select("lang", phrase.alias("phrase"), "a", "_best.l", "_best.r", "_best.score", *_columns(k))
+    squared = F.lit(1_000_000).cast("decimal(7,0)") * exact("a") * exact("a")
+    best = None
+    for k in range(2, longest + 1):
+        cuts = []
+        for cut in range(1, k):
+            left, right = f"f_1_{cut}", f"f_{cut + 1}_{k}"
+            phrases = phrases.withColumn("_top", squared).withColumn("_low", exact(left) * exact(right)).withColumn(f"_score{k}_{cut}", F.expr("_top div _low"))
+            cuts.append(F.struct(F.col(f"_score{k}_{cut}").alias("score"), F.lit(cut).alias("cut"), F.col(left).alias("l"), F.col(right).alias("r")))
+        lowest = cuts[0] if k == 2 else F.least(*cuts)
+        best = F.when(F.col("k") == k, lowest) if best is None else best.when(F.col("k") == k, lowest)
+    phrase = F.concat_ws(" ", *(f"s{j}" for j in range(1, longest + 1)))
+    return phrases.withColumn("_best", best).select("lang", phrase.alias("phrase"), "a", "_best.l", "_best.r", "_best.score")
 
 
 def collocations(docs: DataFrame, longest: int = 3, least: int = 10, percent: int = 50, top: int = 2000, text_col: str = "text", lang_col: str = "lang", lang_default: str = "und") -> DataFrame:
@@ -426,18 +548,7 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, percent: in
     spark = docs.sparkSession
     totals, frequent, found = count_phrases(docs, longest, least, text_col, lang_col, lang_default)
     by_length = dict(enumerate(found, 2))
-    kept = []
-    for k, phrases in by_length.items():
-        scored = _scored(phrases, k, frequent, by_length)
-        inside = []
-        for longer in range(k + 1, longest + 1):
-            for start in range(1, longer - k + 2):
-                inside.append(by_length[longer].select(*(F.col(f"w{start + j}").alias(f"w{j + 1}") for j in range(k)), F.col("a").alias("held")))
-        if inside:
-            most = reduce(DataFrame.unionAll, inside).groupBy(*_columns(k)).agg(F.max("held").alias("held"))
-            scored = scored.join(most, _columns(k), "left").where(F.col("held").isNull() | (100 * F.col("held") < percent * F.col("a")))
-        kept.append(scored.select("lang", "phrase", "a", "l", "r", "score"))
-    rows = reduce(DataFrame.unionAll, kept)
+    rows = _scored(_with_counts(_mark_held(by_length, percent), frequent), longest)
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     # a language may hold most phrases: first the best of each of its shares, then of those
     share = F.pmod(F.xxhash64("phrase"), F.lit(int(spark.conf.get("spark.sql.shuffle.partitions"))))

@@ -56,6 +56,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Deletes what materialise wrote for df, once nothing reads it any more."""
+    spark, ours = df.sparkSession, f"{shared_dir(df.sparkSession)}/logloom/"
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = fs.Path(ours)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    inside = system.makeQualified(folder).toUri().getPath().rstrip("/") + "/"
+    for parent in {fs.Path(f).getParent().toString() for f in df.inputFiles()}:
+        if fs.Path(parent).toUri().getPath().startswith(inside):
+            system.delete(fs.Path(parent), True)
+
+
 def text_bytes(column: str = "text"):
     """UTF-8 bytes of a text column; null counts as empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
