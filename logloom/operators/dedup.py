@@ -13,19 +13,20 @@ def number_occurrences(df: DataFrame, key: list[str], order: list[Column], name:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
 
 
-def dedup_records(df: DataFrame, session: str, native_id: str | None, fingerprint: str, physical: list[str], order: list[Column]) -> DataFrame:
+def dedup_records(df: DataFrame, session: str, native_id: str | None, fingerprint: str, physical: list[str], order: list[Column], types: tuple[str, ...] = ()) -> DataFrame:
     """Adds identity, duplicate (a row of this identity came before) and conflict (so it did, with
     another fingerprint).
 
-    A row with a native id is that id's; one without is the n-th of its fingerprint in the
-    session, where rows at one physical place count once. Intended repeats so stay apart, while a
+    A row with a native id (an empty one is none) is that id's among the rows of its types; one
+    without is the n-th of its fingerprint in the session, where rows at one physical place count
+    once. Intended repeats so stay apart, while a
     replay from the start finds every identity again.
     """
-    native = F.col(native_id) if native_id else F.lit(None).cast("string")
+    native = F.nullif(F.col(native_id).cast("string"), F.lit("")) if native_id else F.lit(None).cast("string")
     place = Window.partitionBy(session, fingerprint, native.isNull(), *physical).orderBy(*order)
     marked = df.withColumn("_again", native.isNull() & (F.row_number().over(place) > 1))
     count = F.sum(F.when(~F.col("_again"), 1).otherwise(0)).over(Window.partitionBy(session, fingerprint, native.isNull()).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    identity = F.when(native.isNotNull(), digest(F.lit("native"), F.col(session), native)).otherwise(digest(F.lit("fallback"), F.col(session), F.col(fingerprint), count))
+    identity = F.when(native.isNotNull(), digest(F.lit("native"), F.col(session), *map(F.col, types), native)).otherwise(digest(F.lit("fallback"), F.col(session), F.col(fingerprint), count))
     same = Window.partitionBy("identity").orderBy(*order)
     out = marked.withColumn("identity", identity).withColumn("duplicate", F.row_number().over(same) > 1)
     return out.withColumn("conflict", F.col(fingerprint) != F.first(fingerprint).over(same)).drop("_again")

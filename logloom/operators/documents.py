@@ -199,7 +199,7 @@ def health(services: DataFrame, name: str, fine: Column, free_bytes: Column, res
 
 def unchecked_task(lines: DataFrame, by: list[str], line: str, text: str) -> DataFrame:
     """by and task: the first item of a task list that isn't ticked."""
-    task = F.regexp_extract(text, r"^\s*[-*+]\s+\[ \]\s+(.*\S)\s*$", 1)
+    task = F.regexp_extract(text, r"^\s*-\s+\[ \]\s+(.*\S)\s*$", 1)
     return lines.withColumn("task", task).where("task != ''").groupBy(*by).agg(F.min_by("task", line).alias("task"))
 
 

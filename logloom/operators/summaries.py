@@ -14,21 +14,21 @@ FAILED = r"失敗|未完了|中断|できません|エラー|保留"
 GENERIC = r"^(?:対応|実装|作業|修正|変更)?(?:しました|完了しました|済みです)[。.!！]?$"
 CHECKED = r"(?i)テスト|検証|確認|ビルド|コンパイル|lint|成功|通過"
 FENCED = r"(?ms)^[ \t]*```[^\r\n]*\r?\n.*?(?:^[ \t]*```[ \t]*$|\z)"
-PREFIX = r"^\s*(?:#{1,6}\s+|[-*+]\s+|\d+[.)]\s+)"
-HEADING = r"^(?:対応内容|実施内容|結果|変更内容)\s*[:：]\s*"
+PREFIX = r"(?U)^\s*(?:#{1,6}\s+|[-*+]\s+|\d+[.)]\s+)"
+HEADING = r"(?U)^(?:対応内容|実施内容|結果|変更内容)\s*[:：]\s*"
 TITLE_LENGTH, SHORT_LENGTH, DETAIL_LENGTH, ITEM_LENGTH, ITEMS = 80, 160, 500, 200, 5
 NEXT = (
-    r"(?:次に行う|次の)(?:作業|タスク)\s*(?:は|[:：])\s*[「『\"']?([^\r\n。！？!?」』\"']+)",
-    r"次\s*は\s*[「『\"']?([^\r\n。！？!?」』\"']+)",
-    r"(?i)(?:Next task|Next action)\s*[:：]\s*[\"']?([^\r\n.!?\"']+)",
+    r"(?U)(?:次に行う|次の)(?:作業|タスク)\s*(?:は|[:：])\s*[「『\"']?([^\r\n。！？!?」』\"']+)",
+    r"(?U)次\s*は\s*[「『\"']?([^\r\n。！？!?」』\"']+)",
+    r"(?iU)(?:Next task|Next action)\s*[:：]\s*[\"']?([^\r\n.!?\"']+)",
 )
 AMBIGUOUS = r"案\s*[A-Za-z0-9一二三四五六七八九十]+|提案|推奨|そのまま|それ以外|こちら|上記|前述|先ほど|問題ありません"
 TRIGGER = r"採用|とします|にします|必須|使用します|使います|取り下げ|採用しません|不要です|対応しません|固定します|変更します"
-REASON = r"^(.+?(?:ため|ので))[、,]\s*(.+)$"
-SUBJECT = r"^([^。！？!?：:]{1,100}?)(?:は|については)\s*(.+?)(?:を採用します|とします|にします|を使用します|を使います|を必須とします|で固定します)$"
+REASON = r"(?U)^(.+?(?:ため|ので))[、,]\s*(.+)$"
+SUBJECT = r"(?U)^([^。！？!?：:]{1,100}?)(?:は|については)\s*(.+?)(?:を採用します|とします|にします|を使用します|を使います|を必須とします|で固定します)$"
 CHOICE = r"^(.+?)(?:を採用します|とします|を使用します|を使います|を必須とします|で固定します)$"
 REJECTED = r"^(.+?)(?:を採用しません|は採用しません|を取り下げます|は不要です|には対応しません)$"
-DECISION_LENGTH = 200
+DECISION_LENGTH = 120
 
 
 def clean_text(c: Column) -> Column:
@@ -47,14 +47,14 @@ def plain_text(c: Column) -> Column:
 
 
 def bullets(c: Column) -> Column:
-    items = F.filter(text_lines(c), lambda x: x.rlike(r"^\s*[-*+]\s+\S"))
+    items = F.filter(text_lines(c), lambda x: x.rlike(r"(?U)^\s*[-*+]\s+\S"))
     return F.transform(items, lambda x: limit_text(stripped(F.regexp_replace(x, PREFIX, "")), ITEM_LENGTH))
 
 
 def result_sentence(text: Column, status: Column) -> Column:
     """The first sentence that tells a result of a completed turn, or the failure of a failed or
     incomplete one, and is no generic phrase; null without any."""
-    cut = F.transform(F.split(plain_text(text), r"(?<=[。！？!?])\s+|[\r\n]+"), stripped)
+    cut = F.transform(F.split(plain_text(text), r"(?U)(?<=[。！？!?])\s+|[\r\n]+"), stripped)
     told = F.filter(cut, lambda s: (s != "") & ~s.rlike(GENERIC))
     good, bad = F.filter(told, lambda s: s.rlike(DONE) & s.rlike(RESULT)), F.filter(told, lambda s: s.rlike(FAILED))
     return F.when(status == "completed", F.try_element_at(good, F.lit(1))).when(status.isin("failed", "incomplete"), F.try_element_at(bad, F.lit(1)))
@@ -195,14 +195,6 @@ def valid_results(results: Column, allowed: Column) -> Column:
     return F.filter(results, lambda r: F.coalesce(fine(r), F.lit(False)))
 
 
-def needs_inference(turns: DataFrame, changed: str, text: str, lexicon: tuple[str, ...] = ("ok", "thanks", "thank you", "yes", "no", "continue")) -> DataFrame:
-    """Adds route: skip for a turn that changed nothing and only says a phrase of the lexicon in at
-    most 120 characters, else infer."""
-    bare = stripped(F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}\p{N} ]", ""))
-    trivial = ~F.coalesce(F.col(changed), F.lit(False)) & (F.length(text) <= 120) & bare.isin(*lexicon)
-    return turns.withColumn("route", F.when(trivial, "skip").otherwise("infer"))
-
-
 def within_calls(pending: DataFrame, order: list[Column], calls: int, by: list[str]) -> DataFrame:
     """Adds deferred: whether a row lies beyond the first `calls` of its run."""
     return pending.withColumn("deferred", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) > calls)

@@ -23,6 +23,15 @@ AUTOMATIC = (
 TOOL_RUN, TOOL_RESULT, UNKNOWN_TOOL = "ツールを実行: ", "ツール結果を受信", "不明なツール"
 
 
+#: A row's place in its session, which may go over several files: by time, then file and offset.
+PLACE = ("at", "source_path", "start_offset")
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """rows with their place as one value that sorts."""
+    return rows.withColumn("place", F.struct(*PLACE))
+
+
 def without_prefixes(text: Column) -> Column:
     return F.regexp_replace(text, rf"\A(?:\s*(?:{'|'.join(AUTOMATIC)})\s*)+", "")
 
@@ -50,7 +59,7 @@ def chat_messages(rows: DataFrame) -> DataFrame:
     before becomes an empty reference to its first. Tool calls are messages with the status of
     their last completion; an output without its call is one of its own.
     """
-    place = [F.col("source_path"), F.col("start_offset")]
+    place = [F.col(c) for c in PLACE]
     part = "array<struct<kind:string,text:string>>"
     slim = F.transform(F.filter("content", lambda p: p["text"].isNotNull()), lambda p: F.struct(p["kind"].alias("kind"), p["text"].alias("text"))).cast(part)
     said = rows.where(F.col("category") == "message").withColumn("digest", content_digest(F.col("content")))
@@ -79,15 +88,15 @@ def tool_messages(rows: DataFrame) -> DataFrame:
     """Messages of tool calls and of outputs without a call before them, in the columns that the
     timeline takes: a text, the status of the last completion with its duration, the call's id."""
     none = F.lit(None).cast("string")
-    tools = rows.withColumn("call_id", F.try_element_at("texts", F.lit("call_id")))
+    tools = placed(rows).withColumn("call_id", F.try_element_at("texts", F.lit("call_id")))
     calls = tools.where("subtype = 'tool_call'")
-    ends = tools.where("call_id is not null and subtype in ('tool_output', 'mcp_tool_completed', 'patch_result')").select("session_id", "call_id", "start_offset", "succeeded", F.col("duration_s").cast("string").alias("duration"))
-    heads = calls.where("call_id is not null").select("session_id", "call_id", F.col("start_offset").alias("call_offset"))
-    met = attach_latest(ends, heads, ["session_id", "call_id"], "start_offset", "call_offset", ["call_offset"], "semi")
+    ends = tools.where("call_id is not null and subtype in ('tool_output', 'mcp_tool_completed', 'patch_result')").select("session_id", "call_id", "place", "succeeded", F.col("duration_s").cast("string").alias("duration"))
+    heads = calls.where("call_id is not null").select("session_id", "call_id", F.col("place").alias("call_place"))
+    met = attach_latest(ends, heads, ["session_id", "call_id"], "place", "call_place", ["call_place"], "semi")
     status = F.when(F.col("succeeded"), "succeeded").when(~F.col("succeeded"), "failed").otherwise("result_received")
-    durations = F.transform(F.array_sort(F.collect_list(F.when(F.col("duration").isNotNull(), F.struct("start_offset", "duration")))), lambda x: x["duration"])
-    last = met.groupBy("session_id", "call_id", "call_offset").agg(F.max_by(status, "start_offset").alias("status"), durations.alias("durations"))
-    joined = calls.join(last, (calls.session_id == last.session_id) & (calls.call_id == last.call_id) & (calls.start_offset == last.call_offset), "left").drop(last.session_id, last.call_id, last.call_offset)
+    durations = F.transform(F.array_sort(F.collect_list(F.when(F.col("duration").isNotNull(), F.struct("place", "duration")))), lambda x: x["duration"])
+    last = met.groupBy("session_id", "call_id", "call_place").agg(F.max_by(status, "place").alias("status"), durations.alias("durations"))
+    joined = calls.join(last, (calls.session_id == last.session_id) & (calls.call_id == last.call_id) & (calls.place == last.call_place), "left").drop(last.session_id, last.call_id, last.call_place)
     part = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
     ident = F.when(F.col("call_id").isNotNull(), F.array(part("call_id", F.col("call_id")))).otherwise(F.array().cast("array<struct<kind:string,text:string>>"))
     name = F.coalesce(F.try_element_at("texts", F.lit("tool")), F.lit(UNKNOWN_TOOL))
@@ -105,25 +114,25 @@ def tool_messages(rows: DataFrame) -> DataFrame:
 def tool_calls(rows: DataFrame) -> DataFrame:
     """Every tool call with its last completion: session_id, call_id, tool, called_at, status
     (result_received, succeeded, failed or called), n_completions."""
-    tools = rows.withColumn("call_id", F.try_element_at("texts", F.lit("call_id"))).where("call_id is not null")
-    calls = tools.where("subtype = 'tool_call'").select("session_id", "call_id", F.try_element_at("texts", F.lit("tool")).alias("tool"), F.col("at").alias("called_at"), F.col("start_offset").alias("call_offset"))
-    ends = tools.where("subtype in ('tool_output', 'mcp_tool_completed', 'patch_result')").select("session_id", "call_id", "start_offset", "subtype", "succeeded")
-    attached = attach_latest(ends, calls, ["session_id", "call_id"], "start_offset", "call_offset", ["call_offset"], "semi")
+    tools = placed(rows).withColumn("call_id", F.try_element_at("texts", F.lit("call_id"))).where("call_id is not null")
+    calls = tools.where("subtype = 'tool_call'").select("session_id", "call_id", F.try_element_at("texts", F.lit("tool")).alias("tool"), F.col("at").alias("called_at"), F.col("place").alias("call_place"))
+    ends = tools.where("subtype in ('tool_output', 'mcp_tool_completed', 'patch_result')").select("session_id", "call_id", "place", "subtype", "succeeded")
+    attached = attach_latest(ends, calls, ["session_id", "call_id"], "place", "call_place", ["call_place"], "semi")
     status = F.when(F.col("subtype") == "tool_output", "result_received").when(F.col("succeeded"), "succeeded").otherwise("failed")
-    last = attached.groupBy("session_id", "call_id", "call_offset").agg(F.max_by(status, "start_offset").alias("status"), F.count("*").alias("n_completions"))
-    out = calls.join(last, ["session_id", "call_id", "call_offset"], "left")
+    last = attached.groupBy("session_id", "call_id", "call_place").agg(F.max_by(status, "place").alias("status"), F.count("*").alias("n_completions"))
+    out = calls.join(last, ["session_id", "call_id", "call_place"], "left")
     return out.select("session_id", "call_id", "tool", "called_at", F.coalesce("status", F.lit("called")).alias("status"), F.coalesce("n_completions", F.lit(0)).alias("n_completions"))
 
 
 def orphan_outputs(rows: DataFrame) -> DataFrame:
     """Outputs without an earlier call of their id; they stand for themselves."""
-    tools = rows.withColumn("call_id", F.try_element_at("texts", F.lit("call_id")))
-    calls = tools.where("subtype = 'tool_call'").select("session_id", "call_id", F.col("start_offset").alias("call_offset"))
-    return attach_latest(tools.where("subtype = 'tool_output'"), calls, ["session_id", "call_id"], "start_offset", "call_offset", ["call_offset"], "anti")
+    tools = placed(rows).withColumn("call_id", F.try_element_at("texts", F.lit("call_id")))
+    calls = tools.where("subtype = 'tool_call'").select("session_id", "call_id", F.col("place").alias("call_place"))
+    return attach_latest(tools.where("subtype = 'tool_output'"), calls, ["session_id", "call_id"], "place", "call_place", ["call_place"], "anti")
 
 
 def turn_rows(rows: DataFrame) -> DataFrame:
-    """Turn events for operators.turns: session_id, turn_id, start_offset, kind, num_turns."""
+    """Turn events for operators.turns: session_id, turn_id, PLACE, kind, num_turns."""
     kind = F.when(F.col("source_payload_type") == "task_started", "start").when(F.col("source_payload_type") == "task_complete", "complete").when(F.col("source_payload_type") == "turn_aborted", "abort").when(F.col("subtype") == "thread_rolled_back", "rollback")
     found = rows.where("category = 'turn'").withColumn("kind", kind).where("kind is not null")
-    return found.select("session_id", "turn_id", "start_offset", "at", "kind", F.coalesce(F.try_element_at("numbers", F.lit("num_turns")), F.lit(0)).cast("int").alias("num_turns"))
+    return found.select("session_id", "turn_id", *PLACE, "kind", F.coalesce(F.try_element_at("numbers", F.lit("num_turns")), F.lit(0)).cast("int").alias("num_turns"))

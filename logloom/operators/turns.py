@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -67,57 +68,105 @@ def recent_turns(turns: DataFrame, session: str, order: str, done: int = 2) -> D
 
 
 TURNS = "turn_id string, number long, status string, reason string, start_at long, end_at long, rolled_back boolean"
+#: What a turn is after an event of its own.
+AFTER = {"start": "in_progress", "complete": "completed", "abort": "failed"}
 
 
-def turns_by_id(events: DataFrame, session: str, order: str, turn_id: str, kind: str, count: str | None = None, reason: str | None = None) -> DataFrame:
+class TurnFold:
+    """The turns of one session, event by event in order.
+
+    turns: by id, numbered as they first appear. open: the id of the turn that runs. standing: the
+    numbers of ended turns that no rollback has undone, rising, which is what a rollback takes from.
+    """
+
+    def __init__(self, turns: dict[str, dict] | None = None, open_: str | None = None):
+        self.turns, self.open = turns or {}, open_
+        self.names = list(self.turns)
+        self.standing = [t["number"] for t in self.turns.values() if t["end_at"] is not None and not t["rolled_back"]]
+
+    def apply(self, kind: str, ident: str, at: int, count: int | None = None, reason: str | None = None) -> list[str]:
+        """Takes one event in; returns the ids of the turns that it changes."""
+        if kind == "rollback":
+            kept = max(0, len(self.standing) - max(count or 0, 0))
+            undone = [self.names[n - 1] for n in self.standing[kept:]]
+            del self.standing[kept:]
+            for name in undone:
+                self.turns[name]["rolled_back"] = True
+            return undone
+        changed = [ident]
+        if kind == "start" and self.open not in (None, ident):
+            changed.append(self.open)
+            self._set(self.open, "incomplete", at, "superseded_by_new_turn")
+        self._set(ident, AFTER[kind], at, reason)
+        return changed
+
+    def _set(self, ident: str, status: str, at: int, reason: str | None) -> None:
+        runs = status == "in_progress"
+        if ident not in self.turns:
+            self.names.append(ident)
+            self.turns[ident] = {"number": len(self.names), "status": status, "reason": None, "start_at": at, "end_at": None, "rolled_back": False}
+        turn = self.turns[ident]
+        turn["status"], turn["end_at"] = status, None if runs else at
+        if not runs:
+            turn["reason"] = reason
+        place = bisect.bisect_left(self.standing, turn["number"])
+        listed = self.standing[place : place + 1] == [turn["number"]]
+        if listed and runs:
+            del self.standing[place]
+        elif not listed and not runs and not turn["rolled_back"]:
+            self.standing.insert(place, turn["number"])
+        if runs:
+            self.open = ident
+        elif self.open == ident:
+            self.open = None
+
+
+def turn_events(events: DataFrame, session: str, order: str | list[str], turn_id: str, kind: str, count: str | None = None, reason: str | None = None) -> DataFrame:
+    """session, at, id, kind, count, reason of the rows that turns_by_id takes. A row without a turn
+    id gets one of its session and place."""
+    places = [order] if isinstance(order, str) else order
+    ident = F.coalesce(F.col(turn_id).cast("string"), F.concat(F.lit("turn_"), F.sha2(F.concat_ws("\0", F.col(session).cast("string"), *(F.col(c).cast("string") for c in places)), 256)))
+    used = events.where(F.col(kind).isin(*AFTER, "rollback"))
+    # several columns of an order become one number
+    at = F.col(order).cast("long") if isinstance(order, str) else F.row_number().over(Window.partitionBy(session).orderBy(*order)).cast("long")
+    none = F.lit(None)
+    return used.select(
+        F.col(session).alias("session"), at.alias("at"), ident.alias("id"), F.col(kind).alias("kind"),
+        (none if count is None else F.col(count)).cast("long").alias("count"), (none if reason is None else F.col(reason)).cast("string").alias("reason"),
+    )
+
+
+def turns_by_id(events: DataFrame, session: str, order: str | list[str], turn_id: str, kind: str, count: str | None = None, reason: str | None = None) -> DataFrame:
     """One row a turn of a session: session and TURNS, numbered as they first appear.
 
     kind is start, complete, abort or rollback; other rows are passed over. A start opens a turn,
     or opens it again; a turn still open is then incomplete, superseded by the new one. An end
     closes its own turn, whichever is open, and makes one if it has none. A rollback undoes the
     last `count` turns, as numbered, that are closed by then and not undone yet; one undone stays
-    so. A row without a turn id is a turn of its own.
+    so. A row without a turn id is a turn of its own. order: a number, or several columns such as
+    (time, path, offset) for a session of several files; start_at and end_at are then places in
+    that order.
 
     Rows are sorted by session and order and read as they come: what a task holds are the turns of
     one session, not its rows.
     """
-    ident = F.coalesce(F.col(turn_id).cast("string"), F.concat(F.lit("turn_"), F.sha2(F.concat_ws("\0", F.col(session).cast("string"), F.col(order).cast("string")), 256)))
-    none = F.lit(None)
-    used = events.where(F.col(kind).isin("start", "complete", "abort", "rollback")).select(
-        F.col(session).alias("session"), F.col(order).cast("long").alias("at"), ident.alias("id"), F.col(kind).alias("kind"),
-        (none if count is None else F.col(count)).cast("long").alias("count"), (none if reason is None else F.col(reason)).cast("string").alias("reason"),
-    )
+    used = turn_events(events, session, order, turn_id, kind, count, reason)
     key = events.schema[session].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, turns, open_ = object(), {}, None
+        now, fold, made = object(), TurnFold(), None
 
         def shut() -> Iterator[pa.RecordBatch]:
-            if turns:
-                rows = [{"session": now, "turn_id": t, "number": n, **turn} for n, (t, turn) in enumerate(turns.items(), 1)]
-                yield pa.RecordBatch.from_pylist(rows, schema=made)
+            if fold.turns:
+                yield pa.RecordBatch.from_pylist([{"session": now, "turn_id": t, **turn} for t, turn in fold.turns.items()], schema=made)
 
-        made = None
         for batch in batches:
             made = made or pa.schema([("session", batch.schema.field("session").type), ("turn_id", pa.string()), ("number", pa.int64()), ("status", pa.string()), ("reason", pa.string()), ("start_at", pa.int64()), ("end_at", pa.int64()), ("rolled_back", pa.bool_())])
             for row in batch.to_pylist():
                 if row["session"] != now:
                     yield from shut()
-                    now, turns, open_ = row["session"], {}, None
-                if row["kind"] == "rollback":
-                    closed = [t for t in turns.values() if t["end_at"] is not None and t["end_at"] < row["at"] and not t["rolled_back"]]
-                    for turn in closed[-row["count"] :] if (row["count"] or 0) > 0 else []:
-                        turn["rolled_back"] = True
-                    continue
-                if row["kind"] == "start" and open_ not in (None, row["id"]):
-                    turns[open_] |= {"status": "incomplete", "reason": "superseded_by_new_turn", "end_at": row["at"]}
-                turn = turns.setdefault(row["id"], {"status": "in_progress", "reason": None, "start_at": row["at"], "end_at": None, "rolled_back": False})
-                if row["kind"] == "start":
-                    turn |= {"status": "in_progress", "end_at": None}
-                    open_ = row["id"]
-                else:
-                    turn |= {"status": "completed" if row["kind"] == "complete" else "failed", "reason": row["reason"], "end_at": row["at"]}
-                    open_ = None if open_ == row["id"] else open_
+                    now, fold = row["session"], TurnFold()
+                fold.apply(row["kind"], row["id"], row["at"], row["count"], row["reason"])
         yield from shut()
 
     found = used.repartition("session").sortWithinPartitions("session", "at").mapInArrow(run, f"session {key}, {TURNS}")

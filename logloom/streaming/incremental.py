@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from logloom.functions.redaction import assert_masked, redact_parts
+from logloom.functions.redaction import assert_masked, redact, redact_parts
 from logloom.operators.dedup import dedup_records
 from logloom.operators.normalize import fingerprinted, normalize
 from logloom.sources.jsonl import CURSORS, read_log
@@ -36,22 +36,33 @@ def cursors_of(spark: SparkSession, state: str) -> DataFrame:
     return spark.read.schema(CURSORS).parquet(f"{state}/cursors/version={version}") if version else spark.createDataFrame([], CURSORS)
 
 
+def checked(rows: DataFrame) -> DataFrame:
+    """rows with is_masked, which a part without its list of redactions, or one that the detectors
+    would still change, makes false; such a row stops the job."""
+    parts = rows.schema["content"].dataType.elementType
+    if "redactions" in parts.names:
+        masked = F.forall("content", lambda p: p["redactions"].isNotNull() & F.coalesce(redact(p["text"]) == p["text"], F.lit(True)))
+    else:
+        masked = F.size("content") == 0
+    rows = rows.withColumn("is_masked", F.coalesce(masked, F.lit(True)))
+    return rows.withColumn("is_masked", assert_masked(F.col("is_masked"), F.col("is_masked")))
+
+
 def run_once(spark: SparkSession, live: str, state: str, archive: str | None = None, session=None) -> int:
     """Reads what the logs gained since the last committed run; returns the run's version. session
     is a Column that names a row's session, by default its file."""
     version = _committed(spark, state) + 1
     records, cursors = read_log(spark, live, archive, cursors_of(spark, state))
     rows = normalize(records).withColumn("session_id", session if session is not None else F.substring(F.sha2("source_path", 256), 1, 16))
-    rows = fingerprinted(rows.withColumn("content", redact_parts(F.col("content"))).withColumn("is_masked", F.lit(True)))
-    rows = rows.withColumn("fingerprint", assert_masked(F.col("is_masked"), F.col("fingerprint")))
+    rows = fingerprinted(checked(rows.withColumn("content", redact_parts(F.col("content")))))
     # earlier rows of the same sessions count the occurrences before; they aren't written again
     known = rows_of(spark, state)
-    place = [F.col("_old").desc(), F.col("source_path"), F.col("start_offset")]
+    place = [F.col("_old").desc(), F.col("at"), F.col("source_path"), F.col("start_offset")]
     new = rows.withColumn("_old", F.lit(0))
     if known is not None:
         same = known.drop("identity", "duplicate", "conflict").withColumn("_old", F.lit(1))
         new = new.unionByName(same.join(new.select("session_id").distinct(), "session_id", "left_semi"))
-    unique = dedup_records(new, "session_id", "source_id", "fingerprint", ["source_path", "start_offset"], place)
+    unique = dedup_records(new, "session_id", "source_id", "fingerprint", ["source_path", "start_offset"], place, ("source_record_type", "source_payload_type"))
     unique.where("_old = 0 and not duplicate").drop("_old").write.mode("overwrite").parquet(f"{state}/rows/version={version}")
     cursors.write.mode("overwrite").parquet(f"{state}/cursors/version={version}")
     spark.createDataFrame([(version,)], "version long").write.mode("append").parquet(f"{state}/commits")
@@ -63,11 +74,15 @@ def stream_latest(events: DataFrame, key: str, at: str, late: str = "10 minutes"
     return events.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
 
 
-def upsert_batch(target: str, key: list[str]):
+def upsert_batch(target: str, key: list[str], order: list[str] | None = None):
     """A foreachBatch function: each micro-batch is one folder by its number, so that a batch that
-    is repeated overwrites itself and counts once. Read by latest_rows, where later batches win."""
+    is repeated overwrites itself and counts once. Read by latest_rows, where later batches win.
+    Of a key's rows in a batch the last by order stays, of equal ones the greatest row, so that a
+    repeated batch keeps the same."""
     def write(batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates(key).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        whole = F.struct(*[F.col(c) for c in [*(order or []), *batch.columns]])
+        last = batch.groupBy(*key).agg(F.max_by(F.struct(*batch.columns), whole).alias("_row"))
+        last.select("_row.*").write.mode("overwrite").parquet(f"{target}/batch={number}")
     return write
 
 
