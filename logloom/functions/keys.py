@@ -121,3 +121,16 @@ def safe_path(c: Column) -> Column:
 
 def safe_identifier(c: Column) -> Column:
     return F.coalesce(c.rlike(r"^[A-Za-z0-9][A-Za-z0-9._-]{0,127}$"), F.lit(False))
+
+
+def sum_of_hex(c: Column) -> Column:
+    """An aggregate: the sum modulo 2**256 of 64-digit hexadecimal numbers, as such a number; nulls
+    are passed over, and no row gives zero. Eight sums of 32 bits merge in any order; carries are
+    taken once at the end. A sum may have 2**31 rows."""
+    limbs = [F.coalesce(F.sum(F.conv(F.substring(c, 57 - 8 * k, 8), 16, 10).cast("long")), F.lit(0).cast("long")) for k in range(8)]  # lowest first
+    text, carry = [], F.lit(0).cast("long")
+    for limb in limbs:
+        total = limb + carry
+        text.insert(0, F.lpad(F.lower(F.hex(F.pmod(total, F.lit(1 << 32)))), 8, "0"))
+        carry = F.shiftright(total, 32)
+    return F.concat(*text)

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.functions.keys import safe_identifier, safe_path
+from logloom.functions.keys import safe_identifier, safe_path, sum_of_hex
 
 CHUNK_BYTES = 262_144
 
@@ -83,10 +85,56 @@ def receive(receipts: DataFrame, incoming: DataFrame) -> DataFrame:
     return rows.select("delivery_id", "body_sha256", F.when(F.col("body_sha256") != expected, "conflict").when(F.col("_known").isNotNull(), "repeated").otherwise("new").alias("state"))
 
 
-def publish(documents: DataFrame, root: str, workspace: str, snapshot: str) -> None:
-    """Writes documents (path, body) as a version, then the pointer row that makes it current. The
-    same version written again replaces what is there, so that a broken attempt can be repeated;
-    documents with issues stop it."""
+class Conflict(Exception):
+    """Another writer was first."""
+
+
+def create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Makes a file with a text, whole or not at all; False if there is one already. The text is
+    written beside it and renamed, which fails where the name is taken."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(conf)
+    system.mkdirs(target.getParent())
+    beside = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}.{uuid.uuid4().hex}")
+    out = system.create(beside, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri() if target.toUri().getScheme() else system.getUri(), conf)
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        context.rename(system.makeQualified(beside), system.makeQualified(target), options)
+        return True
+    except Py4JJavaError as e:
+        system.delete(beside, False)
+        if "FileAlreadyExists" in str(e.java_exception.getClass().getName()) or system.exists(target):
+            return False
+        raise
+
+
+def manifest_of(documents: DataFrame) -> DataFrame:
+    """path, bytes, sha256 of documents (path, body)."""
+    return documents.select("path", F.octet_length("body").alias("bytes"), F.sha2("body", 256).alias("sha256"))
+
+
+def manifest_digest(manifest: DataFrame) -> tuple[int, int, str]:
+    """(files, bytes, digest): the digest is the sum of the rows' own digests modulo 2**256, so it
+    needs no order and no row collects the others."""
+    row = F.sha2(F.concat_ws("\0", "path", F.col("bytes").cast("string"), "sha256"), 256)
+    found = manifest.agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), sum_of_hex(row).alias("digest")).first()
+    return found.n, found.bytes, found.digest
+
+
+def publish(documents: DataFrame, root: str, workspace: str, snapshot: str, expected: int | None = None) -> int:
+    """Writes documents (path, body) as a version, reads it back against their manifest, then moves
+    the pointer that makes it current; returns the pointer's number.
+
+    The pointer is a numbered file that can be made once: of two writers that saw the same number
+    (expected, or what is there now) one gets Conflict. A broken attempt can be repeated; what is
+    current already is not published again. Documents with issues, and a version that reads back
+    otherwise than it was written, stop it.
+    """
     spark = documents.sparkSession
     names = spark.createDataFrame([(workspace, snapshot)], "w string, s string").select(safe_identifier(F.col("w")) & safe_identifier(F.col("s"))).first()
     if not names[0]:
@@ -94,20 +142,39 @@ def publish(documents: DataFrame, root: str, workspace: str, snapshot: str) -> N
     issues = document_issues(documents, "path", "body", workspace, snapshot).limit(5).collect()
     if issues:
         raise ValueError(f"documents with issues: {issues}")
-    full = documents.select("path", "body", F.octet_length("body").alias("bytes"), F.sha2("body", 256).alias("sha256"))
-    full.write.mode("overwrite").parquet(f"{root}/versions/workspace={workspace}/snapshot={snapshot}")
-    last = pointers(spark, root).where(F.col("workspace") == workspace).agg(F.max("sequence")).first()[0] or 0
-    spark.createDataFrame([(workspace, snapshot, last + 1)], POINTER).coalesce(1).write.mode("append").parquet(f"{root}/pointers")
-
-
-POINTER = "workspace string, snapshot string, sequence long"
+    last = pointers(spark, root).where(F.col("workspace") == workspace).orderBy(F.desc("sequence")).first()
+    number = last.sequence if last else 0
+    if expected is not None and expected != number:
+        raise Conflict(f"pointer {number} of {workspace} is current, not {expected}")
+    wanted = manifest_digest(manifest_of(documents))
+    if last and (last.snapshot, last.digest) == (snapshot, wanted[2]):
+        return number
+    # a folder of its own, so that another writer of this name, or a reader, isn't disturbed
+    version = f"versions/workspace={workspace}/snapshot={snapshot}/{wanted[2][:16]}-{uuid.uuid4().hex[:8]}"
+    documents.select("path", "body", F.octet_length("body").alias("bytes"), F.sha2("body", 256).alias("sha256")).write.parquet(f"{root}/{version}")
+    verify_version(spark, f"{root}/{version}", wanted)
+    pointer = {"workspace": workspace, "snapshot": snapshot, "sequence": number + 1, "version": version, "files": wanted[0], "bytes": wanted[1], "digest": wanted[2]}
+    if not create_once(spark, f"{root}/pointers/{workspace}/{number + 1:020d}.json", json.dumps(pointer)):
+        raise Conflict(f"pointer {number + 1} of {workspace} was made by another writer")
+    return number + 1
+
+
+def verify_version(spark: SparkSession, path: str, wanted: tuple[int, int, str]) -> None:
+    """Stops unless the documents stored at path have this manifest, by their own bytes."""
+    stored = spark.read.parquet(path)
+    found = manifest_digest(manifest_of(stored))
+    if found != tuple(wanted):
+        raise ValueError(f"what is stored at {path} isn't what was to be: {found}, not {tuple(wanted)}")
+
+
+POINTER = "workspace string, snapshot string, sequence long, version string, files long, bytes long, digest string"
 
 
 def pointers(spark: SparkSession, root: str) -> DataFrame:
     from pyspark.errors import AnalysisException
 
     try:
-        return spark.read.schema(POINTER).parquet(f"{root}/pointers")
+        return spark.read.schema(POINTER).json(f"{root}/pointers/*/*.json")
     except AnalysisException:
         return spark.createDataFrame([], POINTER)
 
@@ -119,10 +186,10 @@ def current(spark: SparkSession, root: str) -> DataFrame:
 
 def read_current(spark: SparkSession, root: str, workspace: str) -> DataFrame:
     """The documents of a workspace's current snapshot."""
-    row = current(spark, root).where(F.col("workspace") == workspace).first()
+    row = pointers(spark, root).where(F.col("workspace") == workspace).orderBy(F.desc("sequence")).first()
     if row is None:
         raise KeyError(workspace)
-    return spark.read.parquet(f"{root}/versions/workspace={workspace}/snapshot={row['snapshot']}")
+    return spark.read.parquet(f"{root}/{row.version}")
 
 
 def changed_bodies(documents: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -15,7 +15,9 @@ from pyspark.sql.utils import AnalysisException
 from logloom.functions.redaction import assert_masked, redact, redact_parts
 from logloom.operators.dedup import dedup_records
 from logloom.operators.normalize import fingerprinted, normalize
-from logloom.sources.jsonl import CURSORS, read_log
+from logloom.sources.jsonl import CURSORS, parse_lines, read_log
+from logloom.sources.ranges import stream_lines
+from logloom.streaming.stateful import stream_identities
 
 
 def _committed(spark: SparkSession, state: str) -> int:
@@ -36,6 +38,17 @@ def cursors_of(spark: SparkSession, state: str) -> DataFrame:
     return spark.read.schema(CURSORS).parquet(f"{state}/cursors/version={version}") if version else spark.createDataFrame([], CURSORS)
 
 
+#: What tells native ids of one session apart.
+TYPES = ("source_record_type", "source_payload_type")
+
+
+def prepared(records: DataFrame, session=None) -> DataFrame:
+    """Normalized, masked and fingerprinted rows of records, with session_id: session, a Column, or
+    by default one of each file."""
+    rows = normalize(records).withColumn("session_id", session if session is not None else F.substring(F.sha2("source_path", 256), 1, 16))
+    return fingerprinted(checked(rows.withColumn("content", redact_parts(F.col("content")))))
+
+
 def checked(rows: DataFrame) -> DataFrame:
     """rows with is_masked, which a part without its list of redactions, or one that the detectors
     would still change, makes false; such a row stops the job."""
@@ -53,8 +66,7 @@ def run_once(spark: SparkSession, live: str, state: str, archive: str | None = N
     is a Column that names a row's session, by default its file."""
     version = _committed(spark, state) + 1
     records, cursors = read_log(spark, live, archive, cursors_of(spark, state))
-    rows = normalize(records).withColumn("session_id", session if session is not None else F.substring(F.sha2("source_path", 256), 1, 16))
-    rows = fingerprinted(checked(rows.withColumn("content", redact_parts(F.col("content")))))
+    rows = prepared(records, session)
     # earlier rows of the same sessions count the occurrences before; they aren't written again
     known = rows_of(spark, state)
     place = [F.col("_old").desc(), F.col("at"), F.col("source_path"), F.col("start_offset")]
@@ -62,13 +74,26 @@ def run_once(spark: SparkSession, live: str, state: str, archive: str | None = N
     if known is not None:
         same = known.drop("identity", "duplicate", "conflict").withColumn("_old", F.lit(1))
         new = new.unionByName(same.join(new.select("session_id").distinct(), "session_id", "left_semi"))
-    unique = dedup_records(new, "session_id", "source_id", "fingerprint", ["source_path", "start_offset"], place, ("source_record_type", "source_payload_type"))
+    unique = dedup_records(new, "session_id", "source_id", "fingerprint", ["source_path", "start_offset"], place, TYPES)
     unique.where("_old = 0 and not duplicate").drop("_old").write.mode("overwrite").parquet(f"{state}/rows/version={version}")
     cursors.write.mode("overwrite").parquet(f"{state}/cursors/version={version}")
     spark.createDataFrame([(version,)], "version long").write.mode("append").parquet(f"{state}/commits")
     return version
 
 
+def follow(spark: SparkSession, live: str, state: str, session=None) -> None:
+    """Reads what the logs below live gained and appends its rows to `state`/rows, each identity
+    once, then ends; called again it goes on from there. What is read is behind the last run's end
+    alone, and no earlier row is read or joined: identities are kept state. A file that was changed
+    comes again as a whole, without counting twice."""
+    lines = stream_lines(spark, live).withColumn("line_number", F.lit(None).cast("long"))
+    rows = prepared(parse_lines(lines), session)
+    kind = rows.schema
+    judged = stream_identities(rows.withColumn("_row", F.to_json(F.struct(*rows.columns))), "session_id", "source_id", "fingerprint", "source_path", "start_offset", "at", TYPES, "_row")
+    kept = judged.where("not duplicate").select(F.from_json("_row", kind).alias("_row"), "identity").select("_row.*", "identity")
+    kept.writeStream.format("parquet").option("path", f"{state}/rows").option("checkpointLocation", f"{state}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+
 def stream_latest(events: DataFrame, key: str, at: str, late: str = "10 minutes") -> DataFrame:
     """A streaming DataFrame without the repeats of a key that arrive within the given delay."""
     return events.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
