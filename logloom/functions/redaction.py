@@ -55,16 +55,29 @@ def redact(c: Column, detectors: list[Detector] = DETECTORS) -> Column:
     return c
 
 
-def redactions(c: Column, detectors: list[Detector] = DETECTORS) -> Column:
-    """array<struct<detector, type, n>> of the detectors that mask something in the text, and of the
-    marks that it has already."""
-    found, left = [], c
-    if detectors is DETECTORS:
-        found = [F.struct(F.lit(EXISTING).alias("detector"), F.lit(kind).alias("type"), marks_left(c, kind).alias("n")) for kind in KINDS]
+def masked(c: Column, detectors: list[Detector] = DETECTORS) -> Column:
+    """struct<text, redactions>: the masked text, and array<struct<detector, type, n>> of the
+    detectors that mask something in it, and of the marks that it has already.
+
+    Each detector sees what those before it left. The text on the way is bound once a step, as the
+    one element of an array, so that the expression grows by a step with each detector and no
+    replacement is done twice.
+    """
+    entry = lambda name, kind, n: F.struct(F.lit(name).alias("detector"), F.lit(kind).alias("type"), n.alias("n"))
+    found = F.array(*(entry(EXISTING, kind, marks_left(c, kind)) for kind in KINDS)) if detectors is DETECTORS else F.array().cast("array<struct<detector:string,type:string,n:int>>")
+    steps = F.array(F.struct(c.alias("text"), found.alias("found")))
+    def step(d: Detector):
+        return lambda s: F.struct(redact(s["text"], [d]).alias("text"), F.array_append(s["found"], entry(d.name, d.kind, F.regexp_count(s["text"], F.lit(d.pattern)))).alias("found"))
+
     for d in detectors:
-        found.append(F.struct(F.lit(d.name).alias("detector"), F.lit(d.kind).alias("type"), F.regexp_count(left, F.lit(d.pattern)).alias("n")))
-        left = redact(left, [d])
-    return F.filter(F.array(*found), lambda x: x["n"] > 0)
+        steps = F.transform(steps, step(d))
+    last = F.transform(steps, lambda s: F.struct(s["text"].alias("text"), F.filter(s["found"], lambda x: x["n"] > 0).alias("redactions")))
+    return F.element_at(last, 1)
+
+
+def redactions(c: Column, detectors: list[Detector] = DETECTORS) -> Column:
+    """array<struct<detector, type, n>> as of masked."""
+    return masked(c, detectors)["redactions"]
 
 
 def marks_left(c: Column, kind: str) -> Column:
@@ -74,7 +87,8 @@ def marks_left(c: Column, kind: str) -> Column:
 
 def redact_parts(parts: Column) -> Column:
     """The same for content, array<struct<kind, text, source_type>>; adds each part's redactions."""
-    return F.transform(parts, lambda p: F.struct(p["kind"].alias("kind"), redact(p["text"]).alias("text"), p["source_type"].alias("source_type"), redactions(p["text"]).alias("redactions")))
+    both = F.transform(parts, lambda p: F.struct(p["kind"].alias("kind"), masked(p["text"]).alias("m"), p["source_type"].alias("source_type")))
+    return F.transform(both, lambda p: F.struct(p["kind"].alias("kind"), p["m"]["text"].alias("text"), p["source_type"].alias("source_type"), p["m"]["redactions"].alias("redactions")))
 
 
 def assert_masked(is_masked: Column, value: Column) -> Column:

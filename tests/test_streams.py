@@ -130,6 +130,17 @@ def test_following_logs_equals_runs_over_them(spark, tmp_path):
     assert got == want and len(got) == 4 and "hunter2" not in str(got)
 
 
+def test_rows_that_were_not_masked_stop_the_job(spark):
+    plain = spark.createDataFrame([([("text", "password=hunter2abc")],), (None,)], "content array<struct<kind:string,text:string>>")
+    with pytest.raises(Exception, match="isn't masked"):
+        incremental.checked(plain).collect()
+    half = spark.createDataFrame([([("text", "x", [1]), ("text", "y", None)],)], "content array<struct<kind:string,text:string,redactions:array<int>>>")
+    with pytest.raises(Exception, match="isn't masked"):
+        incremental.checked(half).collect()
+    fine = half.withColumn("content", F.slice("content", 1, 1))
+    assert [r.is_masked for r in incremental.checked(fine).collect()] == [True]
+
+
 # --- identities and turns ---
 
 
