@@ -47,12 +47,9 @@ class Graph:
         self.space = self.vectors.astype(np.float32)
 
     def search(self, queries: np.ndarray, breadth: int = BREADTH) -> np.ndarray:
-        """A row a query of the nodes found near it, -1 for none; all nodes of a graph of no more
-        than breadth. The queries go down the upper layers one by one and search the lowest
+        """A row a query of the nodes found near it, -1 for none. The queries go down the upper layers one by one and search the lowest
         together: in each step every query expands its AHEAD best nodes not yet expanded."""
         n, m = len(self.vectors), len(queries)
-        if n <= breadth:
-            return np.tile(np.arange(n), (m, 1))
         asked = queries.astype(np.float32)
         start = np.full(m, self.entry)
         for layer in range(len(self.near) - 1, 0, -1):

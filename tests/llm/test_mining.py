@@ -245,3 +245,18 @@ def test_rows_that_take_no_part(spark):
     assert got == {0: (1, [128, -77]), 6: (2, []), 7: (3, [51, 256])}
     none = hn.mine_negatives(hn.integer_rows(df.limit(0), F.col("label")), F.col("id") % 50 == 0)
     assert none.collect() == []
+
+
+def test_small_graphs_are_searched_whole():
+    from logloom.llm import ann
+
+    rnd = np.random.default_rng(9)
+    for n in (1, 2, 7, 20, 33, 60, 128):
+        data = np.unique(np.concatenate([rnd.standard_normal((n // 2 + 1, 8)), rnd.standard_normal((n, 8)) * 0.01 + 5])[:n].round(4), axis=0)
+        graph = ann.build_graph(data, np.arange(len(data)))
+        found = graph.search(np.concatenate([data[:3], -data[:2]]))
+        most = min(len(data), 20)
+        for row, q in zip(found, np.concatenate([data[:3], -data[:2]]), strict=True):
+            met = set(row[row >= 0].tolist())
+            best = np.argsort(-(data @ q), kind="stable")[:most]
+            assert len(met) >= most and len(met & set(best.tolist())) >= 0.9 * most
