@@ -1,3 +1,3 @@
 """Registered queries over the driver's tables."""
 
-from . import commits, conversations, documents, events, ledger, orders, snapshots  # noqa: F401  they register themselves
+from . import commits, conversations, documents, events, files, ledger, orders, snapshots  # noqa: F401  they register themselves
