@@ -116,6 +116,52 @@ def unknown_payloads(records: DataFrame) -> DataFrame:
     return rows.where(~F.coalesce(kind.isin(*known), F.lit(False))).select("path", "line_number", kind.alias("kind"))
 
 
+#: Fields that a payload type has its content in: a text or an array of items, or a
+#: text or nothing.
+LISTS = {"message": "content", "function_call_output": "output", "custom_tool_call_output": "output"}
+PLAIN = {"user_message": ("message",), "agent_message": ("message",), "function_call": ("arguments",), "custom_tool_call": ("input",), "patch_apply_end": ("stdout", "stderr")}
+IMAGES = ("input_image", "output_image")
+
+
+def _issue(kind: str, field: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), field.alias("field"))
+
+
+def _list_issues(v: Column) -> Column:
+    """Of a value that should be a text or an array: its bad items, or itself."""
+    read = lambda i: F.struct(F.coalesce(strict_text(i, "$"), strict_text(i, "$.text")).alias("text"), strict_text(i, "$.type").alias("source"), is_object(i, "$").alias("object"))
+    bad = F.filter(F.transform(variant_array(v, "$"), read), lambda i: i["text"].isNull() & ~F.coalesce(i["source"].isin(*IMAGES), F.lit(False)))
+    wrong = F.transform(bad, lambda i: F.when(i["object"], _issue("unsupported_content_item", i["source"])).otherwise(_issue("invalid_content_item", F.lit("content"))))
+    taken = strict_text(v, "$").isNotNull() | F.coalesce(kind_of(v, "$").startswith("ARRAY"), F.lit(False))
+    return F.when(taken, wrong).otherwise(F.array(_issue("invalid_content", F.lit("content"))))
+
+
+def normalization_issues(records: DataFrame) -> DataFrame:
+    """One row a fault of a good record: path, line_number, start_offset, kind, field.
+
+    invalid_timestamp; unsupported_response_item and unsupported_event_message, with the payload
+    type; invalid_content, invalid_content_item and unsupported_content_item (with the item's type),
+    one for each bad item of an array; invalid_text with the field. An item is good if it is a text,
+    an object with a text, or an image. A record can have several issues and still have a row.
+    """
+    p, record = F.col("payload"), F.col("record_type")
+    kind = F.when(record.isin("response_item", "event_msg"), strict_text(p, "$.type"))
+    late = F.when(iso_instant(F.col("timestamp")).isNull(), _issue("invalid_timestamp", F.lit("timestamp")))
+    single, listed = [late], F.array().cast("array<struct<kind:string,field:string>>")
+    for of, name in (("response_item", "unsupported_response_item"), ("event_msg", "unsupported_event_message")):
+        known = [k for r, k in ROWS if r == of]
+        single.append(F.when((record == of) & ~F.coalesce(kind.isin(*known), F.lit(False)), _issue(name, kind)))
+    for (of, k) in ROWS:
+        match = F.coalesce((record == of) & (kind == k), F.lit(False))
+        if k in LISTS:
+            listed = F.when(match, _list_issues(F.try_variant_get(p, f"$.{LISTS[k]}", "variant"))).otherwise(listed)
+        for field in PLAIN.get(k, ()):
+            found = kind_of(p, f"$.{field}")
+            single.append(F.when(match & ~found.isin("STRING", "VOID"), _issue("invalid_text", F.lit(field))))
+    rows = records.where("issue is null").select("path", "line_number", "start_offset", F.explode(F.concat(F.array_compact(F.array(*single)), listed)).alias("_i"))
+    return rows.select("path", "line_number", "start_offset", "_i.kind", "_i.field")
+
+
 def fingerprinted(rows: DataFrame) -> DataFrame:
     """Adds fingerprint: of a normalized row's meaning, its time included and its place in the log
     not; maps in the order of their keys."""

@@ -187,3 +187,18 @@ def test_vcs_rows(spark):
     df = spark.createDataFrame([(bytearray(b"1\t2\tx\0-\t-\ty\0"),)], "out binary")
     rows = vcs.with_changes(df, "out", vcs.parse_numstat, vcs.NUMSTAT, "c").select("c.*", vcs.line_state(F.col("c.binary"), F.col("c.added")).alias("state")).collect()
     assert [(r.path, r.state) for r in rows] == [("x", "measured"), ("y", "binary")]
+
+
+def test_each_bad_item_is_an_issue(spark, tmp_path):
+    log = tmp_path / "live" / "a.jsonl"
+    say = lambda content: line("response_item", {"type": "message", "role": "user", "content": content})
+    write(log, say(["a", 5, {"type": "audio"}, {"text": 7}, None, {"type": "input_image", "text": "seen"}, {"type": "input_image"}, ["x"]]), say({"text": "x"}), say(None), say([]), say("fine"))
+    write(log, line("event_msg", {"type": "user_message", "message": 5}), line("event_msg", {"type": "user_message", "message": None}), line("event_msg", {"type": "user_message"}), line("event_msg", {"type": "patch_apply_end", "stdout": 1, "stderr": []}))
+    write(log, line("response_item", {"type": "strange"}), line("event_msg", {"type": 3}), line("event_msg", {"type": "message"}), '{"timestamp": "yesterday", "type": "response_item", "payload": {"type": "message", "content": [0]}}\n')
+    records, _ = jsonl.read_log(spark, str(tmp_path / "live"))
+    got = sorted((r.line_number, r.kind, r.field) for r in normalize.normalization_issues(records).collect() if r.field is not None)
+    assert got == sorted([
+        (1, "invalid_content_item", "content"), (1, "invalid_content_item", "content"), (1, "invalid_content_item", "content"), (1, "unsupported_content_item", "audio"), (2, "invalid_content", "content"), (3, "invalid_content", "content"), (6, "invalid_text", "message"),
+        (9, "invalid_text", "stderr"), (9, "invalid_text", "stdout"), (10, "unsupported_response_item", "strange"), (12, "unsupported_event_message", "message"), (13, "invalid_content_item", "content"), (13, "invalid_timestamp", "timestamp"),
+    ])
+    assert sorted((r.line_number, r.kind) for r in normalize.normalization_issues(records).where("field is null").collect()) == [(1, "unsupported_content_item"), (11, "unsupported_event_message")]
