@@ -52,15 +52,3 @@ SELECT 'file_ref_' || sha256('w1' || chr(0) || 'external' || chr(0) || event_id:
 def external_files(spark, sf_dir):
     """Of what lies outside of the workspace the name alone is kept."""
     return files.external_files(mentions(spark, sf_dir), "event_id", F.lit("w1"))
-
-
-@query("file_mention_ids", NAMED + """,
-all_of AS (SELECT m.event_id, m.place, m.path, CASE place WHEN 0 THEN 'markdown_link' WHEN 1 THEN 'inline_code' ELSE 'plain_text' END AS written, CASE WHEN place = 0 THEN (event_id % 5 + 1)::INT END AS line FROM m
-           UNION ALL SELECT event_id, 4, 'docs/guide' || (event_id % 7)::VARCHAR || '.md', 'plain_text', NULL FROM events)
-SELECT event_id, place, a.path, written, line, 'file_ref_' || sha256('w1' || chr(0) || 'workspace' || chr(0) || r.path) AS reference_id FROM all_of a JOIN r ON lower(a.path) = lower(r.path)
-""")
-def file_mention_ids(spark, sf_dir):
-    """Every mention with the id of its file."""
-    found = mentions(spark, sf_dir)
-    rows = files.reference_ids(found, files.file_references(found, "event_id", F.lit("w1")))
-    return rows.select("event_id", "place", "path", "written", "line", "reference_id")
