@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ELLIPSIS = "…"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once a row however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def text_of(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
-from logloom.functions.keys import prefixed_id, stripped
+from logloom.functions.keys import bound, prefixed_id, stripped
 
 # Endings known to be of files, the heads of the list of attachments, the marks after
 # which a folder ends, and the words that may follow a path without a space.
@@ -98,10 +98,12 @@ def cleaned(value: Column) -> Column:
 
 def split_location(value: Column) -> Column:
     """struct<path, line, column> of path:line:column; the letter of a drive is no path."""
-    pattern = r"^(.+?)(?::(\d+))?(?::(\d+))?$"
-    drive = value.rlike(r"^[A-Za-z](:\d+){1,2}$")
-    number = lambda k: F.when(~drive, F.regexp_extract(value, pattern, k).try_cast("int"))
-    return F.struct(F.when(drive, value).otherwise(F.regexp_extract(value, pattern, 1)).alias("path"), number(2).alias("line"), number(3).alias("column"))
+    pattern, none = r"^(.+?):(\d+)(?::(\d+))?$", F.lit(None).cast("int")
+    def number(k: int) -> Column:
+        return F.regexp_extract(value, pattern, k).try_cast("int")
+    located = F.struct(F.regexp_extract(value, pattern, 1).alias("path"), number(2).alias("line"), number(3).alias("column"))
+    whole = F.struct(value.alias("path"), none.alias("line"), none.alias("column"))
+    return F.when(value.rlike(r".:\d+$") & ~value.rlike(r"^[A-Za-z](:\d+){1,2}$"), located).otherwise(whole)
 
 
 def steps(path: Column) -> Column:
@@ -117,23 +119,28 @@ def extension_of(name: Column) -> Column:
     return F.lower(F.regexp_extract(name, r"^.+\.([^.]*)$", 1))
 
 
+def absolute(path: Column) -> Column:
+    """A path with slashes, its steps carried out below its head: //, a drive, / or none."""
+    return bound(F.regexp_extract(path, r"^(//|[A-Za-z]:/|/)", 1), lambda head: F.concat(head, steps(F.substring(path, F.length(head) + 1, F.length(path)))))
+
+
 def classify(path: Column, root: Column) -> Column:
     """struct<scope, path, name, extension, whole>: workspace and the path below the root, or external
     and only the name. whole is the absolute path, from which the others are told apart; it isn't
     for keeping. Null for an address, an anchor, and the root itself."""
-    def head(p: Column) -> Column:
-        return F.regexp_extract(p, r"^(//|[A-Za-z]:/|/)", 1)
-    def absolute(p: Column) -> Column:
-        return F.concat(head(p), steps(F.substring(p, F.length(head(p)) + 1, F.length(p))))
-    slashed, base = F.regexp_replace(path, r"\\", "/"), F.regexp_replace(root, r"\\", "/")
-    whole = absolute(F.when(head(slashed) != "", slashed).otherwise(F.concat(base, F.lit("/"), slashed)))
-    top = F.regexp_replace(absolute(base), "/$", "")
-    inside = F.startswith(F.lower(whole), F.concat(F.lower(top), F.lit("/"))) & ~F.startswith(path, F.lit("\\\\"))
-    relative = F.when(inside, F.substring(whole, F.length(top) + 2, F.length(whole)))
-    name = F.regexp_extract(F.coalesce(relative, slashed), r"([^/]*)/*$", 1)
-    none = (path == "") | path.rlike(r"^([A-Za-z][A-Za-z0-9+.-]*://|#)") | (F.lower(whole) == F.lower(top)) | (name == "")
-    found = F.struct(F.when(inside, "workspace").otherwise("external").alias("scope"), relative.alias("path"), name.alias("name"), extension_of(name).alias("extension"), F.lower(whole).alias("whole"))
-    return F.when(~F.coalesce(none, F.lit(True)), found)
+    def slashed(p: Column) -> Column:
+        return F.regexp_replace(p, r"\\", "/")
+    def told(given: Column, top: Column, whole: Column) -> Column:
+        inside = F.startswith(F.lower(whole), F.concat(F.lower(top), F.lit("/"))) & ~F.startswith(path, F.lit("\\\\"))
+        none = (path == "") | path.rlike(r"^([A-Za-z][A-Za-z0-9+.-]*://|#)") | (F.lower(whole) == F.lower(top))
+        def named(relative: Column) -> Column:
+            name = F.regexp_extract(F.coalesce(relative, given), r"([^/]*)/*$", 1)
+            return bound(name, lambda n: F.when(n != "", F.struct(F.when(relative.isNotNull(), "workspace").otherwise("external").alias("scope"), relative.alias("path"), n.alias("name"), extension_of(n).alias("extension"), F.lower(whole).alias("whole"))))
+        return F.when(~F.coalesce(none, F.lit(True)), bound(F.when(inside, F.substring(whole, F.length(top) + 2, F.length(whole))), named))
+    def below(top: Column, given: Column) -> Column:
+        joined = F.when(given.rlike("^(/|[A-Za-z]:/)"), given).otherwise(F.concat(top, F.lit("/"), given))
+        return bound(absolute(joined), lambda whole: told(given, top, whole))
+    return bound(F.regexp_replace(absolute(slashed(root)), "/$", ""), lambda top: bound(slashed(path), lambda given: below(top, given)))
 
 
 def looks_local(path: Column) -> Column:
@@ -150,11 +157,13 @@ def file_mentions(messages: DataFrame, text: str, ident: str, root: str, tree: D
     name of no known ending is no mention. whole_sha256 tells external files of one name apart.
     Messages without text have no mentions; other columns of messages are left out.
     """
-    rows = messages.select(ident, F.lit(root).alias("_root"), F.posexplode(candidates(F.col(text))).alias("place", "c"))
+    rows = messages.select(ident, F.posexplode(candidates(F.col(text))).alias("place", "c"))
     written = F.coalesce(F.create_map(*(F.lit(x) for pair in WRITTEN.items() for x in pair))[F.col("c.origin")], F.lit("plain_text"))
-    rows = rows.withColumns({"written": written, "value": cleaned(F.col("c.value"))}).withColumn("at", split_location(F.col("value")))
-    listed = F.col("written") == "attachment"
-    rows = rows.where(listed | looks_local(F.col("at.path"))).withColumn("file", classify(F.col("at.path"), F.col("_root"))).where("file is not null")
+    def told(at: Column) -> Column:
+        return F.when((F.col("c.origin") == "attachment") | looks_local(at["path"]), F.struct(at.alias("at"), classify(at["path"], F.lit(root)).alias("file")))
+    # a generator is a fence: what it makes is made once, and no condition on it is moved below it
+    found = bound(bound(cleaned(F.col("c.value")), split_location), told)
+    rows = rows.select(ident, "place", F.col("c.origin").alias("origin"), written.alias("written"), F.inline(F.filter(F.array(found), lambda f: f["file"].isNotNull())))
     kind = F.lit("unknown")
     if tree is not None:
         best = F.max_by("kind", F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")))
@@ -164,7 +173,7 @@ def file_mentions(messages: DataFrame, text: str, ident: str, root: str, tree: D
         doubtful = (kind == "missing") & ~F.col("file.extension").isin(*EXTENSIONS) & ~F.col("at.path").rlike(r"[/\\]") & F.col("written").isin("inline_code", "plain_text")
         rows = rows.where(~doubtful)
     return rows.select(
-        ident, "place", F.col("c.origin").alias("origin"), "written", "at.line", "at.column", "file.scope", "file.path", "file.name", "file.extension",
+        ident, "place", "origin", "written", "at.line", "at.column", "file.scope", "file.path", "file.name", "file.extension",
         kind.alias("kind"), F.sha2("file.whole", 256).alias("whole_sha256"),
     )
 
