@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .joins import merge_scopes
-
 # The states of a numstat entry, and the scopes in their order.
 MEASURED, BINARY, NOT_INSPECTED, NOT_APPLICABLE, FAILED = "measured", "binary", "not_inspected", "not_applicable", "failed"
 SCOPES = ("committed_in_session", "staged", "worktree")
@@ -25,43 +23,40 @@ def pending_state(scope: str, scopes: Column, index: Column, worktree: Column) -
     return F.when(~F.array_contains(scopes, scope), NOT_APPLICABLE).when(untracked, NOT_INSPECTED).otherwise(FAILED)
 
 
-def attach_numstat(changes: DataFrame, entries: DataFrame, scope: str, by: list[str]) -> DataFrame:
-    """Sets the struct column `scope` (state, added, deleted) from a numstat's entries: path, added,
-    deleted, binary. Paths meet without regard to case; of several entries of a path the last by
-    its spelling holds."""
-    state = F.when(F.col("binary"), BINARY).otherwise(MEASURED)
-    found = entries.groupBy(*by, F.lower("path").alias("_folded")).agg(F.max_by(F.struct(state.alias("state"), F.col("added").cast("long").alias("added"), F.col("deleted").cast("long").alias("deleted")), "path").alias("_found"))
-    joined = changes.withColumn("_folded", F.lower("path")).join(found, [*by, "_folded"], "left")
-    return joined.withColumn(scope, F.coalesce("_found", scope)).select(*changes.columns)
-
-
-def working_changes(status: DataFrame, staged: DataFrame, unstaged: DataFrame, by: list[str]) -> DataFrame:
-    """by, path, old_path, index, worktree, scopes, and structs staged and unstaged of the entries of
-    a status (path, old_path, index, worktree) with both numstats."""
-    rows = status.withColumn("scopes", current_scopes(F.col("index"), F.col("worktree")))
-    empty = F.lit(None).cast("long")
-    for name, scope in (("staged", "staged"), ("unstaged", "worktree")):
-        rows = rows.withColumn(name, F.struct(pending_state(scope, F.col("scopes"), F.col("index"), F.col("worktree")).alias("state"), empty.alias("added"), empty.alias("deleted")))
-    for name, entries in (("staged", staged), ("unstaged", unstaged)):
-        rows = attach_numstat(rows, entries, name, by)
-    return rows.select(*by, "path", "old_path", "index", "worktree", "scopes", "staged", "unstaged")
-
-
-def with_commits(changes: DataFrame, names: DataFrame, numstat: DataFrame, by: list[str]) -> DataFrame:
-    """changes merged with a session's commits (path, old_path, status) by path without regard to
-    case; adds committed (the commit's status or none) and the struct committed_in_session."""
-    left = changes.withColumn("_folded", F.lower("path"))
-    right = names.select(*by, F.lower("path").alias("_folded"), F.col("path").alias("_path"), F.col("old_path").alias("_old"), F.col("status").alias("_status"))
-    scopes = merge_scopes(left.select(*by, "_folded", "scopes"), right.select(*by, "_folded").withColumn("scopes", F.array(F.lit("committed_in_session"))), [*by, "_folded"])
-    merged = left.drop("scopes").join(right, [*by, "_folded"], "full").join(scopes, [*by, "_folded"])
-    none = F.lit(None).cast("long")
-    absent = F.struct(F.lit(NOT_APPLICABLE).alias("state"), none.alias("added"), none.alias("deleted"))
-    expected = F.struct(F.lit(FAILED).alias("state"), none.alias("added"), none.alias("deleted"))
-    rows = merged.select(
-        *by, F.coalesce("path", "_path").alias("path"), F.coalesce("old_path", "_old").alias("old_path"), F.coalesce("index", F.lit("none")).alias("index"), F.coalesce("worktree", F.lit("none")).alias("worktree"),
-        F.coalesce("_status", F.lit("none")).alias("committed"), "scopes", F.coalesce("staged", absent).alias("staged"), F.coalesce("unstaged", absent).alias("unstaged"), F.when(F.col("_status").isNull(), absent).otherwise(expected).alias("committed_in_session"),
+def merged_changes(status: DataFrame, staged: DataFrame, unstaged: DataFrame, names: DataFrame, committed: DataFrame, by: list[str]) -> DataFrame:
+    """One row a changed path of a group, without regard to case: by, path, old_path, index, worktree,
+    committed (the commits' status or none), scopes, the structs staged, unstaged and
+    committed_in_session (state, added, deleted), and binary.
+
+    status has path, old_path, index and worktree of the working tree, names path, old_path and
+    status of the session's commits, the three numstats path, added, deleted and binary. Of several
+    rows of one input for a path the last by its spelling holds (of equal ones a measured one, then
+    the greater); a path is spelled as in the status, else as in the commits. Rows without a path,
+    and numstats of a path that neither status nor commits have, are left out; groups may be null.
+    The inputs are stacked and dealt out once.
+    """
+    counted = F.struct(F.when(F.col("binary"), BINARY).otherwise(MEASURED).alias("state"), F.col("added").cast("long").alias("added"), F.col("deleted").cast("long").alias("deleted"))
+    inputs = {"_tree": (status, F.struct("path", "old_path", "index", "worktree")), "_log": (names, F.struct("path", "old_path", "status")), "_staged": (staged, counted), "_unstaged": (unstaged, counted), "_committed": (committed, counted)}
+    stacked = None
+    for name, (rows, value) in inputs.items():
+        rows = rows.select(*by, "path", value.alias(name))
+        stacked = rows if stacked is None else stacked.unionByName(rows, allowMissingColumns=True)
+    last = [F.max(F.when(F.col(name).isNotNull(), F.struct("path", name)))[name].alias(name) for name in inputs]
+    found = stacked.where("path is not null").groupBy(*by, F.lower("path").alias("_folded")).agg(*last).where("_tree is not null or _log is not null")
+
+    index, worktree, logged, empty = F.col("_tree.index"), F.col("_tree.worktree"), F.col("_log").isNotNull(), F.lit(None).cast("long")
+    none = F.array().cast("array<string>")
+    now = F.when(F.col("_tree").isNotNull(), current_scopes(index, worktree)).otherwise(none)
+    def told(entry: Column, pending: Column) -> Column:
+        return F.coalesce(entry, F.struct(pending.alias("state"), empty.alias("added"), empty.alias("deleted")))
+    def current(entry: str, scope: str) -> Column:
+        return told(F.when(F.col("_tree").isNotNull(), F.col(entry)), pending_state(scope, now, index, worktree))
+    rows = found.select(
+        *by, F.coalesce("_tree.path", "_log.path").alias("path"), F.coalesce("_tree.old_path", "_log.old_path").alias("old_path"), F.coalesce(index, F.lit("none")).alias("index"), F.coalesce(worktree, F.lit("none")).alias("worktree"),
+        F.coalesce("_log.status", F.lit("none")).alias("committed"), F.concat(F.when(logged, F.array(F.lit(SCOPES[0]))).otherwise(none), now).alias("scopes"),
+        current("_staged", "staged").alias("staged"), current("_unstaged", "worktree").alias("unstaged"), told(F.col("_committed"), F.when(logged, FAILED).otherwise(NOT_APPLICABLE)).alias("committed_in_session"),
     )
-    return attach_numstat(rows, numstat, "committed_in_session", by).withColumn("binary", any_binary("staged", "unstaged", "committed_in_session"))
+    return rows.withColumn("binary", any_binary("staged", "unstaged", "committed_in_session"))
 
 
 def any_binary(*scopes: str) -> Column:

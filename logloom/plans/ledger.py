@@ -344,7 +344,7 @@ def change_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     staged = lines.join(rows.select("o_orderkey", "o_custkey"), "o_orderkey").select("o_custkey", F.concat(F.lit("a/fILE"), "o_orderkey").alias("path"), "added", "deleted", "binary")
     names = rows.where("o_orderpriority < '3'").select("o_custkey", F.concat(F.lit("A/FILE"), "o_orderkey").alias("path"), F.lit(None).cast("string").alias("old_path"), F.lit("renamed").alias("status"))
     none = staged.limit(0)
-    return changes.with_commits(changes.working_changes(tree, staged, none, ["o_custkey"]), names, none, ["o_custkey"])
+    return changes.merged_changes(tree, staged, none, names, none, ["o_custkey"])
 
 
 @query("change_merge", CHANGES + "SELECT o_custkey, path, committed, scopes, staged, unstaged, in_session, added FROM z")
