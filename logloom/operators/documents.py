@@ -52,10 +52,14 @@ def with_references(messages: DataFrame, references: DataFrame, by: list[str], i
     return messages.join(found, [*by, ident], "left").withColumn("referenced", F.coalesce("referenced", F.array().cast("array<string>")))
 
 
-def own_mentions(mentions: Column, message: Column) -> Column:
-    """The mentions of one message; a reference without any stops the job."""
-    own = F.filter(mentions, lambda m: m["message_id"] == message)
-    return F.when(F.size(own) > 0, own).otherwise(F.raise_error(F.lit("a reference doesn't mention its message")))
+def own_mentions(named: DataFrame, mentions: DataFrame, by: list[str]) -> DataFrame:
+    """named (a message and a reference that names it as a source, by the columns by) with mentions:
+    those of this message, as sorted structs of the other columns. One that isn't mentioned, or has
+    a null in by, stops the job. What is gathered is one message's alone."""
+    rest = F.struct(*[c for c in mentions.columns if c not in by])
+    found = mentions.groupBy(*by).agg(F.array_sort(F.collect_list(rest)).alias("_mentions"))
+    fault = F.raise_error(F.lit("a reference doesn't mention its message"))
+    return named.join(found, by, "left").select(*named.columns, F.when(F.col("_mentions").isNotNull(), F.col("_mentions")).otherwise(fault).alias("mentions"))
 
 
 def turn_documents(turns: DataFrame, messages: DataFrame, by: list[str], ident: str, text: str, first: str, last: str, start: str) -> DataFrame:

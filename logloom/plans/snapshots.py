@@ -82,8 +82,21 @@ def message_references(spark, sf_dir):
 def own_mentions(spark, sf_dir):
     """Each message with its mentions among all of its conversation's."""
     rows = read(spark, sf_dir, "conversations")
-    mentions = rows.groupBy("conv_id").agg(F.collect_list(F.struct(F.col("turn").alias("message_id"))).alias("mentions"))
-    return rows.join(mentions, "conv_id").select("conv_id", "turn", F.size(documents.own_mentions(F.col("mentions"), F.col("turn"))).cast("long").alias("mentions"))
+    found = documents.own_mentions(rows.select("conv_id", "turn").distinct(), rows.select("conv_id", "turn", "role"), ["conv_id", "turn"])
+    return found.select("conv_id", "turn", F.size("mentions").cast("long").alias("mentions"))
+
+
+@query("mention_places", """
+WITH m AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) - 1 AS place FROM conversations)
+SELECT conv_id, turn, word, count(*) AS mentions, string_agg(place::VARCHAR, ',' ORDER BY place) AS places FROM m GROUP BY ALL
+""")
+def mention_places(spark, sf_dir):
+    """Words as references: where each message has each of its words."""
+    words = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("place", "word"))
+    key = ["conv_id", "turn", "word"]
+    found = documents.own_mentions(words.select(*key).distinct(), words, key)
+    places = F.array_join(F.transform("mentions", lambda m: m["place"].cast("string")), ",")
+    return found.select(*key, F.size("mentions").cast("long").alias("mentions"), places.alias("places"))
 
 
 @query("turn_documents", """

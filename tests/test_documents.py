@@ -7,7 +7,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from logloom.operators import files, publish, summaries
+from logloom.operators import documents, files, publish, summaries
 
 
 def test_mentions_and_scopes(spark):
@@ -125,3 +125,14 @@ def test_publication_and_receipts(spark, tmp_path):
     receipts = spark.createDataFrame([("d1", "h1")], "delivery_id string, body_sha256 string")
     incoming = spark.createDataFrame([("d1", "h1"), ("d1", "hX"), ("d2", "h2"), ("d2", "h2")], "delivery_id string, body_sha256 string")
     assert sorted((r.delivery_id, r.body_sha256, r.state) for r in publish.receive(receipts, incoming).collect()) == [("d1", "h1", "repeated"), ("d1", "hX", "conflict"), ("d2", "h2", "new")]
+
+
+def test_own_mentions_are_of_the_message_and_must_exist(spark):
+    mentions = spark.createDataFrame([("c", 1, 5), ("c", 1, 2), ("c", 2, 9), ("d", 1, 7), ("d", None, 8)], "conv string, message int, line int")
+    named = spark.createDataFrame([("c", 1, "x"), ("c", 2, "y")], "conv string, message int, line string")
+    got = documents.own_mentions(named, mentions, ["conv", "message"]).collect()
+    assert sorted((r.conv, r.message, r.line, [m.line for m in r.mentions]) for r in got) == [("c", 1, "x", [2, 5]), ("c", 2, "y", [9])]
+    assert documents.own_mentions(named.limit(0), mentions, ["conv", "message"]).count() == 0
+    for conv, message in (("c", 3), ("d", None)):
+        with pytest.raises(Exception, match="doesn't mention its message"):
+            documents.own_mentions(spark.createDataFrame([(conv, message)], "conv string, message int"), mentions, ["conv", "message"]).collect()
