@@ -45,6 +45,16 @@ def test_url_rules_equal_brute_force(spark):
     assert {r.verdict for r in url_filter.filter_urls(pages, []).collect()} == {"allow"}
 
 
+def test_url_verdicts_are_the_contract_s(spark, tmp_path):
+    want = {
+        "http://a.com/en/1": ("com/en/", "block"), "http://x.example.com/en/71": ("example.com/en/7", "allow"), "http://a.net/de/8": ("net/de/", "allow"), "http://example.net/de/7": ("net/de/", "allow"),
+        "http://x.EXAMPLE.net/de/8": ("example.net/de/8", "block"), "http://a.org/es/": ("org/es/", "block"), "http://a.net/fr/8": (None, "allow"), "a.com/en/1": (None, "allow"),
+    }
+    spark.createDataFrame(list(enumerate(want)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: (r.rule, r.verdict) for r in QUERIES["op6_url_filter"](spark, str(tmp_path)).collect()}
+    assert [got[k] for k in range(len(want))] == list(want.values())
+
+
 def test_cascade_is_exact_over_its_universe(spark):
     universe = spark.range(4000).select(F.concat(F.lit("k"), F.col("id")).alias("key"))
     listed = universe.where("substring(key, 2) % 7 = 0")
