@@ -231,3 +231,12 @@ def test_sorted_lists(spark):
 def test_broken_links_are_found(spark):
     rows = spark.createDataFrame([("a", "b", None), ("b", None, "a"), ("c", "d", None), ("d", None, "x"), ("e", "gone", None)], "id string, fwd string, back string")
     assert sorted(r.id for r in joins.broken_links(rows, "id", "fwd", "back").collect()) == ["c", "e"]
+
+
+def test_customers_without_any_order(spark, tmp_path):
+    from logloom.plans import registry
+
+    spark.createDataFrame([(k,) for k in (1, 2, 3, None)], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(1, "P"), (2, "F"), (None, "P")], "o_custkey long, o_orderstatus string").write.parquet(str(tmp_path / "orders.parquet"))
+    got = {r.c_custkey for r in registry.QUERIES["anti_unmatched"](spark, str(tmp_path)).collect()}
+    assert got == {3, None}  # an order of any state counts
