@@ -167,7 +167,8 @@ def file_mentions(messages: DataFrame, text: str, ident: str, root: str, tree: D
     kind = F.lit("unknown")
     if tree is not None:
         best = F.max_by("kind", F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")))
-        known = tree.groupBy(F.lower("path").alias("_known")).agg(best.alias("_kind"))
+        # a table of paths may repeat them: repeats go by hash before the texts are compared, which sorts
+        known = tree.select(F.lower("path").alias("_known"), "kind").distinct().groupBy("_known").agg(best.alias("_kind"))
         rows = rows.join(known, (F.lower("file.path") == F.col("_known")) & (F.col("file.scope") == "workspace"), "left")
         kind = F.when(F.col("file.scope") == "workspace", F.coalesce("_kind", F.lit("missing"))).otherwise("unknown")
         doubtful = (kind == "missing") & ~F.col("file.extension").isin(*EXTENSIONS) & ~F.col("at.path").rlike(r"[/\\]") & F.col("written").isin("inline_code", "plain_text")
@@ -198,14 +199,18 @@ def file_references(mentions: DataFrame, ident: str, workspace: Column | None =
     return rows.select(named.alias("reference_id"), "first.as.path", "first.as.name", "first.as.extension", kind.alias("kind"), "mentions", "messages")
 
 
-def external_files(mentions: DataFrame, ident: str, workspace: Column | None = None) -> DataFrame:
+def external_files(mentions: DataFrame, ident: str, workspace: Column | None = None, parts: int | None = None) -> DataFrame:
     """One row a message and file outside of the workspace: reference_id, ident, ordinal (from 1, in
     the order of place), name, extension. A file named in two messages is two: nothing of its path
-    is kept by which they could meet."""
-    first = mentions.where("scope = 'external'").groupBy(ident, "whole_sha256").agg(F.min(F.struct("place", "name", "extension")).alias("_f"))
-    rows = first.withColumn("ordinal", F.row_number().over(Window.partitionBy(ident).orderBy("_f.place")))
-    named = prefixed_id("file_ref", workspace if workspace is not None else F.lit(""), F.lit("external"), F.col(ident), F.col("ordinal"), F.col("_f.name"))
-    return rows.select(named.alias("reference_id"), ident, "ordinal", "_f.name", "_f.extension")
+    is kept by which they could meet. parts: into how many partitions they are sorted; left to Spark
+    it goes by compressed bytes, of which alike mentions have few."""
+    # one shuffle, before which nothing is sorted: hardly two mentions of one file are to be merged
+    rows = mentions.where("scope = 'external'").select(ident, "whole_sha256", "place", "name", "extension")
+    rows = rows.repartition(parts, ident) if parts else rows.repartition(ident)
+    nth = F.row_number().over(Window.partitionBy(ident, "whole_sha256").orderBy("place", "name", "extension"))
+    rows = rows.withColumn("_nth", nth).where("_nth = 1").withColumn("ordinal", F.row_number().over(Window.partitionBy(ident).orderBy("place")))
+    named = prefixed_id("file_ref", workspace if workspace is not None else F.lit(""), F.lit("external"), F.col(ident), F.col("ordinal"), F.col("name"))
+    return rows.select(named.alias("reference_id"), ident, "ordinal", "name", "extension")
 
 
 def reference_ids(mentions: DataFrame, references: DataFrame) -> DataFrame:

@@ -16,14 +16,20 @@ TEXT = """
     || (event_id % 3)::VARCHAR || '.txt. Open ' || CASE WHEN event_id % 2 = 0 THEN 'Docs' ELSE 'docs' END || '/guide' || (event_id % 7)::VARCHAR || '.md and again docs/guide' || (event_id % 7)::VARCHAR || '.md'
 """
 
+#: About as many texts are searched in one task, and as many external mentions sorted.
+TEXTS_A_TASK, SORTED_A_TASK = 20_000, 200_000
+
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mentions in the texts of all events; a part of the guides and the sheets are known to be there."""
+    """Mentions in the texts of all events; a part of the guides and the sheets are known to be there.
+    Events are stored in some 22 bytes, so that one split has millions: they are dealt out before
+    they become texts, by number, as bytes tell too little of the work."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    dealt = events.select("event_id", "event_type").repartition(events.count() // TEXTS_A_TASK + 1, "event_id")
     text = F.expr(TEXT.replace("::VARCHAR", "::STRING"))
     guides = events.where("event_id % 7 < 3").select(F.concat(F.lit("docs/Guide"), F.col("event_id") % 7, F.lit(".md")).alias("path"), F.lit("file").alias("kind"))
     sheets = events.select(F.concat(F.lit("lib/"), "event_type", F.lit(".csv")).alias("path"), F.lit("directory").alias("kind"))
-    return files.file_mentions(events.withColumn("text", text), "text", "event_id", "C:\\work", guides.union(sheets))
+    return files.file_mentions(dealt.withColumn("text", text), "text", "event_id", "C:\\work", guides.union(sheets))
 
 
 # What the messages name, rebuilt from the columns they were made of.
@@ -51,7 +57,8 @@ SELECT 'file_ref_' || sha256('w1' || chr(0) || 'external' || chr(0) || event_id:
 """)
 def external_files(spark, sf_dir):
     """Of what lies outside of the workspace the name alone is kept."""
-    return files.external_files(mentions(spark, sf_dir), "event_id", F.lit("w1"))
+    parts = spark.read.parquet(f"{sf_dir}/events.parquet").count() // SORTED_A_TASK + 1  # one a message
+    return files.external_files(mentions(spark, sf_dir), "event_id", F.lit("w1"), parts)
 
 
 @query("file_mention_ids", NAMED + """,

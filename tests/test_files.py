@@ -103,3 +103,26 @@ def test_references_and_externals(spark):
     assert files.file_references(found.limit(0), "id").count() == 0
     ids = files.reference_ids(found, files.file_references(found, "id"))
     assert ids.count() == 5 and ids.select("reference_id").distinct().count() == 2
+
+
+def test_no_task_has_all_mentions(spark, tmp_path, monkeypatch):
+    from logloom.plans import files as plans
+
+    rows = spark.range(2000).select(F.col("id").alias("event_id"), F.lit("view").alias("event_type"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))  # one split
+    monkeypatch.setattr(plans, "TEXTS_A_TASK", 200, raising=False)
+    monkeypatch.setattr(plans, "SORTED_A_TASK", 500, raising=False)
+    found = plans.mentions(spark, str(tmp_path)).where("scope = 'external'").groupBy(F.spark_partition_id()).count().collect()
+    out = plans.external_files(spark, str(tmp_path))
+    sorted_ = out.groupBy(F.spark_partition_id()).count().collect()
+    for counts, most in ((found, 400), (sorted_, 800)):
+        assert sum(r["count"] for r in counts) == 2000 and max(r["count"] for r in counts) <= most
+    assert "partial_min" not in out._jdf.queryExecution().executedPlan().toString()  # which sorts a split before its shuffle
+
+
+def test_external_files_of_repeated_idents(spark):
+    rows = [(1, p, "external", n, n[-1:], w) for p, n, w in ((3, "B.c", "x"), (1, "b.C", "x"), (2, "z", "y"), (1, "a.C", "x"))] + [(1, 0, "workspace", "n", "", "q")]
+    found = spark.createDataFrame(rows, "id int, place int, scope string, name string, extension string, whole_sha256 string")
+    for parts in (None, 3):
+        got = sorted((r.ordinal, r.name, r.extension) for r in files.external_files(found, "id", parts=parts).collect())
+        assert got == [(1, "a.C", "C"), (2, "z", "z")]
