@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.functions import keys
+from logloom.functions.storage import materialise
 from logloom.operators import assemble, chunks, dedup, versions
 
 from .registry import query
@@ -94,12 +95,14 @@ def message_chunks(spark, sf_dir):
 @query("snapshot_build", "SELECT conv_id, turn AS sequence, 'm' || turn AS message_id, sha256(coalesce(text, '')) AS text_sha256, 0 AS faults FROM conversations")
 def snapshot_build(spark, sf_dir):
     """A snapshot of every conversation, with chunks for messages of over 1,500 bytes, read back with
-    the number of links that don't hold."""
+    the number of links that don't hold. Documents are stored before they are listed, checked and
+    read, as made again for each they cost as often; storing bounds what goes to Python at once."""
     rows = read(spark, sf_dir, "conversations")
     block = F.struct(F.lit("text").alias("kind"), F.lit(None).cast("string").alias("language"), F.col("text"))
     messages = rows.select("conv_id", F.concat(F.lit("m"), F.col("turn").cast("string")).alias("message_id"), F.col("turn").alias("sequence"), "role", F.array(block).alias("blocks"))
     summaries = rows.where("role = 'assistant'").select("conv_id", F.col("turn").alias("sequence"), keys.preview(F.col("text"), 80).alias("summary"))
-    documents = assemble.with_manifest(assemble.build_snapshot(messages, summaries, {}, ["conv_id"], most_chunk=1500), ["conv_id"])
+    built = materialise(assemble.build_snapshot(messages, summaries, {}, ["conv_id"], most_chunk=1500), "snapshot")
+    documents = materialise(assemble.with_manifest(built, ["conv_id"]), "snapshot-listed")
     faults = assemble.snapshot_faults(documents, ["conv_id"]).groupBy("conv_id").agg(F.count("*").cast("int").alias("_n"))
     found = assemble.read_messages(documents, ["conv_id"]).join(faults, "conv_id", "left")
     return found.select("conv_id", "sequence", "message_id", F.sha2("text", 256).alias("text_sha256"), F.coalesce("_n", F.lit(0)).alias("faults"))

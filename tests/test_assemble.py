@@ -58,3 +58,21 @@ def test_no_message_is_no_snapshot(spark):
     messages = spark.createDataFrame([], f"workspace_id string, message_id string, sequence int, blocks {chunks.BLOCKS}")
     none = spark.createDataFrame([], "workspace_id string, sequence int, summary string")
     assert assemble.with_manifest(assemble.build_snapshot(messages, none, {"errors": none}, ["workspace_id"]), ["workspace_id"]).collect() == []
+
+
+def test_batches_of_a_snapshot_are_bounded(spark, sf, monkeypatch):
+    """What goes to Python at once is bounded by bytes, and what comes back is not made in Python again."""
+    from logloom.functions import storage
+    from logloom.plans import commits, registry
+
+    bounds = []
+    for name in ("build_snapshot", "with_manifest"):
+        monkeypatch.setattr(assemble, name, lambda *a, f=getattr(assemble, name), **k: bounds.append(name) or f(*a, **k))
+    out = registry.QUERIES["snapshot_build"](spark, sf)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert len(bounds) == 2 and "Python" not in plan and "InArrow" not in plan
+    before = spark.conf.get(storage.ARROW_BYTES, None)
+    with storage.small_batches(spark):
+        sizes = spark.range(64).coalesce(1).select(F.repeat(F.lit("x"), 500_000).alias("t")).mapInArrow(lambda batches: (b.slice(0, 1) for b in batches), "t string").count()
+    assert sizes >= 6 and spark.conf.get(storage.ARROW_BYTES, None) == before
+    assert commits.materialise is storage.materialise
