@@ -48,6 +48,10 @@ def decision_reasons(spark, sf_dir):
     return out.select("o_custkey", "version", "o_orderstatus", "reason", "n_sources", "decision_id", "supersedes", "superseded_by")
 
 
+#: About as many receipts are made and read in one task.
+RECEIPTS_A_TASK = 50_000
+
+
 def _limbs(token: str, where: str = "true") -> str:
     return ", ".join(f"coalesce(sum(('0x' || substr({token}, {57 - 8 * k}, 8))::BIGINT) FILTER (WHERE {where}), 0)::HUGEINT AS {'o' if where != 'true' else 's'}{k}" for k in range(8))
 
@@ -71,8 +75,10 @@ s AS (SELECT kind, 'w' || o_custkey % 3 AS workspace, o_orderpriority[1:1] AS sn
 SELECT kind, workspace, snapshot, n, bytes, {_carried("s")} AS fingerprint, latest, old_n, old_bytes, {_carried("o")} AS old_fingerprint FROM s
 """)
 def receipt_groups(spark, sf_dir):
-    """One receipt an order; every eleventh has a bad name."""
-    rows = read(spark, sf_dir, "orders").withColumn("h", F.md5(F.col("o_orderkey").cast("string"))).withColumn("kind", F.when(F.col("o_orderkey") % 4 == 0, "commits").otherwise("deliveries"))
+    """One receipt an order; every eleventh has a bad name. Orders are stored in some 20 bytes, so they
+    are dealt out by number before they become receipts."""
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    rows = orders.repartition(orders.count() // RECEIPTS_A_TASK + 1, "o_orderkey").withColumn("h", F.md5(F.col("o_orderkey").cast("string"))).withColumn("kind", F.when(F.col("o_orderkey") % 4 == 0, "commits").otherwise("deliveries"))
     dashed = F.concat_ws("-", *(F.substring("h", a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
     name = F.concat(F.when(F.col("o_orderkey") % 11 == 0, F.col("h")).otherwise(dashed), F.lit(".json"))
     path = F.when(F.col("kind") == "deliveries", F.concat(F.lit(',"relative_json_path":"a/'), F.col("o_orderkey").cast("string"), F.lit('.json"'))).otherwise("")

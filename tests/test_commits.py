@@ -70,6 +70,19 @@ def test_receipt_sums_equal_integers(spark):
         assert (got[snapshot].old_n, got[snapshot].old_bytes, got[snapshot].old_fingerprint) == (len(old), sum(len(r[2]) for r in old), f"{sum(map(token, old)) % (1 << 256):064x}")
 
 
+def test_receipts_are_dealt_out_and_parsed_once(spark, tmp_path):
+    from logloom.plans import commits
+
+    rows = spark.range(1000).selectExpr("id o_orderkey", "id o_custkey", "timestamp'1996-01-01' o_orderdate", "'1-URGENT' o_orderpriority")
+    rows.coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    before, commits.RECEIPTS_A_TASK = getattr(commits, "RECEIPTS_A_TASK", 0), 100
+    try:
+        plan = commits.receipt_groups(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        commits.RECEIPTS_A_TASK = before
+    assert plan.lower().count("parse_json(") + plan.lower().count("parsejson(") <= 1 and "RepartitionByExpression [o_orderkey" in plan and ", 11" in plan
+
+
 CONTEXT = {"workspace_id": "w", "snapshot_id": "s", "generated_at": "now"}
 
 
